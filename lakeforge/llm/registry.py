@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontamination, exact_dedup
 
-QUERIES = {"op2_exact_dedup": exact_dedup.op2_exact_dedup}
-ORACLES = {"op2_exact_dedup": exact_dedup.SQL}
+QUERIES = {
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op10_decontamination": decontamination.op10_decontamination,
+}
+ORACLES = {
+    "op2_exact_dedup": exact_dedup.SQL,
+    "op10_decontamination": decontamination.SQL,
+}
