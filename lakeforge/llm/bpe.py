@@ -18,6 +18,7 @@ Defined results
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import unicodedata
 from array import array
@@ -32,8 +33,8 @@ from pyspark.sql import types as T
 from . import common
 from .common import table
 
-#: Distinct space-separated pieces whose encodings a worker keeps.
-KEPT_PIECES = 300_000
+#: Distinct words whose encodings a worker keeps.
+KEPT_WORDS = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -66,7 +67,8 @@ class WordEncoder:
         self.letters = byte_letters()
         self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(self.end)}
         self.final = {t[: -len(self.end)]: i for t, i in self.vocab.items() if t.endswith(self.end)}
-        self.longest = max(map(len, self.vocab))
+        self.starts = {t[:n] for known in (self.inner, self.final) for t in known for n in range(1, len(t) + 1)}
+        self.steps: dict[str, tuple[str, tuple, tuple]] = {}
         self.agrees: dict[tuple[int, int], bool] = {}
 
     # -- merges -------------------------------------------------------------------------------------------------
@@ -79,11 +81,19 @@ class WordEncoder:
 
     def merged(self, parts: list[str]) -> list[str]:
         """The merges applied one by one, the best ranked first; only used on pairs of tokens."""
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(pair, 1 << 60), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
+        rank_of = self.ranks.get
+        ranks = [rank_of(pair, _NONE) for pair in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            rank = min(ranks)
+            if rank == _NONE:
                 break
-            parts = [*parts[:at], parts[at] + parts[at + 1], *parts[at + 2 :]]
+            at = ranks.index(rank)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank_of((parts[at - 1], parts[at]), _NONE)
+            if at < len(ranks):
+                ranks[at] = rank_of((parts[at], parts[at + 1]), _NONE)
         return parts
 
     def follows(self, before: int, token: int) -> bool:
@@ -97,14 +107,29 @@ class WordEncoder:
             known = self.agrees[before, token] = self.merged(parts) == wanted
         return known
 
-    def last_token(self, path: list[str], last: list[int], depth: int, vocab: dict[str, int]) -> tuple[int, int]:
+    def step(self, text: str) -> tuple[str, tuple, tuple]:
+        """For the end of a prefix: its longest part that starts some token, and the tokens that end there, as (length,
+        id), the longest first, inside a word and at its end."""
+        known = self.steps.get(text)
+        if known is None:
+            if len(self.steps) > 500_000:
+                self.steps.clear()
+            part = text
+            while part and part not in self.starts:
+                part = part[1:]
+            ends = [part[i:] for i in range(len(part))]
+            known = self.steps[text] = part, *(tuple((len(x), vocab[x]) for x in ends if x in vocab) for vocab in (self.inner, self.final))
+        return known
+
+    def last_token(self, last: list[int], depth: int, ending: tuple) -> tuple[int, int]:
         """The last token of the first ``depth`` letters and where it starts, the last tokens before being known."""
-        text = "".join(path[max(0, depth - self.longest) : depth])
-        for start in range(len(text)):
-            token = vocab.get(text[start:])
-            if token is not None:
-                at = depth - len(text) + start
-                if (at == 0 or last[at] >= 0) and self.follows(last[at], token):
+        agrees = self.agrees
+        for length, token in ending:
+            at = depth - length
+            before = last[at]
+            if before >= 0 or at == 0:
+                known = agrees.get((before, token))
+                if known or known is None and self.follows(before, token):
                     return token, at
         return -2, depth  # a letter that the vocabulary lacks: no token
 
@@ -117,25 +142,30 @@ class WordEncoder:
                 node = node.setdefault(letter, {})
             node[""] = word
         out: dict[str, tuple[int, ...]] = {}
-        path: list[str] = []
         last, start = [-1], [0]  # by depth: last token of the prefix and where it starts
         stack = [(0, "", trie)]
         while stack:
-            depth, letter, node = stack.pop()
+            depth, text, node = stack.pop()
+            part = ""
             if depth:
-                del path[depth - 1 :], last[depth:], start[depth:]
-                path.append(letter)
+                del last[depth:], start[depth:]
+                part, inner, final = self.step(text)
                 if "" in node:
-                    token, at = self.last_token(path, last, depth, self.final)
+                    token, at = self.last_token(last, depth, final)
                     ids = []
                     while token >= 0:
                         ids.append(token)
                         token, at = last[at], start[at]
-                    out[node[""]] = tuple(reversed(ids)) if ids or depth == 0 else tuple(self.plain(node[""]))
-                token, at = self.last_token(path, last, depth, self.inner) if len(node) > ("" in node) else (-2, depth)
+                    word = node.pop("")
+                    out[word] = tuple(reversed(ids)) if ids and token == -1 else tuple(self.plain(word))
+                if not node:
+                    continue
+                token, at = self.last_token(last, depth, inner)
                 last.append(token)
                 start.append(at)
-            stack += [(depth + 1, x, below) for x, below in node.items() if x]
+            depth += 1
+            for letter, below in node.items():
+                stack.append((depth, part + letter, below))
         return out
 
     def plain(self, word: str) -> list[int]:
@@ -143,17 +173,19 @@ class WordEncoder:
         known = [x for x in [*word[:-1], word[-1] + self.end] if x in self.vocab]
         return [self.vocab[x] for x in self.merged(known)]
 
-    # -- pieces of text -----------------------------------------------------------------------------------------
-    def split(self, piece: str) -> list[str | int]:
-        """Words in byte letters and ids of special tokens, in the order of the text."""
-        out: list[str | int] = []
-        for part in self.cut_special.split(piece) if self.cut_special and "<" in piece else (piece,):
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                text = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += ["".join(map(self.letters.__getitem__, w.encode())) for w in self.words.findall(text)]
-        return out
+    # -- words of a text ----------------------------------------------------------------------------------------
+    def split(self, text: str) -> list[str]:
+        """Words and special tokens in the order of the text, normalised. Special tokens are sought in the text as it is."""
+        if self.cut_special and any(t in text for t in self.special):
+            parts = self.cut_special.split(text)
+            return [w for part in parts for w in ((part,) if part in self.special else self.split(part))]
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return self.words.findall(text.lower())
+
+    def spelled(self, word: str) -> str:
+        """A word in byte letters."""
+        return word if _PRINTABLE(word) else "".join(map(self.letters.__getitem__, word.encode()))
 
 
 @functools.lru_cache(maxsize=4)
@@ -161,8 +193,12 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-class PieceTable:
-    """Encodings of the space-separated pieces met so far, ids in one flat array."""
+_NONE = 1 << 60
+_PRINTABLE = regex.compile("[!-~]+").fullmatch
+
+
+class WordTable:
+    """Encodings of the words met so far, ids in one flat array."""
 
     def __init__(self, path: str):
         self.encoder = encoder(path)
@@ -172,35 +208,36 @@ class PieceTable:
         self.number: dict[str, int] = {}
         self.flat, self.ends, self.decoded = array("i"), array("q", [0]), []
 
-    def learn(self, pieces: set[str]) -> None:
-        cut = {p: self.encoder.split(p) for p in pieces}
-        ids = self.encoder.encode_words({w for ws in cut.values() for w in ws if isinstance(w, str)})
-        for piece, words in cut.items():
-            self.number[piece] = len(self.decoded)
-            before = len(self.flat)
-            for w in words:
-                self.flat.extend(ids[w] if isinstance(w, str) else (w,))
+    def learn(self, words: set[str]) -> None:
+        special, text = self.encoder.special, self.encoder.text
+        spelled = {w: self.encoder.spelled(w) for w in words if w not in special}
+        ids = self.encoder.encode_words(set(spelled.values()))
+        for word in words:
+            own = ids[spelled[word]] if word in spelled else (special[word],)
+            self.number[word] = len(self.decoded)
+            self.flat.extend(own)
             self.ends.append(len(self.flat))
-            self.decoded.append(" ".join(map(self.encoder.text.__getitem__, self.flat[before:])))
+            self.decoded.append(" ".join(map(text.__getitem__, own)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Ids of all texts in a row, where each text's begin (length texts + 1), and the decoded texts."""
-        pieces = [t.split() if not _SEPARATORS.intersection(t) else _SPACE.split(t) for t in texts]
-        new = set().union(*pieces) - self.number.keys()
-        if len(self.number) + len(new) > KEPT_PIECES:
-            self.clear()
-            new = set().union(*pieces)
-        new.discard("")
-        self.learn(new)
-        number = self.number
+        words = list(map(self.encoder.split, texts))
+        known = [list(map(self.number.get, own)) for own in words]
+        new = {w for own, at in zip(words, known, strict=True) if None in at for w, i in zip(own, at, strict=True) if i is None}
+        if new:
+            if len(self.number) + len(new) > KEPT_WORDS:
+                self.clear()
+                new = set().union(*words)
+            gc.disable()  # the trie is freed by reference counts; the collector would only walk it again and again
+            try:
+                self.learn(new)
+            finally:
+                gc.enable()
+            known = [list(map(self.number.__getitem__, own)) for own in words]
         counts = np.zeros(len(texts) + 1, np.int64)
-        numbers, decoded = [], []
-        for i, own in enumerate(pieces):
-            own = [number[p] for p in own if p]
-            numbers.append(np.array(own, np.int64))
-            decoded.append(" ".join(filter(None, map(self.decoded.__getitem__, own))))
-            counts[i + 1] = len(own)
-        at = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        counts[1:] = [len(own) for own in known]
+        decoded = [" ".join(filter(None, map(self.decoded.__getitem__, own))) for own in known]
+        at = np.concatenate([np.array(own, np.int64) for own in known]) if known else np.zeros(0, np.int64)
         ends, flat = np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.int32) if len(self.flat) else np.zeros(0, np.int32)
         lengths = ends[at + 1] - ends[at]
         offsets = np.concatenate(([0], np.cumsum(lengths)))
@@ -208,10 +245,7 @@ class PieceTable:
         return ids, offsets[np.cumsum(counts)], decoded
 
 
-#: str.split() also cuts at these, which are no white space to the tokenizer.
-_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
-_SPACE = regex.compile(r"[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
-_tables: dict[str, PieceTable] = {}
+_tables: dict[str, WordTable] = {}
 ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
 
@@ -220,11 +254,11 @@ def encode_column(text: Column, path: str) -> Column:
 
     @F.arrow_udf(ENCODED)
     def run(texts: pa.Array) -> pa.Array:
-        pieces = _tables.setdefault(path, PieceTable(path))
+        words = _tables.get(path) or _tables.setdefault(path, WordTable(path))
         ids, decoded, counts, before = [], [], [np.zeros(1, np.int64)], 0
         _, offsets = common.utf8(texts)
         for a, b in common.slices(offsets):
-            own, ends, plain = pieces.encode([t or "" for t in texts[a:b].to_pylist()])
+            own, ends, plain = words.encode([t or "" for t in texts[a:b].to_pylist()])
             ids.append(own)
             decoded += plain
             counts.append(ends[1:] + before)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup
+from . import bpe, decontamination, exact_dedup
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_bpe": bpe.op4_bpe,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLES = {
