@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup
+from . import bpe, decontamination, exact_dedup, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_bpe": bpe.op4_bpe,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLES = {
