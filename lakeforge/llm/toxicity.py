@@ -192,7 +192,11 @@ class Detector:
         distinct = set(words)
         if self.model:
             for span in suspicious(text):
-                distinct.update(WORD.findall(self.restore(span)))
+                restored = self.restore(span)
+                distinct.update(WORD.findall(restored))
+                if _APART.fullmatch(span):  # letters set apart: neighbouring single-letter words may have joined them
+                    joined = restored.replace(" ", "")
+                    distinct.update(w.rstrip("*") for w in self.words if w.rstrip("*") in joined)
         found = distinct & self.words.keys()
         for n in self.lengths:
             found |= {w[:n] + "*" for w in distinct if len(w) >= n} & self.words.keys()
