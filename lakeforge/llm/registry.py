@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, toxicity
+from . import bpe, decontamination, exact_dedup, ngram_join, toxicity
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_bpe": bpe.op4_bpe,
     "op7_toxicity": toxicity.op7_toxicity,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLES = {
+    "op1_ngram_join": ngram_join.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op10_decontamination": decontamination.SQL,
 }
