@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, ngram_join, toxicity
+from . import bpe, decontamination, exact_dedup, ngram_join, quality, secrets, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_quality": quality.op3_quality,
     "op4_bpe": bpe.op4_bpe,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_secrets": secrets.op8_secrets,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLES = {
