@@ -4,14 +4,15 @@ A document is its set of distinct n-word shingles (64-bit hashes). With the shin
 order, two sets that are similar enough share at least L tokens in their L-prefixes, the first
 ``size - ceil(t * size) + L`` tokens. The order puts frequent shingles last; each document picks the L for which the
 estimated cost (index rows, plus candidates thinned by the matches required) is least, and a pair must share as many
-prefix tokens as the smaller L of the two asks for.
+prefix tokens as the smaller L of the two asks for. Where a shared token stands in both orders bounds what can follow
+it, so a pair counts at a token only if the rest of both sets could still bring the overlap that is needed.
 
 The result is exact, and no group is ever expanded into all its pairs:
     1.  Documents with the same set are linked by their digest.
     2.  In every prefix token's group each member is compared with one hub, then, where the group still holds several
         components, with a second hub: a number of comparisons linear in the group.
-    3.  Only pairs that lie in different components after that are counted (multi-match) and compared. A pair inside one
-        component cannot change the components.
+    3.  Only pairs that lie in different components after that are counted (multi-match) and compared, the smaller set of
+        a pair being sought by its shorter index prefix. A pair inside one component cannot change the components.
 
 Frequencies are counted over all documents: a shingle that stands in several documents of one block of a task is
 reported with its count; the counts are summed, and the most frequent ones, at most ``ORDERED``, are broadcast. The
@@ -136,7 +137,8 @@ def prefix(tokens: np.ndarray, known: np.ndarray, counts: np.ndarray, percent: i
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, known: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """``token, doc, size, matches`` for every prefix token; a set met before in the same task is left to its digest."""
+    """``token, doc, size, place, matches`` for every prefix token; a set met before in the same task is left to its
+    digest."""
     shared = docs.sparkSession.sparkContext.broadcast((known, counts))
 
     def run(batches):
@@ -158,41 +160,49 @@ def prefixes(docs: DataFrame, n: int, percent: int, known: np.ndarray, counts: n
             if rows:
                 lengths = [len(r[0]) for r in rows]
                 each = lambda i, kind: np.repeat(np.array([r[i] for r in rows], kind), lengths)  # noqa: E731, B023
-                yield _batch([np.concatenate([r[0] for r in rows]).astype(np.int64), each(1, np.int64), each(2, np.int32), each(3, np.int8)], ["token", "doc", "size", "matches"])
+                places = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+                yield _batch([np.concatenate([r[0] for r in rows]).astype(np.int64), each(1, np.int64), each(2, np.int32), places, each(3, np.int8)], ["token", "doc", "size", "place", "matches"])
 
-    return docs.mapInArrow(run, "token bigint, doc bigint, size int, matches tinyint")
+    return docs.mapInArrow(run, "token bigint, doc bigint, size int, place int, matches tinyint")
+
+
+def bit_filter(values: DataFrame) -> np.ndarray:
+    """A bit for the slot of each value (column ``v``): at most FILTER_BITS / 64 numbers come to the driver."""
+    slots = values.select(F.pmod(F.xxhash64("v"), F.lit(FILTER_BITS)).alias("s")).distinct()
+    words = slots.groupBy(F.floor(F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["w"].to_numpy(int)] = words["bits"].to_numpy()
+    return out
+
+
+def passing(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Rows whose value may be among ``values``; a join has the last word, but has little left to shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(bit_filter(values))
+
+    @F.arrow_udf("boolean")
+    def run(slots: pa.Array) -> pa.Array:
+        s = slots.to_numpy(zero_copy_only=False)
+        return pa.array(((shared.value[s // 64] >> (s % 64)) & 1).astype(bool))
+
+    return df.filter(F.col(column).isNotNull()).filter(run(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))))
 
 
 def sets_of(docs: DataFrame, n: int, ids: DataFrame) -> DataFrame:
     """``doc, tokens`` of the documents in ``ids`` (and of a few others that its bit filter lets through)."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    words = (
-        ids.select(slot(F.col("doc")).alias("s")).distinct()
-        .groupBy(F.floor(F.col("s") / 64).cast("int").alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
-        .toPandas()
-    )  # at most FILTER_BITS / 64 rows
-    table_ = np.zeros(FILTER_BITS // 64, np.int64)
-    table_[words["w"].to_numpy(int)] = words["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table_)
 
     def run(batches):
         for batch in batches:
-            slots = batch.column(2).to_numpy(zero_copy_only=False)
-            wanted = pa.array(((shared.value[slots // 64] >> (slots % 64)) & 1).astype(bool))
-            batch = batch.filter(wanted)
             own = list(shingle_sets(batch.column(1), n))
             flat = np.concatenate([*own, np.zeros(0, np.uint64)]).astype(np.int64)
             ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc", "tokens"])
 
-    picked = docs.filter(F.col("doc").isNotNull()).select("doc", "text", slot(F.col("doc")).alias("slot"))
-    return picked.mapInArrow(run, "doc bigint, tokens array<bigint>")
+    return passing(docs.select("doc", "text"), "doc", ids).mapInArrow(run, "doc bigint, tokens array<bigint>")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose sets reach the similarity, by comparing the sets themselves."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+    ids = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v")))
     sets = sets_of(docs, n, ids)
     left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
@@ -209,7 +219,8 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     known, counts = frequent(found)
     rows = staged(prefixes(docs, n, percent, known, counts), folder, "prefixes")
     often = rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    groups = staged(rows.join(often.hint("merge"), "token"), folder, "groups")
+    often = staged(often, folder, "often")
+    groups = staged(passing(rows, "token", often.select(F.col("token").alias("v"))).join(often.hint("merge"), "token"), folder, "groups")
 
     live = sizes.filter("doc is not null and size > 0")
     firsts = live.groupBy("size", "digest").agg(F.min("doc").alias("b"), F.count("*").alias("n")).filter("n > 1")
@@ -217,20 +228,25 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     links = staged(same, folder, "links_0")
     parts = smallest_reachable(links, folder, "parts_0")
 
-    close = F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
+    # what is left of both sets from the shared token on must hold the overlap that the similarity asks for, but for the
+    # tokens that may have been shared before
+    reach = lambda spare: F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) and {100 + percent} * (least(size_a - place_a, size_b - place_b) + {spare}) >= {percent} * (size_a + size_b)")
+    as_side = lambda df, s: df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "size", "place", "matches", "part")])
     for step in (1, 2, 3):
-        placed = groups.join(parts.hint("merge"), groups.doc == parts.node, "left").select("token", "doc", "size", "matches", F.coalesce("component", "doc").alias("part"))
+        placed = groups.join(parts.hint("merge"), groups.doc == parts.node, "left").select("token", "doc", "size", "place", "matches", F.coalesce("component", "doc").alias("part"))
         placed = staged(placed, folder, f"placed_{step}")
-        mixed = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min_by(F.struct("doc", "size", "part"), F.struct(F.xxhash64("doc") if step == 2 else F.col("doc"), "doc")).alias("hub")).filter("p <> q")
+        mixed = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min_by(F.struct("doc", "size", "place", "part"), F.struct(F.xxhash64("doc") if step == 2 else F.col("doc"), "doc")).alias("hub")).filter("p <> q")
         if step < 3:  # each member with one hub
-            pairs = placed.join(mixed.hint("merge"), "token").filter("part <> hub.part").select(F.col("hub.doc").alias("a"), F.col("doc").alias("b"), F.col("hub.size").alias("size_a"), F.col("size").alias("size_b")).filter(close)
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = placed.join(mixed.hint("merge"), "token").filter("part <> hub.part")
+            pairs = pairs.select(*[F.col(f"hub.{c}").alias(f"{c}_a") for c in ("doc", "size", "place")], *[F.col(c).alias(f"{c}_b") for c in ("doc", "size", "place")]).filter(reach("0"))
+            pairs = pairs.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
         else:  # what is left between components, with the matches that the prefixes promise
             some = staged(placed.join(mixed.select("token").hint("merge"), "token"), folder, "some")
-            x = some.select("token", F.col("doc").alias("a"), F.col("size").alias("size_a"), F.col("matches").alias("m_a"), F.col("part").alias("part_a"))
-            y = some.select("token", F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("matches").alias("m_b"), F.col("part").alias("part_b"))
-            met = x.hint("merge").join(y, "token").filter(F.expr("part_a < part_b") & close)
-            pairs = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.least(F.min("m_a"), F.min("m_b")).alias("m")).filter("n >= m").select("a", "b")
+            index = some.filter(f"{100 + percent} * (size - place + matches - 1) >= {2 * percent} * size")  # of the smaller set
+            smaller = F.expr("part_a <> part_b and struct(size_a, doc_a) < struct(size_b, doc_b)")
+            met = as_side(index, "a").hint("merge").join(as_side(some, "b"), "token").filter(smaller & reach("least(matches_a, matches_b) - 1"))
+            pairs = met.groupBy("doc_a", "doc_b").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("matches_a", "matches_b", "size_a", "size_b", "place_a", "place_b")])
+            pairs = pairs.filter(F.expr("n >= least(matches_a, matches_b)") & reach("0")).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
         pairs = staged(pairs, folder, f"pairs_{step}")
         new = staged(similar(pairs, docs, n, percent), folder, f"links_{step}")
         links = links.unionByName(new)
