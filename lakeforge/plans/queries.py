@@ -79,7 +79,7 @@ CUSTOMER_REASONS = f"""list_filter([
     CASE WHEN segment NOT IN ('automobile', 'building', 'furniture', 'household', 'machinery') THEN 'segment_valor_no_admitido' END,
     CASE WHEN epoch(created_at) > epoch(updated_at) + 1 THEN 'created_at_posterior_a_updated_at' END,
     CASE WHEN NOT regexp_matches(email, '{EMAIL}') THEN 'email_formato' END,
-    CASE WHEN NOT regexp_matches(country_code, '^[A-Z][A-Z]$') THEN 'country_code_formato' END], lambda x: x IS NOT NULL)"
+    CASE WHEN NOT regexp_matches(country_code, '^[A-Z][A-Z]$') THEN 'country_code_formato' END], lambda x: x IS NOT NULL)"""
 PRODUCT_REASONS = """list_filter([
     CASE WHEN product_id IS NULL THEN 'product_id_nulo' END, CASE WHEN sku IS NULL THEN 'sku_nulo' END, CASE WHEN unit_price < 0 THEN 'unit_price_negativo' END,
     CASE WHEN category NOT IN ('economy', 'large', 'medium', 'promo', 'small', 'standard') THEN 'category_valor_no_admitido' END,
