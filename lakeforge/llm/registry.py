@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, language_id, ngram_join, quality, secrets, toxicity, warc_fixity
+from . import bpe, decontamination, exact_dedup, language_id, ngram_join, quality, secrets, suffix_dedup, toxicity, warc_fixity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_quality": quality.op3_quality,
     "op4_bpe": bpe.op4_bpe,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_language_id": language_id.op6_language_id,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_secrets": secrets.op8_secrets,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op1_ngram_join": ngram_join.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
+    "op5_suffix_dedup": suffix_dedup.SQL,
     "op9_warc_fixity": warc_fixity.SQL,
     "op10_decontamination": decontamination.SQL,
 }
