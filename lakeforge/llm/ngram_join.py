@@ -38,7 +38,7 @@ from .components import smallest_reachable
 #: Most shingles whose frequency is broadcast (9 bytes each).
 ORDERED = 1 << 18
 #: Shingles in memory at once while repeated ones are sought.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Largest L, and the cost of comparing a pair in units of an index row.
 MOST_MATCHES, COMPARE = 4, 8.0
 #: Bits of the filter of documents to compare; false positives are dropped by the join that follows.
@@ -49,7 +49,7 @@ IS_WORD = common.byte_class(lambda b: b != 32 and not 9 <= b <= 13)
 def shingle_sets(texts: pa.Array, n: int):
     """The sorted distinct shingle hashes of each text."""
     whole, offsets = common.utf8(texts)
-    for a, b in common.slices(offsets):
+    for a, b in common.slices(offsets, 1 << 20):
         data = common.lowered(whole[offsets[a] : offsets[b]])
         starts, stops, first = common.word_bounds(data, offsets[a : b + 1] - offsets[a], IS_WORD)
         words = common.word_hashes(data, starts, stops)
@@ -144,7 +144,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, known: np.ndarray, counts: n
     def run(batches):
         known, counts = shared.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
             rows: list[tuple] = []
             for doc, tokens in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
                 if doc is None or not len(tokens):
@@ -175,29 +175,42 @@ def bit_filter(values: DataFrame) -> np.ndarray:
     return out
 
 
-def passing(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+def slot(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def _marked(bits: np.ndarray, slots: pa.Array) -> pa.Array:
+    s = slots.to_numpy(zero_copy_only=False)
+    return pa.array(((bits[s // 64] >> (s % 64)) & 1).astype(bool))
+
+
+def passing(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """Rows whose value may be among ``values``; a join has the last word, but has little left to shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(bit_filter(values))
+    shared = rows.sparkSession.sparkContext.broadcast(bit_filter(values))
 
-    @F.arrow_udf("boolean")
-    def run(slots: pa.Array) -> pa.Array:
-        s = slots.to_numpy(zero_copy_only=False)
-        return pa.array(((shared.value[s // 64] >> (s % 64)) & 1).astype(bool))
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(_marked(shared.value, batch.column(batch.num_columns - 1))).select(range(batch.num_columns - 1))
 
-    return df.filter(F.col(column).isNotNull()).filter(run(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))))
+    schema = rows.schema
+    return rows.select("*", slot(column).alias("__slot")).mapInArrow(run, schema)
 
 
 def sets_of(docs: DataFrame, n: int, ids: DataFrame) -> DataFrame:
     """``doc, tokens`` of the documents in ``ids`` (and of a few others that its bit filter lets through)."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(ids))
 
     def run(batches):
-        for batch in batches:
-            own = list(shingle_sets(batch.column(1), n))
-            flat = np.concatenate([*own, np.zeros(0, np.uint64)]).astype(np.int64)
-            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc", "tokens"])
-
-    return passing(docs.select("doc", "text"), "doc", ids).mapInArrow(run, "doc bigint, tokens array<bigint>")
+        for whole in batches:
+            whole = whole.filter(_marked(shared.value, whole.column(2)))
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
+                own = list(shingle_sets(batch.column(1), n))
+                flat = np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)
+                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc", "tokens"])
+
+    return docs.filter(F.col("doc").isNotNull()).select("doc", "text", slot("doc").alias("slot")).mapInArrow(run, "doc bigint, tokens array<bigint>")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
