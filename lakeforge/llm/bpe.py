@@ -34,7 +34,7 @@ from . import common
 from .common import table
 
 #: Distinct words whose encodings a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -100,7 +100,7 @@ class WordEncoder:
         """Whether the merges leave ``before, token`` as they are (``before`` -1: ``token`` alone)."""
         known = self.agrees.get((before, token))
         if known is None:
-            if len(self.agrees) > 1_000_000:
+            if len(self.agrees) > 400_000:
                 self.agrees.clear()
             parts = (self.symbols(before) if before >= 0 else []) + self.symbols(token)
             wanted = ([self.text[before]] if before >= 0 else []) + [self.text[token]]
@@ -112,7 +112,7 @@ class WordEncoder:
         id), the longest first, inside a word and at its end."""
         known = self.steps.get(text)
         if known is None:
-            if len(self.steps) > 500_000:
+            if len(self.steps) > 200_000:
                 self.steps.clear()
             part = text
             while part and part not in self.starts:
