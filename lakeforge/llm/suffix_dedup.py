@@ -6,7 +6,7 @@ Suffixes can only match where their first bytes do, so the suffixes to sort are
 of LENGTH bytes is owned by the smallest hash among its K-grams (its anchor, the leftmost of equal ones); equal windows
 have equal anchors at equal places. Windows next to each other with one owner make a context.
     1.  Anchors are hashed to 40 bits and sent in sorted blocks, four bytes each; those of several documents are kept as
-        bits of a fixed-size filter.
+        bits of a filter whose size follows the input up to a bound.
     2.  Contexts with a kept anchor are aggregated by content: the first document of each. Their keys and the anchors with
         several contexts become filters too.
     3.  A context whose key is not that of a first document is covered by it. The other ones go on: those alone under
@@ -42,7 +42,9 @@ from .common import mix, shared_folder, staged, table
 LENGTH, K = 50, 24
 W = LENGTH - K + 1
 PLACE = np.uint64((1 << 30) - 1)
-ANCHOR_BITS, FILTER_LOG, BUCKETS = 40, 27, 256
+ANCHOR_BITS, BUCKETS = 40, 256
+#: Logarithms of the least and greatest size of a filter in bits; between them it follows what it has to hold.
+SMALL, LARGE = 16, 27
 BLOCK = 1 << 21
 #: Contexts under one anchor that are still sorted in one task.
 HOT = 20_000
@@ -86,9 +88,6 @@ class Contexts:
         shape = ((self.anchor - self.start) * 4096 + self.count).astype(np.uint64)
         self.content = mix((self.prefix[end] - self.prefix[self.start]) * self.down[self.start] + mix(shape))
 
-    def slot(self) -> np.ndarray:
-        return (self.gram >> np.uint64(64 - FILTER_LOG)).astype(np.int64)
-
 
 def contexts_of(texts: pa.Array):
     """(first row, end row, contexts) for slices of a column."""
@@ -97,20 +96,35 @@ def contexts_of(texts: pa.Array):
         yield a, b, Contexts(whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def _has(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return ((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).astype(bool)
+def log_size(bits: float) -> int:
+    return int(min(LARGE, max(SMALL, np.ceil(np.log2(max(bits, 1))))))
+
+
+class Bits:
+    """A filter of 64-bit hashes: one bit for each value of their first ``log`` bits."""
+
+    def __init__(self, log: int, data: np.ndarray):
+        self.log, self.data = log, data
+
+    def slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.log)).astype(np.int64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        s = self.slot(hashes)
+        return ((self.data[s >> 3] >> (s & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _key_slot(content: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return (mix(content ^ mix(doc.astype(np.int64).astype(np.uint64))) >> np.uint64(64 - FILTER_LOG)).astype(np.int64)
+def _key(content: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return mix(content.astype(np.int64).view(np.uint64) ^ mix(doc.astype(np.int64).view(np.uint64)))
 
 
 def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
 
 
-def repeated_anchors(docs: DataFrame) -> np.ndarray:
-    """Filter of the anchors that stand in several documents: 2 ** FILTER_LOG bits."""
+def repeated_anchors(docs: DataFrame, log: int) -> Bits:
+    """Filter of the anchors that stand in several documents."""
+    inner = log - 8  # bits inside one of the BUCKETS
 
     def emit(held: list[np.ndarray]):
         v = np.sort(np.concatenate(held))
@@ -142,25 +156,30 @@ def repeated_anchors(docs: DataFrame) -> np.ndarray:
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["values"]]))
         twice = v[1:][v[1:] == v[:-1]]
-        bits = np.zeros((1 << (FILTER_LOG - 8)) // 8, np.uint8)
-        slots = np.unique(twice >> np.uint32(32 - (FILTER_LOG - 8)))
+        bits = np.zeros((1 << inner) // 8, np.uint8)
+        slots = np.unique(twice >> np.uint32(32 - inner))
         np.bitwise_or.at(bits, slots >> 3, np.uint8(1) << (slots & 7).astype(np.uint8))
         return pd.DataFrame({"bucket": [key[0]], "bits": [bits.tobytes()]})
 
     found = docs.mapInArrow(scan, "bucket int, values binary").groupBy("bucket").applyInPandas(merge, "bucket int, bits binary").toPandas()
-    out = np.zeros((BUCKETS, (1 << (FILTER_LOG - 8)) // 8), np.uint8)
+    out = np.zeros((BUCKETS, (1 << inner) // 8), np.uint8)
     for bucket, bits in zip(found["bucket"], found["bits"], strict=True):
         out[bucket] = np.frombuffer(bits, np.uint8)
-    return out.ravel()
+    return Bits(log, out.ravel())
 
 
-def bit_filter(slots: DataFrame) -> np.ndarray:
-    """Filter of a column ``s`` of slots; at most 2 ** FILTER_LOG / 512 rows of 64 bytes come to the driver."""
-    words = slots.groupBy(F.expr("cast(shiftright(s, 6) as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
-    rows = words.toPandas()
-    out = np.zeros(1 << (FILTER_LOG - 6), np.int64)
-    out[rows["w"].to_numpy(int)] = rows["bits"].to_numpy()
-    return out.view(np.uint8)
+def bit_filter(rows: DataFrame, hashed, columns: list[str], log: int) -> Bits:
+    """Filter of ``hashed`` over some columns; its bits come to the driver as at most 2 ** LARGE / 64 numbers."""
+
+    @F.arrow_udf(T.LongType())
+    def slot(*values: pa.Array) -> pa.Array:
+        return pa.array((hashed(*[v.to_numpy(zero_copy_only=False) for v in values]) >> np.uint64(64 - log)).astype(np.int64))
+
+    words = rows.select(slot(*columns).alias("s")).groupBy(F.expr("cast(shiftright(s, 6) as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
+    found = words.toPandas()
+    out = np.zeros(1 << (log - 6), np.int64)
+    out[found["w"].to_numpy(int)] = found["bits"].to_numpy()
+    return Bits(log, out.view(np.uint8))
 
 
 def classes(docs: DataFrame, shared) -> DataFrame:
@@ -170,54 +189,43 @@ def classes(docs: DataFrame, shared) -> DataFrame:
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             for a, _, c in contexts_of(batch.column(1)):
-                kept = _has(shared.value, c.slot())
+                kept = shared.value.has(c.gram)
                 yield _batch([c.content[kept].astype(np.int64), (c.gram[kept] >> np.uint64(32)).astype(np.uint32).view(np.int32), doc[a + c.row[kept]]], ["content", "gram", "doc"])
 
     return docs.mapInArrow(scan, "content bigint, gram int, doc bigint").groupBy("content").agg(F.min("gram").alias("gram"), F.min("doc").alias("first"))
 
 
-def _gram_slot(gram: np.ndarray) -> np.ndarray:
-    return (mix(gram.astype(np.int64).astype(np.uint64)) >> np.uint64(64 - FILTER_LOG)).astype(np.int64)
-
-
-@F.arrow_udf(T.LongType())
-def key_slot(content: pa.Array, doc: pa.Array) -> pa.Array:
-    return pa.array(_key_slot(content.to_numpy(zero_copy_only=False).astype(np.uint64), doc.to_numpy(zero_copy_only=False)))
-
-
-@F.arrow_udf(T.LongType())
-def gram_slot(gram: pa.Array) -> pa.Array:
-    return pa.array(_gram_slot(gram.to_numpy(zero_copy_only=False)))
+def _gram(gram: np.ndarray) -> np.ndarray:
+    return mix(gram.astype(np.int64).view(np.uint64))
 
 
 class Filters:
-    """anchors: in several documents; firsts: (context, first document); several: anchors with several contexts; hot: with
-    very many."""
+    """firsts: (context, first document); several: anchors with several contexts; hot: with very many."""
 
-    def __init__(self, anchors: np.ndarray, firsts: np.ndarray, several: np.ndarray, hot: np.ndarray):
-        self.anchors, self.firsts, self.several, self.hot = anchors, firsts, several, hot
+    def __init__(self, firsts: Bits, several: Bits, hot: Bits):
+        self.firsts, self.several, self.hot = firsts, several, hot
 
-    def judge(self, c: Contexts, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def judge(self, c: Contexts, doc: np.ndarray, anchors: Bits) -> tuple[np.ndarray, np.ndarray]:
         """Contexts that an earlier document covers for certain, and those that need an exact answer."""
-        kept = _has(self.anchors, c.slot())
-        first = _has(self.firsts, _key_slot(c.content, doc[c.row]))
-        return np.flatnonzero(kept & ~first), np.flatnonzero(kept & first)
+        kept = np.flatnonzero(anchors.has(c.gram))
+        first = self.firsts.has(_key(c.content[kept], doc[c.row[kept]]))
+        return kept[~first], kept[first]
 
 
 OPEN = "content bigint, gram int, route tinyint, doc bigint, version int, start int, count int, place int, bytes binary"
 
 
-def open_contexts(docs: DataFrame, shared) -> DataFrame:
+def open_contexts(docs: DataFrame, anchors, shared) -> DataFrame:
     """Contexts that need an exact answer. ``route`` 0: alone under its anchor; 1: to be sorted; 2: hot."""
 
     def scan(batches):
         for batch in batches:
             doc, version = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for a, b, c in contexts_of(batch.column(1)):
-                _, at = shared.value.judge(c, doc[a:b])
+                _, at = shared.value.judge(c, doc[a:b], anchors.value)
                 gram = (c.gram[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                slot = _gram_slot(gram)
-                route = _has(shared.value.several, slot).astype(np.int8) * (1 + _has(shared.value.hot, slot).astype(np.int8))
+                hashed = _gram(gram)
+                route = shared.value.several.has(hashed).astype(np.int8) * (1 + shared.value.hot.has(hashed).astype(np.int8))
                 start, count, row = c.start[at], c.count[at], c.row[at]
                 ends = start + count - 1 + LENGTH
                 own = [c.data[s:e].tobytes() if r else None for s, e, r in zip(start.tolist(), ends.tolist(), route.tolist(), strict=True)]
@@ -398,25 +406,24 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc"), text.alias("text"))
     versioned = rows.select("doc", "text", (F.crc32(F.col("text").cast("binary")) - 2147483648).cast("int").alias("version"), "id")
-    anchors = repeated_anchors(rows.select("doc", "text"))
-    found = staged(classes(rows.select("doc", "text"), sc.broadcast(anchors)), folder, "classes")
-    per_anchor = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    per_anchor = staged(per_anchor.withColumn("s", gram_slot("gram")), folder, "anchors")
-    firsts = bit_filter(found.select(key_slot("content", "first").alias("s")))
-    filters = Filters(anchors, firsts, bit_filter(per_anchor), bit_filter(per_anchor.filter(F.col("n") > HOT)))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    anchors = sc.broadcast(repeated_anchors(rows.select("doc", "text"), log_size(size / 4)))
+    found = staged(classes(rows.select("doc", "text"), anchors), folder, "classes")
+    per_anchor = staged(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), folder, "anchors")
+    bits = lambda df, hashed, *columns: bit_filter(df, hashed, list(columns), log_size(16 * df.count()))
+    filters = Filters(bits(found, _key, "content", "first"), bits(per_anchor, _gram, "gram"), bits(per_anchor.filter(F.col("n") > HOT), _gram, "gram"))
     shared = sc.broadcast(filters)
-    opened = open_contexts(versioned.select("doc", "text", "version"), shared).persist()
+    opened = staged(open_contexts(versioned.select("doc", "text", "version"), anchors, shared), folder, "open")
     alone = opened.filter("route = 0").select("content", "doc", "version", "start", "count")
     late = alone.join(found.select("content", "first").hint("merge"), "content").filter("doc > first")
     late = late.select("doc", "version", F.col("start").cast("bigint").alias("low"), (F.col("start") + F.col("count") - 1 + LENGTH).cast("bigint").alias("high"))
-    ranges = staged(sorted_ranges(opened).unionByName(hot_ranges(opened)).unionByName(late), folder, "ranges")
-    opened.unpersist()
-    lists = staged(ranges.groupBy("doc", "version").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), folder, "range_lists")
-    has = sc.broadcast(bit_filter(lists.select(gram_slot(F.xxhash64("doc", "version")).alias("s"))))
+    ranges = sorted_ranges(opened).unionByName(hot_ranges(opened)).unionByName(late)
+    lists = staged(ranges.groupBy("doc", "version").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), folder, "ranges")
+    has = sc.broadcast(bits(lists, _key, "doc", "version"))
 
     @F.arrow_udf("boolean")
-    def may_have(h: pa.Array) -> pa.Array:
-        return pa.array(_has(has.value, _gram_slot(h.to_numpy(zero_copy_only=False))))
+    def may_have(doc: pa.Array, version: pa.Array) -> pa.Array:
+        return pa.array(has.value.has(_key(doc.to_numpy(zero_copy_only=False), version.to_numpy(zero_copy_only=False))))
 
     @F.arrow_udf("struct<kept:binary,n_bytes:bigint,n_removed:bigint,n_spans:bigint>")
     def cut(doc: pa.Array, texts: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
@@ -424,7 +431,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         extra = [list(zip(x or (), y or (), strict=True)) for x, y in zip(low.to_pylist(), high.to_pylist(), strict=True)]
         out = []
         for a, b, c in contexts_of(texts):
-            at, _ = shared.value.judge(c, ids[a:b])
+            at, _ = shared.value.judge(c, ids[a:b], anchors.value)
             for s, n, r in zip(c.start[at].tolist(), c.count[at].tolist(), c.row[at].tolist(), strict=True):
                 s -= int(c.offsets[r])
                 extra[a + r].append((s, s + n - 1 + LENGTH))
@@ -435,7 +442,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64())], ["kept", "n_bytes", "n_removed", "n_spans"])
 
     none = F.lit(None).cast("array<bigint>")
-    flagged = versioned.withColumn("may", may_have(F.xxhash64("doc", "version")))
+    flagged = versioned.withColumn("may", may_have("doc", "version"))
     plain = flagged.filter("not may").select("id", "doc", "text", none.alias("low"), none.alias("high"))
     met = flagged.filter("may").join(lists.hint("merge"), ["doc", "version"], "left").select("id", "doc", "text", "low", "high")
     done = [df.select(F.col("id").alias(id_col), cut("doc", "text", "low", "high").alias("c")).select(id_col, "c.*") for df in (plain, met)]
