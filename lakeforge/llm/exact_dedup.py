@@ -80,12 +80,12 @@ class DigestIndex:
         )
 
 
-def fresh_index(spark: SparkSession) -> DigestIndex:
+def fresh_index(spark: SparkSession, id_type: str = "bigint") -> DigestIndex:
     """An empty index in the shared folder."""
-    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex[:12]}", f"{shared_folder(spark)}/index")
+    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex[:12]}", f"{shared_folder(spark)}/index", id_type=id_type)
 
 
-def distinct_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the rows that stay when ``docs`` is the first batch of a fresh index.
 
     Rows are numbered once and staged, so that the decision finds exactly the row it was made for, also where ids are
@@ -93,9 +93,9 @@ def distinct_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     spark = docs.sparkSession
     own = f"row_{uuid.uuid4().hex[:8]}"
-    order = F.struct(F.col("doc_id"), F.monotonically_increasing_id())
+    order = F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
     numbered = staged(docs.withColumn(own, order), shared_folder(spark), "numbered")
-    verdict = fresh_index(spark).deduplicate(numbered.select(own, text_col), id_col=own, text_col=text_col)
+    verdict = fresh_index(spark, dict(numbered.dtypes)[own]).deduplicate(numbered.select(own, text_col), id_col=own, text_col=text_col)
     return numbered.join(verdict.filter("kept").select(own), own, "left_semi").drop(own)
 
 

@@ -28,7 +28,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
-ORDINARY = r"[A-Za-z_]{6,}"
+ORDINARY = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z_]{6,}(?![A-Za-z0-9+/_=-])"
 
 #: Most documents whose words are the sample of ordinary identifiers.
 ORDINARY_DOCS = 2000
