@@ -34,6 +34,8 @@ ORDINARY = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z_]{6,}(?![A-Za-z0-9+/_=-])"
 ORDINARY_DOCS = 2000
 #: Least log-likelihood ratio, in nats.
 LEAST_RATIO = 12.0
+#: Weight of a character's own frequency beside its frequency after another one.
+BACKOFF = 100.0
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=."
 N = len(LETTERS) + 1
 KINDS = ("assign", "access", "hex", "markov")
@@ -89,9 +91,14 @@ def train(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: s
     ordinary = words.distinct().withColumn("kind", F.lit("ordinary"))
     seen = random.unionByName(ordinary).select("kind", F.explode(pairs(F.col("token"))).alias("pair")).groupBy("pair").agg(F.count_if(F.col("kind") == "random").alias("r"), F.count_if(F.col("kind") == "ordinary").alias("o"))
     every = docs.sparkSession.range(N * N).select(F.col("id").cast("int").alias("pair")).join(seen, "pair", "left").fillna(0, ["r", "o"])
-    before = every.groupBy(F.floor(F.col("pair") / N).alias("before")).agg(F.sum("r").alias("r_all"), F.sum("o").alias("o_all"))
-    chance = lambda n, total: F.log((F.col(n) + 0.5) / (F.col(total) + 0.5 * N))
-    ratio = every.join(F.broadcast(before), F.floor(F.col("pair") / N) == F.col("before")).select("pair", "r", (chance("r", "r_all") - chance("o", "o_all")).alias("x"))
+    marginal = lambda column, name: every.groupBy(column.alias(name)).agg(F.sum("r").alias(f"r_{name}"), F.sum("o").alias(f"o_{name}"))
+    first, second = F.floor(F.col("pair") / N), F.col("pair") % N
+    sums = every.agg(F.sum("r").alias("r_all"), F.sum("o").alias("o_all"))
+    # N rows and one row: the sides of these joins have a fixed size
+    met = every.join(F.broadcast(marginal(first, "before")), first == F.col("before")).join(F.broadcast(marginal(second, "after")), second == F.col("after")).join(F.broadcast(sums))
+    single = lambda k: (F.col(f"{k}_after") + 1) / (F.col(f"{k}_all") + N)
+    chance = lambda k: F.log((F.col(k) + BACKOFF * single(k)) / (F.col(f"{k}_before") + BACKOFF))
+    ratio = met.select("pair", "r", (chance("r") - chance("o")).alias("x"))
     gathered = ratio.agg(F.array_sort(F.collect_list(F.struct("pair", "x"))).alias("s"), F.sum("r").alias("n"))
     return gathered.select(F.when(F.col("n") > 0, F.transform("s", lambda v: v["x"])).otherwise(F.array_repeat(F.lit(0.0), N * N)).alias("ratio"))
 
