@@ -146,3 +146,28 @@ def slices(offsets: np.ndarray, most: int = 4 << 20):
 
 def string_list(parts: list[list[str]]) -> pa.Array:
     return pa.array(parts, pa.list_(pa.string()))
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Filters of bounded size; a false positive only sends more rows to the exact step behind them.
+
+#: Logarithms of the least and greatest size of a filter in bits; between them it follows what it has to hold.
+SMALL, LARGE = 16, 27
+
+
+def log_size(bits: float) -> int:
+    return int(min(LARGE, max(SMALL, np.ceil(np.log2(max(bits, 1))))))
+
+
+class Bits:
+    """A filter of 64-bit hashes: one bit for each value of their first ``log`` bits."""
+
+    def __init__(self, log: int, data: np.ndarray):
+        self.log, self.data = log, data
+
+    def slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.log)).astype(np.int64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        s = self.slot(hashes)
+        return ((self.data[s >> 3] >> (s & 7).astype(np.uint8)) & 1).astype(bool)

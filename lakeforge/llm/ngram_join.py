@@ -9,14 +9,16 @@ it, so a pair counts at a token only if the rest of both sets could still bring
 
 The result is exact, and no group is ever expanded into all its pairs:
     1.  Documents with the same set are linked by their digest.
-    2.  In every prefix token's group each member is compared with one hub, then, where the group still holds several
-        components, with a second hub: a number of comparisons linear in the group.
+    2.  In every prefix token's group each member is compared with one hub, the one with fewest rarer shingles (of near
+        copies, that nearest to their original); then, where the group still holds several components, with a second
+        hub: a number of comparisons linear in the group.
     3.  Only pairs that lie in different components after that are counted (multi-match) and compared, the smaller set of
         a pair being sought by its shorter index prefix. A pair inside one component cannot change the components.
 
-Frequencies are counted over all documents: a shingle that stands in several documents of one block of a task is
-reported with its count; the counts are summed, and the most frequent ones, at most ``ORDERED``, are broadcast. The
-order they give is the same everywhere, which is all that exactness needs; shingles not reported only come first.
+Frequencies are counted over all documents: each block of a task sends its sorted shingle hashes, four bytes each, to the
+bucket of their first bits. A bucket gives a bit for every shingle that stands in several documents, and the counts of
+its most frequent ones (at most ``ORDERED`` in all are broadcast). A shingle without a bit stands in one document only:
+it comes first in the order and is never sent. So documents that are mostly their own words send nothing at all.
 
 Defined results
     * Null or empty texts and texts without words have no shingle and no links; fewer than n words are one shingle.
@@ -27,18 +29,19 @@ Defined results
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import shared_folder, staged, table
+from .common import Bits, log_size, shared_folder, staged, table
 from .components import smallest_reachable
 
 #: Most shingles whose frequency is broadcast (9 bytes each).
 ORDERED = 1 << 18
-#: Shingles in memory at once while repeated ones are sought.
-BLOCK = 1 << 21
+#: Shingle hashes that a task sends at once, and the buckets that they go to.
+BLOCK, BUCKET_LOG = 1 << 21, 8
 #: Largest L, and the cost of comparing a pair in units of an index row.
 MOST_MATCHES, COMPARE = 4, 8.0
 #: Bits of the filter of documents to compare; false positives are dropped by the join that follows.
@@ -72,96 +75,117 @@ def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
 
 
 def facts(docs: DataFrame, n: int) -> DataFrame:
-    """One pass: ``kind`` 0 has (id, set size, digest), ``kind`` 1 has (shingle, documents of a block that have it)."""
+    """``doc, size, digest`` of every row."""
 
     def run(batches):
-        held, size, seen = [], 0, set()
+        for batch in batches:
+            got = [(len(tokens), digest(tokens)) for tokens in shingle_sets(batch.column(1), n)]
+            yield _batch([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["doc", "size", "digest"])
+
+    return docs.mapInArrow(run, "doc bigint, size bigint, digest bigint")
+
+
+class Frequencies:
+    """Which shingles stand in several documents, and how many documents have the most frequent ones (by the first 40
+    bits of their hash)."""
+
+    def __init__(self, several: Bits, values: np.ndarray, counts: np.ndarray):
+        order = np.argsort(values)
+        self.several, self.values, self.counts = several, values[order], counts[order]
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """1 for a shingle of one document; 2 or the count for others."""
+        often = np.where(self.several.has(tokens), 2, 1)
+        if len(self.values):
+            v = tokens >> np.uint64(24)
+            at = np.minimum(np.searchsorted(self.values, v), len(self.values) - 1)
+            often = np.where((often > 1) & (self.values[at] == v), self.counts[at], often)
+        return often
+
+
+def frequencies(docs: DataFrame, n: int, log: int) -> Frequencies:
+    """Counted over all documents; what comes to the driver has a fixed bound."""
+    inner, most = log - BUCKET_LOG, ORDERED >> BUCKET_LOG
 
-        def repeated():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            many = counts > 1
-            return _batch([np.ones(many.sum(), np.int8), values[many].astype(np.int64), counts[many].astype(np.int64), np.zeros(many.sum(), np.int64)], ["kind", "a", "b", "c"])
+    def emit(held: list[np.ndarray]):
+        v = np.sort(np.concatenate(held) >> np.uint64(24))
+        bucket = (v >> np.uint64(40 - BUCKET_LOG)).astype(np.int32)
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        parts = np.split(v.astype(np.uint32), cuts)
+        return _batch([bucket[np.concatenate(([0], cuts))], pa.array([p.tobytes() for p in parts], pa.binary())], ["bucket", "hashes"])
 
+    def scan(batches):
+        held, size = [], 0
         for batch in batches:
-            sizes, digests = [], []
             for tokens in shingle_sets(batch.column(1), n):
-                sizes.append(len(tokens))
-                digests.append(digest(tokens))
-                if len(tokens) and digests[-1] not in seen:
-                    seen.add(digests[-1])
+                if len(tokens):
                     held.append(tokens)
                     size += len(tokens)
                     if size >= BLOCK:
-                        yield repeated()
+                        yield emit(held)
                         held, size = [], 0
-                        seen.clear()
-            yield _batch([np.zeros(len(sizes), np.int8), batch.column(0).cast(pa.int64()), np.array(sizes, np.int64), np.array(digests, np.int64)], ["kind", "a", "b", "c"])
-        if held:
-            yield repeated()
-
-    return docs.mapInArrow(run, "kind tinyint, a bigint, b bigint, c bigint")
-
-
-def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The at most ORDERED most frequent shingles with their counts: whole powers of two of frequency, from the top."""
-    counts = found.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n"))
-    levels = {int(r[0]): int(r[1]) for r in counts.groupBy(F.floor(F.log2("n")).alias("level")).count().collect()}
-    total, least = 0, 64
-    for level in sorted(levels, reverse=True):
-        total += levels[level]
-        if total > ORDERED:
-            break
-        least = level
-    kept = counts.filter(F.col("n") >= 2**least).toPandas() if least < 63 else None
-    if kept is None or not len(kept):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    tokens = kept["a"].to_numpy().astype(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], kept["n"].to_numpy()[order]
-
-
-def prefix(tokens: np.ndarray, known: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The tokens of a document's prefix, and its number of matches."""
+        if size:
+            yield emit(held)
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        v, counts = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["hashes"]]), return_counts=True)
+        slots = np.unique(v[counts > 1] >> np.uint32(32 - inner))
+        bits = np.zeros((1 << inner) // 8, np.uint8)
+        np.bitwise_or.at(bits, slots >> 3, np.uint8(1) << (slots & 7).astype(np.uint8))
+        top = np.flatnonzero(counts > 2)
+        top = top[np.lexsort((v[top], -counts[top]))[:most]]
+        return pd.DataFrame({"bucket": [key[0]], "bits": [bits.tobytes()], "v": [v[top].tobytes()], "n": [counts[top].astype(np.int64).tobytes()]})
+
+    found = docs.mapInArrow(scan, "bucket int, hashes binary").groupBy("bucket").applyInPandas(merge, "bucket int, bits binary, v binary, n binary").toPandas()
+    data = np.zeros((1 << BUCKET_LOG, (1 << inner) // 8), np.uint8)
+    values, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for bucket, bits, v, k in zip(found["bucket"], found["bits"], found["v"], found["n"], strict=True):
+        data[bucket] = np.frombuffer(bits, np.uint8)
+        values.append((np.uint64(bucket) << np.uint64(32)) | np.frombuffer(v, np.uint32))
+        counts.append(np.frombuffer(k, np.int64))
+    return Frequencies(Bits(log, data.ravel()), np.concatenate(values), np.concatenate(counts))
+
+
+def prefix(tokens: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The tokens of a document's prefix that other documents may have, their places in its order, and its number of
+    matches."""
     size = len(tokens)
     base, most = size - (percent * size + 99) // 100, min(MOST_MATCHES, (percent * size + 99) // 100)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        often = np.where(known[at] == tokens, counts[at], 1)
-    else:
-        often = np.ones(size, np.int64)
     order = np.lexsort((tokens, often))
     cost = np.cumsum(often[order][: base + most] - 1)
     choices = [(base + m + COMPARE * cost[base + m - 1] / 4 ** (m - 1), m) for m in range(1, most + 1)]
     matches = min(choices)[1]
-    return tokens[order[: base + matches]], matches
+    places = np.flatnonzero(often[order][: base + matches] > 1)
+    return tokens[order[places]], places, matches
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, known: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """``token, doc, size, place, matches`` for every prefix token; a set met before in the same task is left to its
-    digest."""
-    shared = docs.sparkSession.sparkContext.broadcast((known, counts))
+def prefixes(docs: DataFrame, n: int, percent: int, known: Frequencies) -> DataFrame:
+    """``token, doc, size, place, matches`` for every prefix token of several documents; a set met before in the same task
+    is left to its digest."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        known, counts = shared.value
         seen: set[int] = set()
         for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
             rows: list[tuple] = []
             for doc, tokens in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
                 if doc is None or not len(tokens):
                     continue
+                often = shared.value.of(tokens)
+                if np.count_nonzero(often == 1) > len(tokens) - (percent * len(tokens) + 99) // 100:
+                    continue  # more shingles of its own than any similar pair leaves
                 same = digest(tokens)
                 if same in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(same)
-                chosen, matches = prefix(tokens, known, counts, percent)
-                rows.append((chosen, doc, len(tokens), matches))
+                chosen, places, matches = prefix(tokens, often, percent)
+                rows.append((chosen, places, doc, len(tokens), matches))
             if rows:
                 lengths = [len(r[0]) for r in rows]
                 each = lambda i, kind: np.repeat(np.array([r[i] for r in rows], kind), lengths)  # noqa: E731, B023
-                places = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
-                yield _batch([np.concatenate([r[0] for r in rows]).astype(np.int64), each(1, np.int64), each(2, np.int32), places, each(3, np.int8)], ["token", "doc", "size", "place", "matches"])
+                yield _batch([np.concatenate([r[0] for r in rows]).astype(np.int64), each(2, np.int64), each(3, np.int32), np.concatenate([r[1] for r in rows]).astype(np.int32), each(4, np.int8)], ["token", "doc", "size", "place", "matches"])
 
     return docs.mapInArrow(run, "token bigint, doc bigint, size int, place int, matches tinyint")
 
@@ -228,9 +252,9 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     folder = shared_folder(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     found = staged(facts(docs, n), folder, "facts")
-    sizes = found.filter("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("size"), F.col("c").alias("digest"))
-    known, counts = frequent(found)
-    rows = staged(prefixes(docs, n, percent, known, counts), folder, "prefixes")
+    sizes = found.select("doc", "size", "digest")
+    known = frequencies(docs, n, log_size(sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]))
+    rows = staged(prefixes(docs, n, percent, known), folder, "prefixes")
     often = rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
     often = staged(often, folder, "often")
     groups = staged(passing(rows, "token", often.select(F.col("token").alias("v"))).join(often.hint("merge"), "token"), folder, "groups")
@@ -248,7 +272,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     for step in (1, 2, 3):
         placed = groups.join(parts.hint("merge"), groups.doc == parts.node, "left").select("token", "doc", "size", "place", "matches", F.coalesce("component", "doc").alias("part"))
         placed = staged(placed, folder, f"placed_{step}")
-        mixed = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min_by(F.struct("doc", "size", "place", "part"), F.struct(F.xxhash64("doc") if step == 2 else F.col("doc"), "doc")).alias("hub")).filter("p <> q")
+        mixed = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min_by(F.struct("doc", "size", "place", "part"), F.struct(F.xxhash64("doc") if step == 2 else F.col("place") / F.col("size"), "doc")).alias("hub")).filter("p <> q")
         if step < 3:  # each member with one hub
             pairs = placed.join(mixed.hint("merge"), "token").filter("part <> hub.part")
             pairs = pairs.select(*[F.col(f"hub.{c}").alias(f"{c}_a") for c in ("doc", "size", "place")], *[F.col(c).alias(f"{c}_b") for c in ("doc", "size", "place")]).filter(reach("0"))

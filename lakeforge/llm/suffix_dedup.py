@@ -37,14 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import mix, shared_folder, staged, table
+from .common import Bits, log_size, mix, shared_folder, staged, table
 
 LENGTH, K = 50, 24
 W = LENGTH - K + 1
 PLACE = np.uint64((1 << 30) - 1)
 ANCHOR_BITS, BUCKETS = 40, 256
-#: Logarithms of the least and greatest size of a filter in bits; between them it follows what it has to hold.
-SMALL, LARGE = 16, 27
 BLOCK = 1 << 21
 #: Contexts under one anchor that are still sorted in one task.
 HOT = 20_000
@@ -96,24 +94,6 @@ def contexts_of(texts: pa.Array):
         yield a, b, Contexts(whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def log_size(bits: float) -> int:
-    return int(min(LARGE, max(SMALL, np.ceil(np.log2(max(bits, 1))))))
-
-
-class Bits:
-    """A filter of 64-bit hashes: one bit for each value of their first ``log`` bits."""
-
-    def __init__(self, log: int, data: np.ndarray):
-        self.log, self.data = log, data
-
-    def slot(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - self.log)).astype(np.int64)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        s = self.slot(hashes)
-        return ((self.data[s >> 3] >> (s & 7).astype(np.uint8)) & 1).astype(bool)
-
-
 def _key(content: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(content.astype(np.int64).view(np.uint64) ^ mix(doc.astype(np.int64).view(np.uint64)))
 
@@ -335,12 +315,14 @@ def settle(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def joined(pdf: pd.DataFrame, context: np.ndarray, inner: np.ndarray) -> pd.DataFrame:
     """Windows next to each other in one context as one range ``doc, version, low, high``."""
+    if not len(context):
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc", "version", "low", "high")})
     order = np.lexsort((inner, context))
     context, inner = context[order], inner[order]
-    opens = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (inner[1:] != inner[:-1] + 1))) if len(context) else np.zeros(0, np.int64)
+    opens = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (inner[1:] != inner[:-1] + 1)))
     ends = np.append(opens[1:], len(context)) - 1
     start = pdf["start"].to_numpy(np.int64)[context]
-    which = context[opens] if len(context) else opens
+    which = context[opens]
     return pd.DataFrame({"doc": pdf["doc"].to_numpy(np.int64)[which], "version": pdf["version"].to_numpy(np.int64)[which], "low": (start + inner)[opens], "high": (start + inner)[ends] + LENGTH})
 
 
