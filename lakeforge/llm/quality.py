@@ -159,9 +159,9 @@ class AdditiveModel:
                 p = _sigmoid(total)
                 cell = coarse[i] * PAIR_BINS + coarse[j]
                 g, h, n = (np.bincount(cell, v, PAIR_BINS**2).reshape(PAIR_BINS, PAIR_BINS) for v in (y - p, p * (1 - p), np.ones(len(y))))
-                gain, at = _best_cut(g.sum(1), h.sum(1), n.sum(1))
-                if gain <= 1e-9:  # no cut of the first feature: cut in its middle
-                    at = PAIR_BINS // 2
+                # the cut of the first feature whose two parts gain most from a cut of the second
+                gains = [sum(_best_cut(g[part].sum(0), h[part].sum(0), n[part].sum(0))[0] for part in (slice(0, c), slice(c, PAIR_BINS))) for c in range(1, PAIR_BINS)]
+                at = 1 + int(np.argmax(gains))
                 step = np.zeros_like(g)
                 for part in (slice(0, at), slice(at, PAIR_BINS)):  # a tree of two levels, one for each feature
                     step[part] = RATE * _tree(g[part].sum(0), h[part].sum(0), n[part].sum(0), depth=1)
@@ -191,7 +191,7 @@ def train(docs: DataFrame, train_labels: DataFrame, label: str = "quality", id_c
     """Fit on at most ``rows`` labelled rows; only their features come to the driver."""
     got = sample(docs, train_labels, label, rows, id_col, text_col).select(F.col(id_col).alias("i"), F.col(label).alias("y"), _measured(F.col(text_col)).alias("x")).toPandas()
     got = got.sort_values("i", kind="stable")
-    return AdditiveModel(np.array(got["x"].tolist(), float).reshape(len(got), -1), got["y"].to_numpy(float))
+    return AdditiveModel(np.array(got["x"].tolist(), float).reshape(len(got), len(NAMES)), got["y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: AdditiveModel, text_col: str = "text") -> DataFrame:
