@@ -160,7 +160,8 @@ def prefix(tokens: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndar
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, known: Frequencies) -> DataFrame:
-    """``token, doc, size, place, matches`` for every prefix token of several documents; a set met before in the same task
+    """``token, doc, size, place, own, matches`` for every prefix token of several documents, ``own`` being the
+    number of shingles that only this document has; a set met before in the same task
     is left to its digest."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -172,7 +173,8 @@ def prefixes(docs: DataFrame, n: int, percent: int, known: Frequencies) -> DataF
                 if doc is None or not len(tokens):
                     continue
                 often = shared.value.of(tokens)
-                if np.count_nonzero(often == 1) > len(tokens) - (percent * len(tokens) + 99) // 100:
+                own = int(np.count_nonzero(often == 1))
+                if own > len(tokens) - (percent * len(tokens) + 99) // 100:
                     continue  # more shingles of its own than any similar pair leaves
                 same = digest(tokens)
                 if same in seen:
@@ -181,13 +183,13 @@ def prefixes(docs: DataFrame, n: int, percent: int, known: Frequencies) -> DataF
                     seen.clear()
                 seen.add(same)
                 chosen, places, matches = prefix(tokens, often, percent)
-                rows.append((chosen, places, doc, len(tokens), matches))
+                rows.append((chosen, places, doc, len(tokens), own, matches))
             if rows:
                 lengths = [len(r[0]) for r in rows]
                 each = lambda i, kind: np.repeat(np.array([r[i] for r in rows], kind), lengths)  # noqa: E731, B023
-                yield _batch([np.concatenate([r[0] for r in rows]).astype(np.int64), each(2, np.int64), each(3, np.int32), np.concatenate([r[1] for r in rows]).astype(np.int32), each(4, np.int8)], ["token", "doc", "size", "place", "matches"])
+                yield _batch([np.concatenate([r[0] for r in rows]).astype(np.int64), each(2, np.int64), each(3, np.int32), np.concatenate([r[1] for r in rows]).astype(np.int32), each(4, np.int32), each(5, np.int8)], ["token", "doc", "size", "place", "own", "matches"])
 
-    return docs.mapInArrow(run, "token bigint, doc bigint, size int, place int, matches tinyint")
+    return docs.mapInArrow(run, "token bigint, doc bigint, size int, place int, own int, matches tinyint")
 
 
 def bit_filter(values: DataFrame) -> np.ndarray:
@@ -266,23 +268,24 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     parts = smallest_reachable(links, folder, "parts_0")
 
     # what is left of both sets from the shared token on must hold the overlap that the similarity asks for, but for the
-    # tokens that may have been shared before
-    reach = lambda spare: F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) and {100 + percent} * (least(size_a - place_a, size_b - place_b) + {spare}) >= {percent} * (size_a + size_b)")
-    as_side = lambda df, s: df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "size", "place", "matches", "part")])
+    # tokens that may have been shared before; and so must what both sets have without the shingles of their own
+    enough = lambda x: f"{100 + percent} * ({x}) >= {percent} * (size_a + size_b)"
+    reach = lambda spare: F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) and {enough('least(size_a - own_a, size_b - own_b)')} and {enough(f'least(size_a - place_a, size_b - place_b) + {spare}')}")
+    as_side = lambda df, s: df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "size", "place", "own", "matches", "part")])
     for step in (1, 2, 3):
-        placed = groups.join(parts.hint("merge"), groups.doc == parts.node, "left").select("token", "doc", "size", "place", "matches", F.coalesce("component", "doc").alias("part"))
+        placed = groups.join(parts.hint("merge"), groups.doc == parts.node, "left").select("token", "doc", "size", "place", "own", "matches", F.coalesce("component", "doc").alias("part"))
         placed = staged(placed, folder, f"placed_{step}")
-        mixed = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min_by(F.struct("doc", "size", "place", "part"), F.struct(F.xxhash64("doc") if step == 2 else F.col("place") / F.col("size"), "doc")).alias("hub")).filter("p <> q")
+        mixed = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min_by(F.struct("doc", "size", "place", "own", "part"), F.struct(F.xxhash64("doc") if step == 2 else F.col("place") / F.col("size"), "doc")).alias("hub")).filter("p <> q")
         if step < 3:  # each member with one hub
             pairs = placed.join(mixed.hint("merge"), "token").filter("part <> hub.part")
-            pairs = pairs.select(*[F.col(f"hub.{c}").alias(f"{c}_a") for c in ("doc", "size", "place")], *[F.col(c).alias(f"{c}_b") for c in ("doc", "size", "place")]).filter(reach("0"))
+            pairs = pairs.select(*[F.col(f"hub.{c}").alias(f"{c}_a") for c in ("doc", "size", "place", "own")], *[F.col(c).alias(f"{c}_b") for c in ("doc", "size", "place", "own")]).filter(reach("0"))
             pairs = pairs.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
         else:  # what is left between components, with the matches that the prefixes promise
             some = staged(placed.join(mixed.select("token").hint("merge"), "token"), folder, "some")
             index = some.filter(f"{100 + percent} * (size - place + matches - 1) >= {2 * percent} * size")  # of the smaller set
             smaller = F.expr("part_a <> part_b and struct(size_a, doc_a) < struct(size_b, doc_b)")
             met = as_side(index, "a").hint("merge").join(as_side(some, "b"), "token").filter(smaller & reach("least(matches_a, matches_b) - 1"))
-            pairs = met.groupBy("doc_a", "doc_b").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("matches_a", "matches_b", "size_a", "size_b", "place_a", "place_b")])
+            pairs = met.groupBy("doc_a", "doc_b").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("matches_a", "matches_b", "size_a", "size_b", "place_a", "place_b", "own_a", "own_b")])
             pairs = pairs.filter(F.expr("n >= least(matches_a, matches_b)") & reach("0")).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
         pairs = staged(pairs, folder, f"pairs_{step}")
         new = staged(similar(pairs, docs, n, percent), folder, f"links_{step}")
