@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import Bits, log_size, mix, shared_folder, staged, table
+from .common import Bits, log_size, mix, shared_folder, small_batches, staged, table
 
 LENGTH, K = 50, 24
 W = LENGTH - K + 1
 PLACE = np.uint64((1 << 30) - 1)
 ANCHOR_BITS, BUCKETS = 40, 256
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Contexts under one anchor that are still sorted in one task.
 HOT = 20_000
 LAST = 2**63 - 1
@@ -90,7 +90,7 @@ class Contexts:
 def contexts_of(texts: pa.Array):
     """(first row, end row, contexts) for slices of a column."""
     whole, offsets = common.utf8(texts)
-    for a, b in common.slices(offsets, 2 << 20):
+    for a, b in common.slices(offsets, 1 << 19):
         yield a, b, Contexts(whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
@@ -141,7 +141,8 @@ def repeated_anchors(docs: DataFrame, log: int) -> Bits:
         np.bitwise_or.at(bits, slots >> 3, np.uint8(1) << (slots & 7).astype(np.uint8))
         return pd.DataFrame({"bucket": [key[0]], "bits": [bits.tobytes()]})
 
-    found = docs.mapInArrow(scan, "bucket int, values binary").groupBy("bucket").applyInPandas(merge, "bucket int, bits binary").toPandas()
+    with small_batches(docs.sparkSession):
+        found = docs.mapInArrow(scan, "bucket int, values binary").groupBy("bucket").applyInPandas(merge, "bucket int, bits binary").toPandas()
     out = np.zeros((BUCKETS, (1 << inner) // 8), np.uint8)
     for bucket, bits in zip(found["bucket"], found["bits"], strict=True):
         out[bucket] = np.frombuffer(bits, np.uint8)
