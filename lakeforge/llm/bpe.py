@@ -271,6 +271,7 @@ def encode_column(text: Column, path: str) -> Column:
 
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """Add ``ids`` and ``decoded``."""
+    common.bounded_batches(docs.sparkSession)
     own = "__bpe"
     return docs.withColumn(own, encode_column(F.col(text_col), path)).withColumns({"ids": F.col(f"{own}.ids"), "decoded": F.col(f"{own}.decoded")}).drop(own)
 

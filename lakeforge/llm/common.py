@@ -36,6 +36,14 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(key, before)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """For results that are computed later: whole texts can be long, so the session's batches for Python workers are made
+    smaller where they still have Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     path = f"{folder}/{name}"

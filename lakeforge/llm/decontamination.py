@@ -174,6 +174,7 @@ def searcher(shared):
 
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Add ``n_words, n_hit, hit_spans (start and end word of each hit run), hit_items, contaminated`` to every row."""
+    common.bounded_batches(docs.sparkSession)
     own = "__decontamination"
     found, folder = docs.withColumn(own, F.lit(None).cast(HIT)), None
     spark, previous = docs.sparkSession, None

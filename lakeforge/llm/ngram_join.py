@@ -251,6 +251,7 @@ def similar(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
 
 def link(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id`` for every row; linked means at least ``percent`` / 100 Jaccard similarity."""
+    common.bounded_batches(docs.sparkSession)
     folder = shared_folder(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     found = staged(facts(docs, n), folder, "facts")

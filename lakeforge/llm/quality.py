@@ -196,6 +196,7 @@ def train(docs: DataFrame, train_labels: DataFrame, label: str = "quality", id_c
 
 def score(docs: DataFrame, model: AdditiveModel, text_col: str = "text") -> DataFrame:
     """Add ``score`` and ``predicted``."""
+    common.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

@@ -385,6 +385,7 @@ def removed(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept (binary)`` for every row."""
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     folder, sc = shared_folder(spark), spark.sparkContext
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc"), text.alias("text"))

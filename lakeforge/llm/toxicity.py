@@ -306,6 +306,7 @@ def train(docs: DataFrame, train_labels: DataFrame, label: str = "toxic", id_col
 
 def score(docs: DataFrame, detector: Detector, text_col: str = "text") -> DataFrame:
     """Add ``score`` and ``predicted``."""
+    common.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(detector)
 
     @F.arrow_udf("double")
