@@ -2,15 +2,19 @@
 
 Everything is DataFrame functions: matches come from ``regexp_extract_all``; where they stand follows from the lengths of
 the pieces that ``split`` leaves between them. Labelled samples train two first-order Markov chains over characters: the
-values that the patterns find are the random strings, the words of a sample of documents the ordinary identifiers. Runs
-of 16 or more token characters whose log-likelihood ratio speaks for a random string are reported as ``markov``.
+values that the patterns find are the random strings, all other runs of six or more token characters in all documents
+the ordinary identifiers. Runs of 16 or more token characters whose log-likelihood ratio speaks for a random string are
+reported as ``markov``.
 
-The scan is one pass over the documents, staged without their texts; training reads that table and a sample of at most
-``ORDINARY_DOCS`` texts, and its result is one row of fixed size. Documents are not shuffled.
+The scan is one pass over the documents, staged without their texts; training reads that table and, in a second pass, the
+tokens of all texts, and its result is one row of fixed size. Distinct tokens are shuffled, after partial aggregation;
+documents are not.
 
 Defined results
     * A null text is the empty text and has no spans. Whole texts are scanned.
-    * Equal values count once in training, however many copies of a document there are.
+    * Equal values count once in training, however many copies of a document there are. Both chains grow with the input.
+    * A token that overlaps or touches a match of the patterns is not an ordinary identifier. Random strings that no pattern
+      describes are among the ordinary ones, once each.
     * Without any value found by the patterns there is nothing to learn from, and no ``markov`` span is added.
     * Repeated rows have a result each; other columns are not read.
 """
@@ -28,10 +32,11 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
-ORDINARY = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z_]{6,}(?![A-Za-z0-9+/_=-])"
+#: The same characters as in CANDIDATE, in whole runs that do not touch what CUT stands for.
+ORDINARY = r"(?<![A-Za-z0-9+/_\x00-])[A-Za-z0-9+/_-]{6,}+={0,2}+(?!\x00)"
+#: Stands for a match of the base patterns.
+CUT = "\0"
 
-#: Most documents whose words are the sample of ordinary identifiers.
-ORDINARY_DOCS = 2000
 #: Least log-likelihood ratio, in nats.
 LEAST_RATIO = 12.0
 #: Weight of a character's own frequency beside its frequency after another one.
@@ -82,14 +87,25 @@ def pairs(token: Column) -> Column:
     return F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: a * N + b)
 
 
-def train(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = ORDINARY_DOCS) -> DataFrame:
+def ordinary(text: Column) -> Column:
+    """array<string> of the distinct tokens of a text outside the matches of the base patterns."""
+    long, value = ASSIGN.removeprefix("(?i)").removesuffix("+)") + "{12,})", r"[A-Za-z0-9+/_.=-]"
+    text = F.replace(text, F.lit(CUT), F.lit(" "))
+    # a short assignment uses up its text but is no match: it is put back behind a mark, and the mark is taken out again,
+    # which no value character follows elsewhere
+    text = F.regexp_replace(text, F.lit(f"(?i)(?:{long}|({ASSIGN.removeprefix('(?i)')}))"), F.lit(f"{CUT}$3"))
+    text = F.regexp_replace(text, F.lit(f"{CUT}(?={value})"), F.lit(""))
+    for pattern in (ACCESS, HEX):
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(CUT))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(ORDINARY), F.lit(0)))
+
+
+def train(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row ``ratio array<double>``: log P(after | before) as a random string less that as an ordinary identifier."""
     values = F.concat(*[F.transform(F.col(k), lambda x: x["value"]) for k in KINDS[:3]])
     random = found.select(F.explode(values).alias("token")).distinct().withColumn("kind", F.lit("random"))
-    ids = docs.filter(F.col(text_col).isNotNull()).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(documents)
-    words = docs.join(F.broadcast(ids.distinct()), id_col).select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(ORDINARY), F.lit(0)))).alias("token"))
-    ordinary = words.distinct().withColumn("kind", F.lit("ordinary"))
-    seen = random.unionByName(ordinary).select("kind", F.explode(pairs(F.col("token"))).alias("pair")).groupBy("pair").agg(F.count_if(F.col("kind") == "random").alias("r"), F.count_if(F.col("kind") == "ordinary").alias("o"))
+    plain = docs.select(F.explode(ordinary(F.col(text_col))).alias("token")).distinct().withColumn("kind", F.lit("ordinary"))
+    seen = random.unionByName(plain).select("kind", F.explode(pairs(F.col("token"))).alias("pair")).groupBy("pair").agg(F.count_if(F.col("kind") == "random").alias("r"), F.count_if(F.col("kind") == "ordinary").alias("o"))
     every = docs.sparkSession.range(N * N).select(F.col("id").cast("int").alias("pair")).join(seen, "pair", "left").fillna(0, ["r", "o"])
     marginal = lambda column, name: every.groupBy(column.alias(name)).agg(F.sum("r").alias(f"r_{name}"), F.sum("o").alias(f"o_{name}"))
     first, second = F.floor(F.col("pair") / N), F.col("pair") % N
@@ -107,7 +123,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     """``id_col, assign, access, hex, markov``: arrays of struct(start, end, value) for every row of ``docs``."""
     folder = shared_folder(docs.sparkSession)
     found = staged(scan(docs, id_col, text_col), folder, "matches")
-    model = staged(train(found, docs, id_col, text_col), folder, "model")  # one row of N * N numbers
+    model = staged(train(found, docs, text_col), folder, "model")  # one row of N * N numbers
     scored = found.join(F.broadcast(model))
     base = F.concat("assign", "access", "hex")
     total = lambda token: F.aggregate(pairs(token), F.lit(0.0), lambda acc, p: acc + F.col("ratio")[p])
