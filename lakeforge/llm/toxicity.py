@@ -4,8 +4,9 @@
 2.  Suspicious spans of a text (letters mixed with look-alike digits and signs, letters set apart, letters repeated)
     become lattices: each sign stands for the letters it may have replaced, each gap is kept or dropped, each run of a
     letter is one or two long. Viterbi decoding under the model and the channel's costs finds the likeliest word.
-3.  The words of the text and the restored words are looked up in a list of words and word beginnings, learned from
-    labelled rows by sequential covering; a logistic function of the number and density of hits is the score.
+3.  The words of the text and the restored words are looked up in a list of words, word beginnings and beginnings of
+    three or more words of a text, learned from labelled rows by sequential covering; a logistic function of the number and
+    density of hits is the score.
 
 Distribution: the model is a fixed-size table (its size is a power of the alphabet, not of the data), summed from one
 row of counts per task; learning reads a sample of at most ``TRAIN_ROWS`` labelled rows; scoring is one pass.
@@ -23,6 +24,7 @@ import functools
 import itertools
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +122,8 @@ def _symbols(letters: str) -> tuple[int, ...]:
 
 # -----------------------------------------------------------------------------------------------------------------
 WORD = re.compile(r"[^\W\d_]+")
+#: Marks a beginning of three or more words of one text.
+OFTEN = "***"
 _MIXED = re.compile(r"[0-9@$!|+*€#(](?=[a-zà-ÿ])|(?<=[a-zà-ÿ])[0-9@$+€]")
 _APART = re.compile(r"(?<!\w)[^\W_](?:[ ._*\-][^\W_](?!\w)){2,}")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
@@ -173,7 +177,8 @@ class Detector:
 
     def __init__(self, counts: np.ndarray, words: dict[str, float], weights: list[float]):
         self.words, self.weights = words, weights
-        self.lengths = sorted({len(w) - 1 for w in words if w.endswith("*")})
+        self.lengths = sorted({len(w) - 1 for w in words if w.endswith("*") and not w.endswith(OFTEN)})
+        self.often = sorted({len(w) - len(OFTEN) for w in words if w.endswith(OFTEN)})
         self.model = CharModel(counts, {w.rstrip("*"): x for w, x in words.items()}) if words else None
         self.decoded: dict[str, str] = {}
 
@@ -196,10 +201,12 @@ class Detector:
                 distinct.update(WORD.findall(restored))
                 if _APART.fullmatch(span):  # letters set apart: neighbouring single-letter words may have joined them
                     joined = restored.replace(" ", "")
-                    distinct.update(w.rstrip("*") for w in self.words if w.rstrip("*") in joined)
+                    distinct.update(w.rstrip("*") for w in self.words if not w.endswith(OFTEN) and w.rstrip("*") in joined)
         found = distinct & self.words.keys()
         for n in self.lengths:
             found |= {w[:n] + "*" for w in distinct if len(w) >= n} & self.words.keys()
+        for n in self.often:
+            found |= {b + OFTEN for b, k in Counter(w[:n] for w in words if len(w) >= n).items() if k >= 3} & self.words.keys()
         return len(found), len(words)
 
     def score(self, text: str | None) -> float:
@@ -218,9 +225,11 @@ def _sigmoid(x):
 
 
 def features(text: str | None) -> list[str]:
-    """Distinct words of a text, and the beginnings of its longer words, marked with a star."""
-    words = {w for w in WORD.findall((text or "").lower()) if 3 <= len(w) <= 40}
-    return sorted(words | {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) >= n})
+    """Distinct words of a text, the beginnings of its longer words, marked with a star, and those of three or more words,
+    equal ones included, marked with three."""
+    every = [w for w in WORD.findall((text or "").lower()) if 3 <= len(w) <= 40]
+    words, begun = set(every), Counter(w[:n] for w in every for n in (4, 5, 6, 7) if len(w) >= n)
+    return sorted(words | {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) >= n} | {b + OFTEN for b, k in begun.items() if k >= 3})
 
 
 def signature(text: str | None) -> int:
@@ -242,10 +251,24 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def cover(rows: list[tuple[int, set[str]]], toxic: int) -> dict[str, float]:
+def evidence(good: int, bad: int, share: float) -> float:
+    """Log-likelihood ratio of a feature in ``good`` toxic and ``bad`` other rows against the share of toxic rows; a feature
+    without a bearing on them has more than x with a probability of at most exp(-x)."""
+    n = good + bad
+    return good * math.log(good / n / share) + (bad * math.log(bad / n / (1 - share)) if bad else 0.0)
+
+
+def kind(feature: str) -> str:
+    return OFTEN if feature.endswith(OFTEN) else "*" if feature.endswith("*") else ""
+
+
+def cover(rows: list[tuple[int, set[str]]], toxic: int, tested: dict[str, int] | None = None) -> dict[str, float]:
     """Words that stand in three of a hundred toxic rows or more and almost nowhere else; then sequential covering: the
-    word that catches most toxic rows not caught yet, as long as it catches half a percent of them and at least nine rows
-    in ten that have it are toxic."""
+    word that catches most toxic rows not caught yet, as long as at least nine rows in ten that have it are toxic.
+
+    No count of rows is asked for. A word must have evidence for which less than one word of its kind is expected to have
+    as much by chance: ``tested`` are the features of each kind in three or more rows, those of the same rows as one,
+    counted here unless given."""
     good: dict[str, list[int]] = {}
     bad: dict[str, int] = {}
     for i, (label, found) in enumerate(rows):
@@ -254,20 +277,28 @@ def cover(rows: list[tuple[int, set[str]]], toxic: int) -> dict[str, float]:
                 good.setdefault(f, []).append(i)
             else:
                 bad[f] = bad.get(f, 0) + 1
+    if tested is None:
+        at: dict[str, list[int]] = {}
+        for i, (_, found) in enumerate(rows):
+            for f in found:
+                at.setdefault(f, []).append(i)
+        tested = Counter(k for k, _ in {(kind(f), tuple(x)) for f, x in at.items() if len(x) >= 3})
     open_rows, chosen = {i for i, (label, _) in enumerate(rows) if label}, {}
-    sure = {f: set(at) for f, at in good.items() if len(at) >= 9 * bad.get(f, 0)}
-    least = max(4, 0.005 * toxic)
-    subsumed = lambda f: any(c != f and c.endswith("*") and f.startswith(c[:-1]) for c in chosen)
-    for f in sorted((f for f, at in sure.items() if len(at) >= max(8, 0.03 * toxic) and len(at) >= 50 * bad.get(f, 0)), key=lambda f: (len(f), f)):
+    share = toxic / len(rows)
+    chance = lambda f, n, b: evidence(n, b, share) < math.log(max(2, tested.get(kind(f), 0)))
+    sure = {f: set(at) for f, at in good.items() if len(at) >= 9 * bad.get(f, 0) and not chance(f, len(at), bad.get(f, 0))}
+    subsumed = lambda f: any(c != f and kind(c) and kind(c) in ("*", kind(f)) and f.startswith(c.rstrip("*")) for c in chosen)
+    for f in sorted((f for f, at in sure.items() if len(at) >= 0.03 * toxic and len(at) >= 50 * bad.get(f, 0)), key=lambda f: (len(f), f)):
         # a beginning is only of use where several words have it; the shortest one stands for the longer ones
-        alone = f.endswith("*") and any(len(at) >= 0.9 * len(sure[f]) for w, at in sure.items() if not w.endswith("*") and w.startswith(f[:-1]))
+        own = lambda w, f=f: not kind(w) and w.startswith(f.rstrip("*"))
+        alone = kind(f) == "*" and any(own(w) and len(at) >= 0.9 * len(sure[f]) for w, at in sure.items()) or kind(f) == OFTEN and any(own(w) and at > sure[f] for w, at in sure.items())
         if not subsumed(f) and not alone:
             chosen[f] = math.log((len(good[f]) + 0.5) / (bad.get(f, 0) + 0.5))
             open_rows -= sure[f]
     sure = {f: at for f, at in sure.items() if f not in chosen and not subsumed(f)}
     while sure:
         gain = {f: len(at & open_rows) for f, at in sure.items()}
-        sure = {f: at for f, at in sure.items() if gain[f] >= least}
+        sure = {f: at for f, at in sure.items() if gain[f] and not chance(f, gain[f], bad.get(f, 0))}
         if not sure:
             break
         best = max(sure, key=lambda f: (gain[f] * (1 - bad.get(f, 0) / len(good[f])), not f.endswith("*"), len(f), f))
@@ -290,13 +321,15 @@ def train(docs: DataFrame, train_labels: DataFrame, label: str = "toxic", id_col
 
     drawn = sample(docs, train_labels, label, rows, id_col, text_col).select(F.col(label).alias("toxic"), prepared(text_col).alias("p")).select("toxic", "p.*")
     drawn = common.staged(drawn.dropDuplicates(["signature"]).withColumn("row", F.monotonically_increasing_id()), common.shared_folder(spark), "toxicity_sample")
-    per_word = drawn.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("good"), F.count("*").alias("n"))
-    likely = per_word.filter("good >= 4 and good >= 0.9 * n").orderBy(F.desc("good"), "f").limit(20_000).select("f")  # bounded: broadcast below
+    per_word = drawn.select("toxic", "row", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("good"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("rows"))
+    marks = F.when(F.col("f").endswith(OFTEN), OFTEN).when(F.col("f").endswith("*"), "*").otherwise("")
+    tested = {r["kind"]: r["n"] for r in per_word.filter("n >= 3").groupBy(marks.alias("kind")).agg(F.count_distinct("n", "rows").alias("n")).collect()}  # three rows
+    likely = per_word.filter("good >= 3 and good >= 0.9 * n").orderBy(F.desc("good"), "f").limit(20_000).select("f")  # bounded: broadcast below
     found = drawn.select("row", F.explode("features").alias("f")).join(F.broadcast(likely), "f").groupBy("row").agg(F.collect_list("f").alias("f"))
     got = drawn.select("row", "toxic", "words").join(found, "row", "left").select("toxic", "words", "f").toPandas()
     data = [(int(t), set(f) if f is not None else set()) for t, f in zip(got["toxic"], got["f"], strict=True)]
     toxic = sum(t for t, _ in data)
-    words = cover(data, toxic) if 0 < toxic < len(data) else {}
+    words = cover(data, toxic, tested) if 0 < toxic < len(data) else {}
     if not words:
         return Detector(np.zeros(SYMBOLS**3, np.int64), {}, [0.0] * 4)
     x = np.array([measures(len(f & words.keys()), n) for (_, f), n in zip(data, got["words"], strict=True)])

@@ -78,6 +78,29 @@ def test_toxicity_held_out(spark):
     assert np.mean([a == b for a, b in held]) >= 0.95
 
 
+def test_toxicity_recall(spark):
+    marks, rows = truth(spark, "toxic"), toxicity.op7_toxicity(spark, DATA).collect()
+    caught = [(r["held_out"], r["predicted"]) for r in rows if marks.get(r["doc_id"]) == 1]
+    assert np.mean([p for _, p in caught]) >= 0.9 and np.mean([p for h, p in caught if h]) >= 0.8
+
+
+def test_words_are_learned_by_evidence():
+    """Few rows are enough where little else is tested; what is rare among many toxic rows is learned; chance is not."""
+    common = [(0, {f"w{i % 50}"}) for i in range(900)]
+    few = [(1, {"vile", f"w{i}"}) for i in range(3)] + [(1, {"foul"}) for _ in range(5)]
+    assert toxicity.cover(common + few, 8).keys() == {"vile", "foul"}
+    many = [(1, {"foul"}) for _ in range(4000)] + [(1, {"vile"}) for _ in range(12)]
+    assert toxicity.cover(common * 40 + many, 4012).keys() == {"vile", "foul"}
+    chance = [(int(i % 2 == 0), {f"x{i // 3}"}) for i in range(3000)]
+    assert not toxicity.cover(chance, 1500)
+
+
+def test_beginnings_of_three_words_of_a_text():
+    assert {"ache***", "ache*"} <= set(toxicity.features("achea acheb achea")) and "ache***" not in toxicity.features("achea acheb")
+    detector = toxicity.Detector(np.zeros(toxicity.SYMBOLS**3, np.int64), {"ache***": 5.0}, [0.0] * 4)
+    assert [detector.hits(t)[0] for t in ("achea acheb achea", "achea acheb", "ache")] == [1, 0, 0]
+
+
 def test_viterbi_equals_trying_all_readings():
     rng = np.random.default_rng(2)
     model = toxicity.CharModel(rng.integers(0, 50, toxicity.SYMBOLS**3), {})
