@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import table
+from .common import table, text_session
 
-#: Distinct words whose encodings a worker keeps.
-KEPT_WORDS = 300_000
+#: Distinct words whose encodings a task keeps, and bytes of text that it cuts into words at once.
+KEPT_WORDS, SLICE = 200_000, 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -201,7 +201,7 @@ class WordTable:
     """Encodings of the words met so far, ids in one flat array."""
 
     def __init__(self, path: str):
-        self.encoder = encoder(path)
+        self.encoder = WordEncoder(path)
         self.clear()
 
     def clear(self) -> None:
@@ -245,33 +245,34 @@ class WordTable:
         return ids, offsets[np.cumsum(counts)], decoded
 
 
-_tables: dict[str, WordTable] = {}
 ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
 
 def encode_column(text: Column, path: str) -> Column:
     """struct(ids, decoded) of a text column."""
 
-    @F.arrow_udf(ENCODED)
-    def run(texts: pa.Array) -> pa.Array:
-        words = _tables.get(path) or _tables.setdefault(path, WordTable(path))
-        ids, decoded, counts, before = [], [], [np.zeros(1, np.int64)], 0
-        _, offsets = common.utf8(texts)
-        for a, b in common.slices(offsets):
-            own, ends, plain = words.encode([t or "" for t in texts[a:b].to_pylist()])
-            ids.append(own)
-            decoded += plain
-            counts.append(ends[1:] + before)
-            before += len(own)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(counts).astype(np.int32)), pa.array(np.concatenate(ids or [np.zeros(0, np.int32)]), pa.int32()))
-        return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], ["ids", "decoded"])
+    def make():
+        words = WordTable(path)  # lives as long as the task
 
-    return run(F.coalesce(text, F.lit("")))
+        def run(texts: pa.Array) -> pa.Array:
+            ids, decoded, counts, before = [], [], [np.zeros(1, np.int64)], 0
+            _, offsets = common.utf8(texts)
+            for a, b in common.slices(offsets, SLICE):
+                own, ends, plain = words.encode([t or "" for t in texts[a:b].to_pylist()])
+                ids.append(own)
+                decoded.append(pa.array(plain, pa.string()))
+                counts.append(ends[1:] + before)
+                before += len(own)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(counts).astype(np.int32)), pa.array(np.concatenate(ids or [np.zeros(0, np.int32)]), pa.int32()))
+            return pa.StructArray.from_arrays([lists, pa.concat_arrays(decoded) if decoded else pa.array([], pa.string())], ["ids", "decoded"])
+
+        return run
+
+    return common.per_batch(ENCODED, make)(F.coalesce(text, F.lit("")))
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """Add ``ids`` and ``decoded``."""
-    common.bounded_batches(docs.sparkSession)
     own = "__bpe"
     return docs.withColumn(own, encode_column(F.col(text_col), path)).withColumns({"ids": F.col(f"{own}.ids"), "decoded": F.col(f"{own}.decoded")}).drop(own)
 
@@ -294,6 +295,7 @@ def default_path() -> str:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_session(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode(docs, default_path()).select(
         "doc_id",

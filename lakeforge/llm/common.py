@@ -3,45 +3,94 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that all executors share.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset, as in tests, a local folder
-    is made and set.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset a local folder is made and set, but only if
+    driver and executors are one process, as in tests; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lakeforge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lakeforge-{uuid.uuid4().hex}"
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """While it holds, Python workers get this many whole texts at a time, which bounds what a task has in memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(BATCH_ROWS, before)
+
+
+def text_session(spark: SparkSession, rows: int = 1000) -> None:
+    """For programs, not for operators: whole texts can be long, so a session that still has Spark's default number of
+    rows in a batch for Python workers gets a smaller one. The registered queries and the pipeline are such programs."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
+def release() -> None:
+    """Give memory that a Python worker has freed back to the machine; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library: its own policy holds
+    _libc = None
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """For results that are computed later: whole texts can be long, so the session's batches for Python workers are made
-    smaller where they still have Spark's default."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+
+def per_batch(kind, make, columns: int = 1):
+    """A function of columns over Arrow batches. ``make()`` is called once in each task and returns the function for one
+    batch; what that holds goes with the task."""
+
+    def one_column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = make()
+        for batch in batches:
+            yield one(batch)
+            del batch
+            release()
+        del one
+        gc.collect()
+        release()
+
+    def several(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        one = make()
+        for batch in batches:
+            yield one(*batch)
+            del batch
+            release()
+        del one
+        gc.collect()
+        release()
+
+    return F.arrow_udf(one_column if columns == 1 else several, kind)
 
 
 def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -52,6 +101,20 @@ def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent(spark: SparkSession, value, held: contextlib.ExitStack):
+    """A broadcast that goes when ``held`` ends."""
+    out = spark.sparkContext.broadcast(value)
+    held.callback(out.destroy)
+    return out
+
+
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of staged tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -193,3 +256,25 @@ class Bits:
     def has(self, hashes: np.ndarray) -> np.ndarray:
         s = self.slot(hashes)
         return ((self.data[s >> 3] >> (s & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+#: Bits of a filter that is made of a column's values; false positives are dropped by the join that follows.
+FILTER_BITS = 1 << 23
+
+
+def slot(*columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+
+
+def bit_filter(values: DataFrame) -> np.ndarray:
+    """A bit for the slot of each row: at most FILTER_BITS / 64 numbers come to the driver."""
+    slots = values.select(slot(*values.columns).alias("s")).distinct()
+    words = slots.groupBy(F.floor(F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["w"].to_numpy(int)] = words["bits"].to_numpy()
+    return out
+
+
+def marked(bits: np.ndarray, slots: pa.Array) -> pa.Array:
+    s = slots.to_numpy(zero_copy_only=False)
+    return pa.array(((bits[s // 64] >> (s % 64)) & 1).astype(bool))

@@ -32,4 +32,6 @@ def smallest_reachable(links: DataFrame, folder: str, name: str) -> DataFrame:
         if state == last and state[0] == state[2]:
             break
         last = state
+    else:
+        raise RuntimeError("components did not settle; the links of the last round are incomplete")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

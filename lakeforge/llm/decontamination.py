@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import table
+from .common import table, text_session
 
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
@@ -174,7 +174,6 @@ def searcher(shared):
 
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Add ``n_words, n_hit, hit_spans (start and end word of each hit run), hit_items, contaminated`` to every row."""
-    common.bounded_batches(docs.sparkSession)
     own = "__decontamination"
     found, folder = docs.withColumn(own, F.lit(None).cast(HIT)), None
     spark, previous = docs.sparkSession, None
@@ -200,6 +199,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_session(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return mark(docs, table(spark, sf_dir, "benchmark")).select(
         "doc_id",

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import table
+from .common import table, text_session
 from .labelled import fold
 
 BITS, ORDERS = 1 << 14, (2, 3, 4)
@@ -117,19 +117,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, model: KernelModel, text_col: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score``."""
-    common.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang:string,score:double>")
-    def run(texts: pa.Array) -> pa.Array:
+    def named(texts: pa.Array) -> pa.Array:
         names, scores = shared.value.predict(texts)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang", "score"])
 
-    own = "__language"
+    own, run = "__language", common.per_batch("struct<lang:string,score:double>", lambda: named)
     return docs.withColumn(own, run(F.coalesce(F.col(text_col), F.lit("")))).withColumns({"lang_pred": F.col(f"{own}.lang"), "score": F.col(f"{own}.score")}).drop(own)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_session(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.filter(fold("doc_id", 5) != 0))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")

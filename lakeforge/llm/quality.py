@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import table
+from .common import table, text_session
 from .labelled import fold, sample
 
 TRAIN_ROWS = 8000
@@ -196,17 +196,14 @@ def train(docs: DataFrame, train_labels: DataFrame, label: str = "quality", id_c
 
 def score(docs: DataFrame, model: AdditiveModel, text_col: str = "text") -> DataFrame:
     """Add ``score`` and ``predicted``."""
-    common.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score(measure(texts)))
-
+    run = common.per_batch("double", lambda: lambda texts: pa.array(shared.value.score(measure(texts))))
     return docs.withColumn("score", run(F.coalesce(F.col(text_col), F.lit("")))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_session(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2)
     return score(docs, train(docs, labels)).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")

@@ -5,47 +5,50 @@ Every byte that is covered by a string of ``LENGTH`` bytes which also starts in
 Suffixes can only match where their first bytes do, so the suffixes to sort are brought together by content. Each window
 of LENGTH bytes is owned by the smallest hash among its K-grams (its anchor, the leftmost of equal ones); equal windows
 have equal anchors at equal places. Windows next to each other with one owner make a context.
-    1.  Anchors are hashed to 40 bits and sent in sorted blocks, four bytes each; those of several documents are kept as
-        bits of a filter whose size follows the input up to a bound.
-    2.  Contexts with a kept anchor are aggregated by content: the first document of each. Their keys and the anchors with
-        several contexts become filters too.
-    3.  A context whose key is not that of a first document is covered by it. The other ones go on: those alone under
-        their anchor are checked against the aggregate, those of anchors with several contexts are sorted.
-    4.  Sorting: suffixes under one anchor at one place are merge-sorted. Two suffixes are compared by the hashes of their
-        prefixes, whose longest common length is found by binary search; where neighbours come out equal over LENGTH bytes
-        the bytes themselves are compared. The smallest id of each run of equals decides for the others.
-    5.  Documents without ranges from 3 and 4 are cut where they are read; the others are joined with their ranges.
-
-A filter's false positives only send more contexts to the exact steps. No anchor is one task's burden: more than
-``HOT`` contexts under one anchor are decided by aggregating their windows' hashes instead of sorting them together.
+    1.  Anchors are counted: each block of a task sends its distinct anchors, seven bytes each, to the bucket of their first
+        bits. Those in several documents become bits of a filter; those with over ``many`` different contexts are listed.
+    2.  Each block sends the contexts of kept anchors, with their bytes, to the same buckets. Of equal contexts in a block
+        only those of its smallest id go; the others are covered by it. Contexts of listed anchors are split into their
+        windows first, each under its own hash, so no anchor is one task's burden: what is left under a key is one text per
+        block.
+    3.  A bucket sorts. Contexts are sorted by hash and compared byte by byte, so each text stands once, with its smallest
+        id; then the suffixes of different contexts under one anchor and place are merge-sorted. Two suffixes are compared
+        by the hashes of their prefixes, whose longest common length is found by binary search. The bytes of all neighbours
+        in the order that results are compared (collision verification): a group whose order the bytes do not bear out is
+        sorted again by bytes. The smallest id of each run of equal suffixes decides for the others.
+    4.  Documents with ranges to remove are joined with them and cut; the others are not shuffled.
+
+Every removed byte lies in a string whose bytes were compared with those of a smaller id, whatever the size of the input.
+The filter has at most 2 ** common.LARGE bits; with far more repeated anchors than that it lets other contexts through,
+which costs shuffle but changes no result.
 
 Defined results
     * A null text is empty. A null id counts as larger than all others; rows that share an id are one document and do
-      not match each other. Texts shorter than LENGTH bytes lose nothing and match nothing.
+      not match each other. Texts shorter than LENGTH bytes lose nothing and match nothing. An empty table gives no rows.
     * Ids must be whole numbers. Whole texts are used; only id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from contextlib import ExitStack
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
-from .common import Bits, log_size, mix, shared_folder, small_batches, staged, table
+from .common import Bits, bit_filter, dropped, log_size, marked, mix, sent, shared_folder, slot, small_batches, staged, table, text_session
 
 LENGTH, K = 50, 24
 W = LENGTH - K + 1
 PLACE = np.uint64((1 << 30) - 1)
-ANCHOR_BITS, BUCKETS = 40, 256
-BLOCK = 1 << 20
-#: Contexts under one anchor that are still sorted in one task.
-HOT = 20_000
+#: Contexts that a task holds before it sends them, that a bucket is to receive, and that are sorted at once.
+BLOCK, BUCKET, CHUNK = 200_000, 400_000, 10_000
+#: An anchor with more different contexts than this, or than a hundred-thousandth of all, is split by its windows.
+MANY = 20_000
 LAST = 2**63 - 1
 
 
@@ -94,128 +97,243 @@ def contexts_of(texts: pa.Array):
         yield a, b, Contexts(whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def _key(content: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return mix(content.astype(np.int64).view(np.uint64) ^ mix(doc.astype(np.int64).view(np.uint64)))
+def gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of some pieces of ``data``, one after the other."""
+    ends = np.cumsum(size)
+    return data[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
-
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Whether each element starts a run of equal keys."""
+    out = np.zeros(len(keys[0]), bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
 
-def repeated_anchors(docs: DataFrame, log: int) -> Bits:
-    """Filter of the anchors that stand in several documents."""
-    inner = log - 8  # bits inside one of the BUCKETS
 
-    def emit(held: list[np.ndarray]):
-        v = np.sort(np.concatenate(held))
-        thrice = np.zeros(len(v), bool)
-        thrice[2:] = (v[2:] == v[1:-1]) & (v[2:] == v[:-2])
-        v = v[~thrice]
+# -- which anchors matter ---------------------------------------------------------------------------------------------
+class Anchors:
+    """What the first pass has found: a filter of the anchors of several documents, and the anchors to split, by the first
+    bits of their hashes, all but ``shift``."""
+
+    def __init__(self, several: Bits, split: np.ndarray, bucket_log: int):
+        self.several, self.split, self.bucket_log = several, np.sort(split), bucket_log
+
+    def kept(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the anchors to be sorted whole, and of those to be split."""
+        at = np.flatnonzero(self.several.has(gram))
+        if not len(self.split):
+            return at, at[:0]
+        v = gram[at] >> np.uint64(32 - self.bucket_log)
+        split = self.split[np.minimum(np.searchsorted(self.split, v), len(self.split) - 1)] == v
+        return at[~split], at[split]
+
+
+def count_anchors(docs: DataFrame, size: int) -> Anchors:
+    """``size``: bytes of all texts. To the driver come 2 ** LARGE bits at most and 100,000 anchors at most."""
+    expected = size // (W // 2) + 1
+    bucket_log = min(16, max(8, (expected // BUCKET).bit_length()))
+    inner, shift, many = max(3, log_size(size / 4) - bucket_log), np.uint64(32 - bucket_log), max(MANY, expected // 100_000)
+
+    def emit(held: list[tuple[np.ndarray, ...]]):
+        v, content, row = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((content, v))
+        v, content, row = v[order], content[order], row[order]
+        first = np.flatnonzero(_runs(v))
+        texts = np.add.reduceat(_runs(v, content).astype(np.int64), first)
+        several = np.maximum.reduceat(row, first) > np.minimum.reduceat(row, first)
+        v = v[first]
         bucket = (v >> np.uint64(32)).astype(np.int32)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
-        parts = np.split(v.astype(np.uint32), cuts)
-        return _batch([bucket[np.concatenate(([0], cuts))], pa.array([p.tobytes() for p in parts], pa.binary())], ["bucket", "values"])
+        parts = [np.split(x, cuts) for x in (v.astype(np.uint32), np.minimum(texts, 65535).astype(np.uint16), several.astype(np.uint8))]
+        return _batch([bucket[np.concatenate(([0], cuts))], *[pa.array([x.tobytes() for x in p], pa.binary()) for p in parts]], ["bucket", "v", "texts", "several"])
 
     def scan(batches):
-        held, size = [], 0
+        held, n, rows = [], 0, 0
         for batch in batches:
-            for _, _, c in contexts_of(batch.column(1)):
-                v = c.gram >> np.uint64(64 - ANCHOR_BITS)
-                order = np.lexsort((v, c.row))
-                v, row = v[order], c.row[order]
-                first = np.ones(len(v), bool)
-                first[1:] = (v[1:] != v[:-1]) | (row[1:] != row[:-1])
-                held.append(v[first])
-                size += len(held[-1])
-                if size >= BLOCK:
+            for a, _, c in contexts_of(batch.column(0)):
+                held.append((c.gram >> shift, c.content, (rows + a + c.row).astype(np.int32)))
+                n += len(c.gram)
+                if n >= 4 * BLOCK:
                     yield emit(held)
-                    held, size = [], 0
-        if size:
+                    held, n = [], 0
+            rows = (rows + batch.num_rows) % (1 << 30)
+            common.release()
+        if n:
             yield emit(held)
+        del held
+        common.release()
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["values"]]))
-        twice = v[1:][v[1:] == v[:-1]]
+        v, texts, several = (np.concatenate([np.frombuffer(x, kind) for x in pdf[c]]) for c, kind in (("v", np.uint32), ("texts", np.uint16), ("several", np.uint8)))
+        order = np.argsort(v)
+        v, first = v[order], np.flatnonzero(_runs(v[order]))
+        documents = np.add.reduceat(1 + several[order].astype(np.int64), first)
+        total = np.add.reduceat(texts[order].astype(np.int64), first)
+        slots = np.unique(v[first][documents > 1] >> np.uint32(32 - inner))
         bits = np.zeros((1 << inner) // 8, np.uint8)
-        slots = np.unique(twice >> np.uint32(32 - inner))
         np.bitwise_or.at(bits, slots >> 3, np.uint8(1) << (slots & 7).astype(np.uint8))
-        return pd.DataFrame({"bucket": [key[0]], "bits": [bits.tobytes()]})
+        return pd.DataFrame({"bucket": [key[0]], "bits": [bits.tobytes()], "split": [v[first][total > many].tobytes()]})
 
     with small_batches(docs.sparkSession):
-        found = docs.mapInArrow(scan, "bucket int, values binary").groupBy("bucket").applyInPandas(merge, "bucket int, bits binary").toPandas()
-    out = np.zeros((BUCKETS, (1 << inner) // 8), np.uint8)
-    for bucket, bits in zip(found["bucket"], found["bits"], strict=True):
+        found = docs.select("text").mapInArrow(scan, "bucket int, v binary, texts binary, several binary").groupBy("bucket").applyInPandas(merge, "bucket int, bits binary, split binary").toPandas()
+    out, split = np.zeros((1 << bucket_log, (1 << inner) // 8), np.uint8), [np.zeros(0, np.uint64)]
+    for bucket, bits, v in zip(found["bucket"], found["bits"], found["split"], strict=True):
         out[bucket] = np.frombuffer(bits, np.uint8)
-    return Bits(log, out.ravel())
-
-
-def bit_filter(rows: DataFrame, hashed, columns: list[str], log: int) -> Bits:
-    """Filter of ``hashed`` over some columns; its bits come to the driver as at most 2 ** LARGE / 64 numbers."""
-
-    @F.arrow_udf(T.LongType())
-    def slot(*values: pa.Array) -> pa.Array:
-        return pa.array((hashed(*[v.to_numpy(zero_copy_only=False) for v in values]) >> np.uint64(64 - log)).astype(np.int64))
-
-    words = rows.select(slot(*columns).alias("s")).groupBy(F.expr("cast(shiftright(s, 6) as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
-    found = words.toPandas()
-    out = np.zeros(1 << (log - 6), np.int64)
-    out[found["w"].to_numpy(int)] = found["bits"].to_numpy()
-    return Bits(log, out.view(np.uint8))
-
-
-def classes(docs: DataFrame, shared) -> DataFrame:
-    """``content, gram, first``: every context with a kept anchor and the smallest id that has it."""
-
-    def scan(batches):
-        for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, _, c in contexts_of(batch.column(1)):
-                kept = shared.value.has(c.gram)
-                yield _batch([c.content[kept].astype(np.int64), (c.gram[kept] >> np.uint64(32)).astype(np.uint32).view(np.int32), doc[a + c.row[kept]]], ["content", "gram", "doc"])
-
-    return docs.mapInArrow(scan, "content bigint, gram int, doc bigint").groupBy("content").agg(F.min("gram").alias("gram"), F.min("doc").alias("first"))
+        split.append((np.uint64(bucket) << np.uint64(32)) | np.frombuffer(v, np.uint32))
+    return Anchors(Bits(inner + bucket_log, out.ravel()), np.concatenate(split), bucket_log)
+
+
+# -- contexts on their way --------------------------------------------------------------------------------------------
+class Pieces:
+    """Contexts with their bytes. ``fields``: gram and content (hashes), doc, version, start, count (of windows) and place
+    (of the anchor), an array each."""
+
+    NAMES = ("gram", "content", "doc", "version", "start", "count", "place")
+    KINDS = (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint8, np.uint8)
+
+    def __init__(self, fields: dict[str, np.ndarray], data: np.ndarray):
+        self.fields, self.data = fields, data
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.fields[name]
+
+    def __len__(self) -> int:
+        return len(self.fields["gram"])
+
+    @property
+    def size(self) -> np.ndarray:
+        return self["count"].astype(np.int64) - 1 + LENGTH
+
+    def take(self, at: np.ndarray) -> Pieces:
+        size = self.size
+        return Pieces({n: x[at] for n, x in self.fields.items()}, gathered(self.data, (np.cumsum(size) - size)[at], size[at]))
+
+    @classmethod
+    def joined(cls, parts: list[Pieces]) -> Pieces:
+        return cls({n: np.concatenate([p[n] for p in parts]) for n in cls.NAMES}, np.concatenate([p.data for p in parts]))
+
+    def packed(self) -> bytes:
+        return b"".join([np.int64(len(self)).tobytes(), *[self[n].astype(k).tobytes() for n, k in zip(self.NAMES, self.KINDS, strict=True)], self.data.tobytes()])
+
+    @classmethod
+    def unpacked(cls, buffer: bytes) -> Pieces:
+        n, at, fields = int(np.frombuffer(buffer, np.int64, 1)[0]), 8, {}
+        for name, kind in zip(cls.NAMES, cls.KINDS, strict=True):
+            fields[name] = np.frombuffer(buffer, kind, n, at)
+            at += fields[name].nbytes
+        return cls(fields, np.frombuffer(buffer, np.uint8, -1, at))
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """An order by gram, content and id, and where in it a new text starts. Contents are compared by their hashes and
+        then by their bytes; where those differ in spite of equal hashes, the bytes sort."""
+        order = np.lexsort((self["start"], self["version"], self["doc"], self["content"], self["gram"]))
+        x, y = order[:-1], order[1:]
+        same = np.append(False, (self["gram"][x] == self["gram"][y]) & (self["content"][x] == self["content"][y]))
+        alike = same.copy()
+        at = np.flatnonzero(same)
+        size, begin = self.size, np.cumsum(self.size) - self.size
+        shape = (self["count"][order[at]] == self["count"][order[at - 1]]) & (self["place"][order[at]] == self["place"][order[at - 1]])
+        alike[at[~shape]] = False
+        at = at[shape]
+        for some in np.array_split(at, 1 + len(at) // 50_000):
+            if len(some):
+                n = size[order[some]]
+                equal = gathered(self.data, begin[order[some]], n) == gathered(self.data, begin[order[some - 1]], n)
+                alike[some] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        if (same & ~alike).any():
+            group = np.cumsum(~same)
+            for g in np.unique(group[same & ~alike]):
+                at = np.flatnonzero(group == g)
+                keys = [(int(self["count"][i]), int(self["place"][i]), self.data[begin[i] : begin[i] + size[i]].tobytes()) for i in order[at]]
+                rank = sorted(range(len(at)), key=lambda k: (keys[k], int(self["doc"][order[at[k]]])))  # noqa: B023
+                order[at] = order[at[rank]]
+                alike[at] = [k > 0 and keys[rank[k]] == keys[rank[k - 1]] for k in range(len(at))]
+        return order, ~alike
 
 
-def _gram(gram: np.ndarray) -> np.ndarray:
-    return mix(gram.astype(np.int64).view(np.uint64))
-
+def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
 
-class Filters:
-    """firsts: (context, first document); several: anchors with several contexts; hot: with very many."""
 
-    def __init__(self, firsts: Bits, several: Bits, hot: Bits):
-        self.firsts, self.several, self.hot = firsts, several, hot
+RANGE = {"doc": np.int64, "version": np.int32, "low": np.int64, "high": np.int64}
 
-    def judge(self, c: Contexts, doc: np.ndarray, anchors: Bits) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts that an earlier document covers for certain, and those that need an exact answer."""
-        kept = np.flatnonzero(anchors.has(c.gram))
-        first = self.firsts.has(_key(c.content[kept], doc[c.row[kept]]))
-        return kept[~first], kept[first]
 
+def merged(doc: np.ndarray, version: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+    """Ranges of one row that overlap or touch as one range."""
+    order = np.lexsort((low, version, doc))
+    doc, version, low, high = (x[order] for x in (doc, version, low, high))
+    opens = _runs(doc, version)
+    if len(doc):
+        row = np.cumsum(opens).astype(np.int64)
+        wide = row << 32  # rows in a row of numbers of their own; a text has fewer than 2 ** 32 bytes
+        end = np.maximum.accumulate(wide + high)
+        opens[1:] |= wide[1:] + low[1:] > end[:-1]
+        first = np.flatnonzero(opens)
+        return [doc[first], version[first], low[first], np.maximum.reduceat(high, first)]
+    return [doc, version, low, high]
 
-OPEN = "content bigint, gram int, route tinyint, doc bigint, version int, start int, count int, place int, bytes binary"
 
+def contexts_to_sort(docs: DataFrame, shared) -> DataFrame:
+    """``bucket, payload``: packed contexts by bucket, and, with negative buckets, ranges that a block has settled."""
 
-def open_contexts(docs: DataFrame, anchors, shared) -> DataFrame:
-    """Contexts that need an exact answer. ``route`` 0: alone under its anchor; 1: to be sorted; 2: hot."""
+    def taken(c: Contexts, doc: np.ndarray, version: np.ndarray) -> list[Pieces]:
+        whole, split = shared.value.kept(c.gram)
+        out = []
+        if len(whole):
+            fields = [c.gram[whole], c.content[whole], doc[c.row[whole]], version[c.row[whole]], c.start[whole] - c.offsets[c.row[whole]], c.count[whole], c.anchor[whole] - c.start[whole]]
+            out.append(Pieces(dict(zip(Pieces.NAMES, fields, strict=True)), gathered(c.data, c.start[whole], c.count[whole] - 1 + LENGTH)))
+        if len(split):
+            n = c.count[split]
+            at = np.repeat(c.start[split] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            row, one, none = np.repeat(c.row[split], n), np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
+            window = mix((c.prefix[at + LENGTH] - c.prefix[at]) * c.down[at] + np.uint64(LENGTH))
+            out.append(Pieces(dict(zip(Pieces.NAMES, [window, window, doc[row], version[row], at - c.offsets[row], one, none], strict=True)), gathered(c.data, at, none + LENGTH)))
+        return out
+
+    def emit(held: list[Pieces]):
+        all_ = Pieces.joined(held)
+        order, opens = all_.classes()
+        first = np.flatnonzero(opens)
+        least = np.minimum.reduceat(all_["doc"][order], first)[np.cumsum(opens) - 1]
+        local = all_["doc"][order] > least
+        some = order[local]
+        begin = all_["start"][some].astype(np.int64)
+        ranges = merged(all_["doc"][some], all_["version"][some], begin, begin + all_.size[some])
+        log = shared.value.bucket_log
+        left = order[~local]  # in the order of grams, and so of buckets
+        bucket = (all_["gram"][left] >> np.uint64(64 - log)).astype(np.int32)
+        names, payloads = [], []
+        for at in np.split(np.arange(len(left)), np.flatnonzero(np.diff(bucket)) + 1):
+            if len(at):
+                names.append(int(bucket[at[0]]))
+                payloads.append(all_.take(left[at]).packed())
+        own = -1 - (mix(ranges[0].view(np.uint64)) >> np.uint64(64 - log)).astype(np.int32)
+        order = np.argsort(own, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+            if len(at):
+                names.append(int(own[at[0]]))
+                payloads.append(b"".join(x[at].astype(k).tobytes() for x, k in zip(ranges, RANGE.values(), strict=True)))
+        return _batch([np.array(names, np.int32), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
     def scan(batches):
+        held, n = [], 0
         for batch in batches:
-            doc, version = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-            for a, b, c in contexts_of(batch.column(1)):
-                _, at = shared.value.judge(c, doc[a:b], anchors.value)
-                gram = (c.gram[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                hashed = _gram(gram)
-                route = shared.value.several.has(hashed).astype(np.int8) * (1 + shared.value.hot.has(hashed).astype(np.int8))
-                start, count, row = c.start[at], c.count[at], c.row[at]
-                ends = start + count - 1 + LENGTH
-                own = [c.data[s:e].tobytes() if r else None for s, e, r in zip(start.tolist(), ends.tolist(), route.tolist(), strict=True)]
-                yield _batch(
-                    [c.content[at].astype(np.int64), gram, route, doc[a + row], version[a + row], (start - c.offsets[row]).astype(np.int32), count.astype(np.int32), (c.anchor[at] - start).astype(np.int32), pa.array(own, pa.binary())],
-                    [x.split()[0] for x in OPEN.split(", ")],
-                )
-
-    return docs.mapInArrow(scan, OPEN)
+            doc, version = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            for a, b, c in contexts_of(batch.column(0)):
+                held += taken(c, doc[a:b], version[a:b])
+                n += len(held[-1]) if held else 0
+                if sum(map(len, held)) >= BLOCK:
+                    yield emit(held)
+                    held = []
+            common.release()
+        if held:
+            yield emit(held)
+        del held
+        common.release()
+
+    return docs.select("text", "doc", "version").mapInArrow(scan, "bucket int, payload binary")
 
 
 # -- sorting ----------------------------------------------------------------------------------------------------------
@@ -276,95 +394,96 @@ class Suffixes:
             merged[target] = order[here]
             order, width = merged, 2 * width
 
-    def equal(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether LENGTH bytes are the same, hashes first, then the bytes."""
-        n = np.full(len(x), LENGTH)
-        same = self.hashed(x, n) == self.hashed(y, n)
-        step = np.arange(LENGTH)
-        for a in range(0, len(x), 100_000):
-            some = np.flatnonzero(same[a : a + 100_000]) + a
-            same[some] = (self.data[x[some, None] + step] == self.data[y[some, None] + step]).all(1)
-        return same
-
-
-def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ranges to remove from the contexts of complete anchors."""
-    count = pdf["count"].to_numpy(np.int64)
-    sizes = count - 1 + LENGTH
-    base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    suffixes = Suffixes(np.frombuffer(b"".join(pdf["bytes"]), np.uint8))
-    context = np.repeat(np.arange(len(pdf)), count)
-    inner = np.arange(len(context)) - np.repeat(np.cumsum(count) - count, count)
-    gram, place = pdf["gram"].to_numpy(np.int64)[context], pdf["place"].to_numpy(np.int64)[context] - inner
-    order = np.lexsort((place, gram))
-    context, inner, gram, place = context[order], inner[order], gram[order], place[order]
-    at, doc = base[context] + inner, pdf["doc"].to_numpy(np.int64)[context]
-    opens = np.append(True, (gram[1:] != gram[:-1]) | (place[1:] != place[:-1]))
-    firsts = np.flatnonzero(opens)
-    group = np.cumsum(opens) - 1
-    size = np.diff(np.append(firsts, len(at)))
-    sorted_ = suffixes.sort(at, firsts[group], size[group])
-    at, doc, context, inner, group = at[sorted_], doc[sorted_], context[sorted_], inner[sorted_], group[sorted_]
-    equal = np.append(False, group[1:] == group[:-1])
-    some = np.flatnonzero(equal)
-    equal[some] = suffixes.equal(at[some], at[some - 1])
-    runs = np.flatnonzero(~equal)
-    least = np.minimum.reduceat(doc, runs)[np.cumsum(~equal) - 1]
-    hit = np.flatnonzero(doc > least)
-    return joined(pdf, context[hit], inner[hit])
-
-
-def joined(pdf: pd.DataFrame, context: np.ndarray, inner: np.ndarray) -> pd.DataFrame:
-    """Windows next to each other in one context as one range ``doc, version, low, high``."""
-    if not len(context):
-        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc", "version", "low", "high")})
-    order = np.lexsort((inner, context))
-    context, inner = context[order], inner[order]
-    opens = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (inner[1:] != inner[:-1] + 1)))
-    ends = np.append(opens[1:], len(context)) - 1
-    start = pdf["start"].to_numpy(np.int64)[context]
-    which = context[opens]
-    return pd.DataFrame({"doc": pdf["doc"].to_numpy(np.int64)[which], "version": pdf["version"].to_numpy(np.int64)[which], "low": (start + inner)[opens], "high": (start + inner)[ends] + LENGTH})
-
-
-RANGE = "doc bigint, version int, low bigint, high bigint"
-
-
-def sorted_ranges(opened: DataFrame) -> DataFrame:
-    """Anchors' contexts side by side, sorted in groups of whole anchors of bounded size."""
-
-    def run(batches):
-        held = None
-        for pdf in batches:
-            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            whole = held["gram"] != held["gram"].iloc[-1]  # rows come by anchor: only the last one may go on
-            if whole.sum() >= 5000:
-                yield settle(held[whole].reset_index(drop=True))
-                held = held[~whole].reset_index(drop=True)
-        if held is not None and len(held):
-            yield settle(held)
-
-    rows = opened.filter("route = 1").select("gram", "doc", "version", "start", "count", "place", "bytes")
-    return rows.repartition("gram").sortWithinPartitions("gram").mapInPandas(run, RANGE)
-
-
-def hot_ranges(opened: DataFrame) -> DataFrame:
-    """The same for anchors with very many contexts, by aggregating window hashes over any number of tasks."""
-
-    def run(batches):
-        for batch in batches:
-            data, offsets = common.utf8(batch.column("bytes").cast(pa.large_binary()).view(pa.large_string()))
-            count = batch.column("count").to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(count)), count)
-            inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            s = Suffixes(data)
-            take = lambda c: batch.column(c).to_numpy().astype(np.int64)[row]  # noqa: E731, B023
-            window = mix(s.hashed(offsets[row] + inner, np.full(len(row), LENGTH)))
-            yield _batch([window.astype(np.int64), take("doc"), take("version").astype(np.int32), take("start") + inner, take("start") + inner + LENGTH], ["window", "doc", "version", "low", "high"])
-
-    windows = opened.filter("route = 2").mapInArrow(run, "window bigint, doc bigint, version int, low bigint, high bigint")
-    least = windows.groupBy("window").agg(F.min("doc").alias("least"))
-    return windows.join(least.hint("merge"), "window").filter("doc > least").select("doc", "version", "low", "high")
+    def settled(self, at: np.ndarray, group: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of the suffixes ``at`` inside groups in which equal ones are neighbours, and whether each is equal to the
+        one before. The bytes of all neighbours are compared; a group whose order they contradict is sorted by bytes."""
+        order = self.sort(at, first, size)
+        inside = np.append(False, group[1:] == group[:-1])
+        equal, step, wrong = inside.copy(), np.arange(LENGTH), set()
+        some = np.flatnonzero(inside)
+        for part in np.array_split(some, 1 + len(some) // 50_000):
+            if len(part):
+                x, y = self.data[at[order[part - 1]][:, None] + step], self.data[at[order[part]][:, None] + step]
+                apart = x != y
+                where = apart.argmax(1)
+                differ = apart[np.arange(len(part)), where]
+                equal[part] = ~differ
+                row = np.arange(len(part))[differ]
+                wrong.update(group[part[differ][x[row, where[differ]] > y[row, where[differ]]]].tolist())
+        for g in sorted(wrong):
+            here = np.flatnonzero(group == g)
+            texts = {i: self.data[at[i] : at[i] + LENGTH].tobytes() for i in order[here].tolist()}
+            order[here] = sorted(texts, key=texts.__getitem__)
+            equal[here] = np.append(False, [texts[i] == texts[j] for i, j in zip(order[here][1:].tolist(), order[here][:-1].tolist(), strict=True)])
+        return order, equal
+
+
+def settle(pieces: Pieces) -> list[np.ndarray]:
+    """Ranges to remove, from all contexts of some anchors."""
+    order, opens = pieces.classes()
+    pieces = pieces.take(order)
+    which, first = np.cumsum(opens) - 1, np.flatnonzero(opens)
+    doc, start = pieces["doc"], pieces["start"].astype(np.int64)
+    least = np.minimum.reduceat(doc, first)
+    covered = np.flatnonzero(doc > least[which])
+    out = [(doc[covered], pieces["version"][covered], start[covered], start[covered] + pieces.size[covered])]
+    # one row for each text; those alone under their anchor match nothing else
+    gram = pieces["gram"][first]
+    alone = _runs(gram) & np.append(_runs(gram)[1:], True)
+    texts = np.flatnonzero(~alone)
+    if len(texts):
+        rows = pieces.take(first[texts])
+        count = rows["count"].astype(np.int64)
+        base = np.cumsum(rows.size) - rows.size
+        text = np.repeat(np.arange(len(texts)), count)
+        inner = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        place = rows["place"].astype(np.int64)[text] - inner
+        by = np.lexsort((place, rows["gram"][text]))
+        text, inner, place = text[by], inner[by], place[by]
+        opens = _runs(rows["gram"][text], place)
+        group, firsts = np.cumsum(opens) - 1, np.flatnonzero(opens)
+        size = np.diff(np.append(firsts, len(text)))
+        by, equal = Suffixes(rows.data).settled(base[text] + inner, group, firsts[group], size[group])
+        text, inner = text[by], inner[by]
+        smallest = least[texts][text]
+        runs = np.flatnonzero(~equal)
+        hit = np.flatnonzero(smallest > np.minimum.reduceat(smallest, runs)[np.cumsum(~equal) - 1])
+        # every place where the smallest id of a text has it
+        own = np.flatnonzero(doc == least[which])
+        lo, hi = np.searchsorted(which[own], texts[text[hit]]), np.searchsorted(which[own], texts[text[hit]], "right")
+        n = hi - lo
+        at = own[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        low = start[at] + np.repeat(inner[hit], n)
+        out.append((doc[at], pieces["version"][at], low, low + LENGTH))
+    return merged(*[np.concatenate(x) for x in zip(*out, strict=True)])
+
+
+def sorted_bucket(key: tuple, rows: pa.Table) -> pa.Table:
+    """``doc, version, low, high`` from one bucket, whole anchors at a time."""
+    payloads = [x.as_py() for x in rows.column("payload")]
+    if key[0].as_py() < 0:
+        found = []
+        for p in payloads:
+            n, at, one = len(p) // sum(np.dtype(k).itemsize for k in RANGE.values()), 0, []
+            for k in RANGE.values():
+                one.append(np.frombuffer(p, k, n, at))
+                at += one[-1].nbytes
+            found.append(one)
+        out = [np.concatenate(x) for x in zip(*found, strict=True)]
+    else:
+        pieces = Pieces.joined([Pieces.unpacked(p) for p in payloads])
+        del payloads
+        order = np.argsort(pieces["gram"], kind="stable")
+        begins = np.flatnonzero(_runs(pieces["gram"][order]))
+        found, a = [], 0
+        while a < len(order):
+            b = begins[min(np.searchsorted(begins, a + CHUNK), len(begins) - 1)]
+            b = int(b) if b > a and b >= a + CHUNK else len(order)
+            found.append(settle(pieces.take(order[a:b])))
+            a = b
+        out = [np.concatenate(x) for x in zip(*found, strict=True)]
+    common.release()
+    return pa.table([pa.array(x.astype(k)) for x, k in zip(out, RANGE.values(), strict=True)], names=list(RANGE))
 
 
 def removed(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -382,58 +501,45 @@ def removed(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int
     return b"".join([*kept, text[end:]]), gone, spans
 
 
+def cutter():
+    def cut(texts: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
+        whole, offsets = common.utf8(texts)
+        out = []
+        for i, (x, y) in enumerate(zip(low.to_pylist(), high.to_pylist(), strict=True)):
+            out.append(removed(whole[offsets[i] : offsets[i + 1]].tobytes(), list(zip(x or (), y or (), strict=True))))
+        kept, gone, spans = zip(*out, strict=True) if out else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64())], ["kept", "n_removed", "n_spans"])
+
+    return cut
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept (binary)`` for every row."""
     spark = docs.sparkSession
-    common.bounded_batches(spark)
-    folder, sc = shared_folder(spark), spark.sparkContext
+    folder = shared_folder(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc"), text.alias("text"))
-    versioned = rows.select("doc", "text", (F.crc32(F.col("text").cast("binary")) - 2147483648).cast("int").alias("version"), "id")
+    rows = rows.withColumn("version", (F.crc32(F.col("text").cast("binary")) - 2147483648).cast("int"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    anchors = sc.broadcast(repeated_anchors(rows.select("doc", "text"), log_size(size / 4)))
-    found = staged(classes(rows.select("doc", "text"), anchors), folder, "classes")
-    per_anchor = staged(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), folder, "anchors")
-    bits = lambda df, hashed, *columns: bit_filter(df, hashed, list(columns), log_size(16 * df.count()))
-    filters = Filters(bits(found, _key, "content", "first"), bits(per_anchor, _gram, "gram"), bits(per_anchor.filter(F.col("n") > HOT), _gram, "gram"))
-    shared = sc.broadcast(filters)
-    opened = staged(open_contexts(versioned.select("doc", "text", "version"), anchors, shared), folder, "open")
-    alone = opened.filter("route = 0").select("content", "doc", "version", "start", "count")
-    late = alone.join(found.select("content", "first").hint("merge"), "content").filter("doc > first")
-    late = late.select("doc", "version", F.col("start").cast("bigint").alias("low"), (F.col("start") + F.col("count") - 1 + LENGTH).cast("bigint").alias("high"))
-    ranges = sorted_ranges(opened).unionByName(hot_ranges(opened)).unionByName(late)
-    lists = staged(ranges.groupBy("doc", "version").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), folder, "ranges")
-    has = sc.broadcast(bits(lists, _key, "doc", "version"))
-
-    @F.arrow_udf("boolean")
-    def may_have(doc: pa.Array, version: pa.Array) -> pa.Array:
-        return pa.array(has.value.has(_key(doc.to_numpy(zero_copy_only=False), version.to_numpy(zero_copy_only=False))))
-
-    @F.arrow_udf("struct<kept:binary,n_bytes:bigint,n_removed:bigint,n_spans:bigint>")
-    def cut(doc: pa.Array, texts: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
-        ids = doc.to_numpy(zero_copy_only=False)
-        extra = [list(zip(x or (), y or (), strict=True)) for x, y in zip(low.to_pylist(), high.to_pylist(), strict=True)]
-        out = []
-        for a, b, c in contexts_of(texts):
-            at, _ = shared.value.judge(c, ids[a:b], anchors.value)
-            for s, n, r in zip(c.start[at].tolist(), c.count[at].tolist(), c.row[at].tolist(), strict=True):
-                s -= int(c.offsets[r])
-                extra[a + r].append((s, s + n - 1 + LENGTH))
-            for i in range(a, b):
-                whole = c.data[c.offsets[i - a] : c.offsets[i - a + 1]].tobytes()
-                out.append((*removed(whole, extra[i]), len(whole)))
-        kept, gone, spans, size = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64())], ["kept", "n_bytes", "n_removed", "n_spans"])
-
-    none = F.lit(None).cast("array<bigint>")
-    flagged = versioned.withColumn("may", may_have("doc", "version"))
-    plain = flagged.filter("not may").select("id", "doc", "text", none.alias("low"), none.alias("high"))
-    met = flagged.filter("may").join(lists.hint("merge"), ["doc", "version"], "left").select("id", "doc", "text", "low", "high")
-    done = [df.select(F.col("id").alias(id_col), cut("doc", "text", "low", "high").alias("c")).select(id_col, "c.*") for df in (plain, met)]
-    return done[0].unionByName(done[1]).select(id_col, "n_bytes", "n_removed", "n_spans", "kept")
+    with ExitStack() as held:
+        anchors = sent(spark, count_anchors(rows, size), held)
+        with small_batches(spark):
+            found = contexts_to_sort(rows, anchors).groupBy("bucket").applyInArrow(sorted_bucket, "doc bigint, version int, low bigint, high bigint")
+            lists = found.groupBy("doc", "version").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
+            lists = staged(lists, folder, "ranges")
+    shared = spark.sparkContext.broadcast(bit_filter(lists.select("doc", "version")))
+    may = common.per_batch("boolean", lambda: lambda slots: marked(shared.value, slots))
+    cut = common.per_batch("struct<kept:binary,n_removed:bigint,n_spans:bigint>", cutter, 3)
+    flagged = rows.withColumn("may", may(slot("doc", "version")))
+    none = F.lit(0).cast("bigint")
+    plain = flagged.filter("not may").select("id", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    met = flagged.filter("may").drop("may").join(lists.hint("merge"), ["doc", "version"], "left")
+    met = met.select("id", F.octet_length("text").cast("bigint").alias("n_bytes"), cut("text", "low", "high").alias("c")).select("id", "n_bytes", "c.n_removed", "c.n_spans", "c.kept")
+    return plain.unionByName(met).withColumnRenamed("id", id_col)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_session(spark)
     out = deduplicate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 

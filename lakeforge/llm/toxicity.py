@@ -5,8 +5,9 @@
     become lattices: each sign stands for the letters it may have replaced, each gap is kept or dropped, each run of a
     letter is one or two long. Viterbi decoding under the model and the channel's costs finds the likeliest word.
 3.  The words of the text and the restored words are looked up in a list of words, word beginnings and beginnings of
-    three or more words of a text, learned from labelled rows by sequential covering; a logistic function of the number and
-    density of hits is the score.
+    two or three words of a text; a logistic function of the number and density of hits is the score. A feature enters the
+    list when its rows are nearly all toxic and a likelihood-ratio test, corrected for the number of features that could
+    pass it at all, says that this is neither chance nor noise in the labels. Near copies share one weight.
 
 Distribution: the model is a fixed-size table (its size is a power of the alphabet, not of the data), summed from one
 row of counts per task; learning reads a sample of at most ``TRAIN_ROWS`` labelled rows; scoring is one pass.
@@ -15,11 +16,14 @@ Defined results
     * Null and empty texts have the score of a text without any hit.
     * Without labels, or with labels of one class only, no word is learned and every score is 0.
     * Whole texts are scored; a very long word is decoded in time in proportion to its length.
+    * Nothing depends on the order of rows: sampled rows are those whose ids hash lowest, one row for a repeated id; equal
+      texts share a weight even if their labels differ. Empty tables give no rows and, as labels, no words.
     * Columns added replace columns of the same names; all others stay.
 """
 
 from __future__ import annotations
 
+import copy
 import functools
 import itertools
 import math
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import table
+from .common import table, text_session
 from .labelled import fold, sample
 
 TRAIN_ROWS = 8000
@@ -89,7 +93,13 @@ class CharModel:
         uni = (single + 1) / (single.sum() + SYMBOLS)
         bi = (two + 5 * uni[None, :]) / (two.sum(1, keepdims=True) + 5)
         tri = (c + 5 * bi[None, :, :]) / (c.sum(2, keepdims=True) + 5)
-        self.log = np.log(0.9 * tri + 0.08 * bi[None] + 0.02 * uni[None, None]).astype(np.float32).tolist()
+        self.log = np.log(0.9 * tri + 0.08 * bi[None] + 0.02 * uni[None, None]).astype(np.float32)
+
+    def opened(self) -> CharModel:
+        """A copy with lists, which single look-ups are faster in; not to be sent."""
+        out = copy.copy(self)
+        out.log = self.log.tolist()
+        return out
 
     def best(self, lattice: list[list[tuple[str, float]]]) -> str:
         """The likeliest reading of a lattice: at each place one of some (letters, log cost)."""
@@ -122,8 +132,8 @@ def _symbols(letters: str) -> tuple[int, ...]:
 
 # -----------------------------------------------------------------------------------------------------------------
 WORD = re.compile(r"[^\W\d_]+")
-#: Marks a beginning of three or more words of one text.
-OFTEN = "***"
+#: A beginning of one word of a text, or of at least two or three, equal ones included, is marked by so many of these.
+STAR = "*"
 _MIXED = re.compile(r"[0-9@$!|+*€#(](?=[a-zà-ÿ])|(?<=[a-zà-ÿ])[0-9@$+€]")
 _APART = re.compile(r"(?<!\w)[^\W_](?:[ ._*\-][^\W_](?!\w)){2,}")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
@@ -177,15 +187,20 @@ class Detector:
 
     def __init__(self, counts: np.ndarray, words: dict[str, float], weights: list[float]):
         self.words, self.weights = words, weights
-        self.lengths = sorted({len(w) - 1 for w in words if w.endswith("*") and not w.endswith(OFTEN)})
-        self.often = sorted({len(w) - len(OFTEN) for w in words if w.endswith(OFTEN)})
+        self.lengths = sorted({(stars(w), len(w) - stars(w)) for w in words if stars(w)})
         self.model = CharModel(counts, {w.rstrip("*"): x for w, x in words.items()}) if words else None
         self.decoded: dict[str, str] = {}
 
+    def opened(self) -> Detector:
+        """The copy that a task works with."""
+        out = copy.copy(self)
+        out.model, out.decoded = self.model and self.model.opened(), {}
+        return out
+
     def restore(self, span: str) -> str:
         known = self.decoded.get(span)
         if known is None:
-            if len(self.decoded) > 100_000:
+            if len(self.decoded) > 50_000:
                 self.decoded.clear()
             known = self.decoded[span] = self.model.best(lattice(span))
         return known
@@ -201,12 +216,11 @@ class Detector:
                 distinct.update(WORD.findall(restored))
                 if _APART.fullmatch(span):  # letters set apart: neighbouring single-letter words may have joined them
                     joined = restored.replace(" ", "")
-                    distinct.update(w.rstrip("*") for w in self.words if not w.endswith(OFTEN) and w.rstrip("*") in joined)
+                    distinct.update(w.rstrip(STAR) for w in self.words if stars(w) < 2 and w.rstrip(STAR) in joined)
         found = distinct & self.words.keys()
-        for n in self.lengths:
-            found |= {w[:n] + "*" for w in distinct if len(w) >= n} & self.words.keys()
-        for n in self.often:
-            found |= {b + OFTEN for b, k in Counter(w[:n] for w in words if len(w) >= n).items() if k >= 3} & self.words.keys()
+        for k, n in self.lengths:
+            begun = Counter(w[:n] for w in (distinct if k == 1 else words) if len(w) >= n)
+            found |= {b + STAR * k for b, times in begun.items() if times >= k} & self.words.keys()
         return len(found), len(words)
 
     def score(self, text: str | None) -> float:
@@ -224,12 +238,15 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def stars(feature: str) -> int:
+    return len(feature) - len(feature.rstrip(STAR))
+
+
 def features(text: str | None) -> list[str]:
-    """Distinct words of a text, the beginnings of its longer words, marked with a star, and those of three or more words,
-    equal ones included, marked with three."""
-    every = [w for w in WORD.findall((text or "").lower()) if 3 <= len(w) <= 40]
-    words, begun = set(every), Counter(w[:n] for w in every for n in (4, 5, 6, 7) if len(w) >= n)
-    return sorted(words | {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) >= n} | {b + OFTEN for b, k in begun.items() if k >= 3})
+    """Distinct words of a text and the beginnings of its words."""
+    words = WORD.findall((text or "").lower())
+    begun = Counter(w[:n] for w in words for n in (4, 5, 6, 7) if len(w) >= n)
+    return sorted(set(words) | {b + STAR * k for b, times in begun.items() for k in (1, 2, 3) if times >= k and (k > 1 or len(b) < 7)})
 
 
 def signature(text: str | None) -> int:
@@ -241,69 +258,49 @@ def signature(text: str | None) -> int:
     return int(runs.min().astype(np.int64)) if len(runs) else 0
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton steps for a ridge-penalised logistic regression."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Newton steps for a ridge-penalised logistic regression of weighted rows."""
     w = np.zeros(x.shape[1])
     for _ in range(25):
         p = _sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (weight * (y - p)) - ridge * w)
         w += np.clip(step, -5, 5)
     return w
 
 
-def evidence(good: int, bad: int, share: float) -> float:
-    """Log-likelihood ratio of a feature in ``good`` toxic and ``bad`` other rows against the share of toxic rows; a feature
+#: Number of features of a kind that may be expected to enter the list by chance, and the least share of toxic rows.
+ERROR, PURITY = 1.0, 0.9
+
+
+def evidence(good: float, n: float, share: float) -> float:
+    """Log-likelihood ratio of a feature in ``n`` rows, ``good`` of them toxic, against the share of toxic rows; a feature
     without a bearing on them has more than x with a probability of at most exp(-x)."""
-    n = good + bad
-    return good * math.log(good / n / share) + (bad * math.log(bad / n / (1 - share)) if bad else 0.0)
-
-
-def kind(feature: str) -> str:
-    return OFTEN if feature.endswith(OFTEN) else "*" if feature.endswith("*") else ""
-
-
-def cover(rows: list[tuple[int, set[str]]], toxic: int, tested: dict[str, int] | None = None) -> dict[str, float]:
-    """Words that stand in three of a hundred toxic rows or more and almost nowhere else; then sequential covering: the
-    word that catches most toxic rows not caught yet, as long as at least nine rows in ten that have it are toxic.
-
-    No count of rows is asked for. A word must have evidence for which less than one word of its kind is expected to have
-    as much by chance: ``tested`` are the features of each kind in three or more rows, those of the same rows as one,
-    counted here unless given."""
-    good: dict[str, list[int]] = {}
-    bad: dict[str, int] = {}
-    for i, (label, found) in enumerate(rows):
-        for f in found:
-            if label:
-                good.setdefault(f, []).append(i)
-            else:
-                bad[f] = bad.get(f, 0) + 1
-    if tested is None:
-        at: dict[str, list[int]] = {}
-        for i, (_, found) in enumerate(rows):
-            for f in found:
-                at.setdefault(f, []).append(i)
-        tested = Counter(k for k, _ in {(kind(f), tuple(x)) for f, x in at.items() if len(x) >= 3})
-    open_rows, chosen = {i for i, (label, _) in enumerate(rows) if label}, {}
-    share = toxic / len(rows)
-    chance = lambda f, n, b: evidence(n, b, share) < math.log(max(2, tested.get(kind(f), 0)))
-    sure = {f: set(at) for f, at in good.items() if len(at) >= 9 * bad.get(f, 0) and not chance(f, len(at), bad.get(f, 0))}
-    subsumed = lambda f: any(c != f and kind(c) and kind(c) in ("*", kind(f)) and f.startswith(c.rstrip("*")) for c in chosen)
-    for f in sorted((f for f, at in sure.items() if len(at) >= 0.03 * toxic and len(at) >= 50 * bad.get(f, 0)), key=lambda f: (len(f), f)):
-        # a beginning is only of use where several words have it; the shortest one stands for the longer ones
-        own = lambda w, f=f: not kind(w) and w.startswith(f.rstrip("*"))
-        alone = kind(f) == "*" and any(own(w) and len(at) >= 0.9 * len(sure[f]) for w, at in sure.items()) or kind(f) == OFTEN and any(own(w) and at > sure[f] for w, at in sure.items())
-        if not subsumed(f) and not alone:
-            chosen[f] = math.log((len(good[f]) + 0.5) / (bad.get(f, 0) + 0.5))
-            open_rows -= sure[f]
-    sure = {f: at for f, at in sure.items() if f not in chosen and not subsumed(f)}
-    while sure:
-        gain = {f: len(at & open_rows) for f, at in sure.items()}
-        sure = {f: at for f, at in sure.items() if gain[f] and not chance(f, gain[f], bad.get(f, 0))}
-        if not sure:
-            break
-        best = max(sure, key=lambda f: (gain[f] * (1 - bad.get(f, 0) / len(good[f])), not f.endswith("*"), len(f), f))
-        chosen[best] = math.log((len(good[best]) + 0.5) / (bad.get(best, 0) + 0.5))
-        open_rows -= sure.pop(best)
+    bad = n - good
+    return (good * math.log(good / n / share) if good > 0 else 0.0) + (bad * math.log(bad / n / (1 - share)) if bad > 1e-9 else 0.0)
+
+
+def least_evidence(sizes: dict[int, int], share: float) -> float:
+    """The evidence to ask for. ``sizes``: number of features by (whole) number of rows. Only features in so many rows that
+    they could reach it count as tested, so rare words do not make the test harder for others."""
+    for k in range(1, max(sizes, default=0) + 1):
+        most = math.log(max(1, sum(n for size, n in sizes.items() if size >= k)) / ERROR)
+        if k * -math.log(share) >= most:
+            return most
+    return math.inf
+
+
+def word_list(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """The features that stand in the list, with their log odds, from (toxic rows, rows) of each that passed the test.
+
+    A beginning is only of use where no single word, and none that is asked for once only, has its rows to itself; then the
+    shortest one stands for the words and the longer beginnings."""
+    chosen: dict[str, float] = {}
+    for f in sorted(counts, key=lambda f: ((2, 3, 1, 0).index(stars(f)), len(f), f)):
+        stem, (good, n) = f.rstrip(STAR), counts[f]
+        simpler = (w for w in counts if stars(w) < min(2, stars(f)) and w.startswith(stem))
+        if any(counts[w][0] >= (0.9 if stars(f) == 1 else 1) * good for w in simpler) or any(stars(c) and f.startswith(c.rstrip(STAR)) for c in chosen):
+            continue
+        chosen[f] = math.log((good + 0.5) / (n - good + 0.5))
     return chosen
 
 
@@ -311,7 +308,6 @@ def train(docs: DataFrame, train_labels: DataFrame, label: str = "toxic", id_col
     """Learn from at most ``rows`` labelled rows; the character model is counted over all documents."""
     spark = docs.sparkSession
 
-    @F.arrow_udf("struct<signature:bigint,words:int,features:array<string>>")
     def prepared(texts: pa.Array) -> pa.Array:
         texts = texts.to_pylist()
         return pa.StructArray.from_arrays(
@@ -319,37 +315,52 @@ def train(docs: DataFrame, train_labels: DataFrame, label: str = "toxic", id_col
             ["signature", "words", "features"],
         )
 
-    drawn = sample(docs, train_labels, label, rows, id_col, text_col).select(F.col(label).alias("toxic"), prepared(text_col).alias("p")).select("toxic", "p.*")
-    drawn = common.staged(drawn.dropDuplicates(["signature"]).withColumn("row", F.monotonically_increasing_id()), common.shared_folder(spark), "toxicity_sample")
-    per_word = drawn.select("toxic", "row", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("good"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("rows"))
-    marks = F.when(F.col("f").endswith(OFTEN), OFTEN).when(F.col("f").endswith("*"), "*").otherwise("")
-    tested = {r["kind"]: r["n"] for r in per_word.filter("n >= 3").groupBy(marks.alias("kind")).agg(F.count_distinct("n", "rows").alias("n")).collect()}  # three rows
-    likely = per_word.filter("good >= 3 and good >= 0.9 * n").orderBy(F.desc("good"), "f").limit(20_000).select("f")  # bounded: broadcast below
-    found = drawn.select("row", F.explode("features").alias("f")).join(F.broadcast(likely), "f").groupBy("row").agg(F.collect_list("f").alias("f"))
-    got = drawn.select("row", "toxic", "words").join(found, "row", "left").select("toxic", "words", "f").toPandas()
-    data = [(int(t), set(f) if f is not None else set()) for t, f in zip(got["toxic"], got["f"], strict=True)]
-    toxic = sum(t for t, _ in data)
-    words = cover(data, toxic, tested) if 0 < toxic < len(data) else {}
+    prepare = common.per_batch("struct<signature:bigint,words:int,features:array<string>>", lambda: prepared)
+    folder = common.shared_folder(spark)
+    drawn = sample(docs, train_labels, label, rows, id_col, text_col).select(F.col(id_col).alias("row"), F.col(label).alias("toxic"), prepare(text_col).alias("p")).select("row", "toxic", "p.*")
+    drawn = common.staged(drawn, folder, "drawn")
+    alike = drawn.groupBy("signature").agg((1 / F.count("*")).alias("weight"))  # near copies count as one row
+    drawn = common.staged(drawn.join(alike, "signature"), folder, "sample")
+    total, toxic = drawn.agg(F.coalesce(F.sum("weight"), F.lit(0.0)), F.coalesce(F.sum(F.col("weight") * F.col("toxic")), F.lit(0.0))).first()
+    none = Detector(np.zeros(SYMBOLS**3, np.int64), {}, [0.0] * 4)
+    if not 0 < toxic < total:
+        return none
+    weight = lambda x: F.round(F.sum(x), 6)  # noqa: E731  the order of a sum has no bearing
+    per_word = common.staged(drawn.select("row", "toxic", "weight", F.explode("features").alias("f")).groupBy("f").agg(weight(F.col("weight") * F.col("toxic")).alias("good"), weight("weight").alias("n"), F.bit_xor(F.xxhash64("row")).alias("rows")), folder, "features")
+    per_word = per_word.withColumn("stars", F.length("f") - F.length(F.rtrim(F.col("f"), F.lit(STAR))))
+    share, sizes = toxic / total, {k: {} for k in range(4)}
+    for r in per_word.groupBy("stars", F.floor("n").alias("size")).agg(F.count_distinct("n", "rows").alias("k")).collect():  # features of the same rows are tested once
+        sizes[r["stars"]][int(r["size"])] = r["k"]
+    least = F.array(*[F.lit(least_evidence(sizes[k], share)) for k in range(4)])  # each kind of feature is tested by itself
+    good, n = F.col("good"), F.col("n")
+    ratio = good * F.log(good / n / share) + F.when(n - good > 1e-9, (n - good) * F.log((n - good) / n / (1 - share))).otherwise(0.0)
+    passed = per_word.filter((good > 0) & (good >= PURITY * n)).filter(ratio >= least[F.col("stars")])
+    words = word_list({r["f"]: (r["good"], r["n"]) for r in passed.collect()})  # each has rows of the sample to itself or nearly so
     if not words:
-        return Detector(np.zeros(SYMBOLS**3, np.int64), {}, [0.0] * 4)
-    x = np.array([measures(len(f & words.keys()), n) for (_, f), n in zip(data, got["words"], strict=True)])
-    weights = logistic(x, np.array([t for t, _ in data], float)).tolist()
+        return none
+    listed = spark.createDataFrame([(w,) for w in sorted(words)], "f string")
+    found = drawn.select("row", F.explode("features").alias("f")).join(F.broadcast(listed), "f").groupBy("row").agg(F.count("*").alias("hits"))
+    got = drawn.select("row", "toxic", "words", "weight").join(found, "row", "left").select("row", "toxic", "words", "weight", F.coalesce("hits", F.lit(0)).alias("hits")).toPandas().sort_values("row")
+    x = np.array([measures(h, n) for h, n in zip(got["hits"].tolist(), got["words"].tolist(), strict=True)])
+    weights = logistic(x, got["toxic"].to_numpy(float), got["weight"].to_numpy(float)).tolist()
+    common.dropped(spark, folder)
     return Detector(corpus_counts(docs, text_col), words, weights)
 
 
 def score(docs: DataFrame, detector: Detector, text_col: str = "text") -> DataFrame:
     """Add ``score`` and ``predicted``."""
-    common.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(detector)
 
-    @F.arrow_udf("double")
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.value.score(t.as_py()) for t in texts], pa.float64())
+    def make():
+        detector = shared.value.opened()
+        return lambda texts: pa.array([detector.score(t.as_py()) for t in texts], pa.float64())
 
+    run = common.per_batch("double", make)
     return docs.withColumn("score", run(F.coalesce(F.col(text_col), F.lit("")))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_session(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1)
     return score(docs, train(docs, labels)).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
