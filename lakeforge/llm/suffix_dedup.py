@@ -396,10 +396,12 @@ class Suffixes:
 
     def settled(self, at: np.ndarray, group: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """An order of the suffixes ``at`` inside groups in which equal ones are neighbours, and whether each is equal to the
-        one before. The bytes of all neighbours are compared; a group whose order they contradict is sorted by bytes."""
+        one before. The bytes of all neighbours are compared; a group whose order they contradict is sorted by bytes, and so
+        is one for which merging, misled by equal hashes, gave no order at all."""
         order = self.sort(at, first, size)
         inside = np.append(False, group[1:] == group[:-1])
-        equal, step, wrong = inside.copy(), np.arange(LENGTH), set()
+        equal, step = inside.copy(), np.arange(LENGTH)
+        wrong = set(group[np.bincount(order, minlength=len(at)) != 1].tolist())
         some = np.flatnonzero(inside)
         for part in np.array_split(some, 1 + len(some) // 50_000):
             if len(part):
@@ -412,7 +414,7 @@ class Suffixes:
                 wrong.update(group[part[differ][x[row, where[differ]] > y[row, where[differ]]]].tolist())
         for g in sorted(wrong):
             here = np.flatnonzero(group == g)
-            texts = {i: self.data[at[i] : at[i] + LENGTH].tobytes() for i in order[here].tolist()}
+            texts = {i: self.data[at[i] : at[i] + LENGTH].tobytes() for i in here.tolist()}
             order[here] = sorted(texts, key=texts.__getitem__)
             equal[here] = np.append(False, [texts[i] == texts[j] for i, j in zip(order[here][1:].tolist(), order[here][:-1].tolist(), strict=True)])
         return order, equal

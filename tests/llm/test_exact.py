@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lakeforge.llm import bpe, components, decontamination, exact_dedup, ngram_join, registry, secrets, suffix_dedup, warc_fixity
+from lakeforge.llm import bpe, common, components, decontamination, exact_dedup, ngram_join, registry, secrets, suffix_dedup, warc_fixity
 from tests.conftest import DATA, rows_of
 
 LONG = "the quick brown fox jumps over the lazy dog near the river bank and then sleeps for a while under a tree "
@@ -144,21 +145,58 @@ def test_bpe_on_the_small_table(spark):
 
 
 # -- suffix dedup -----------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("hot", [20_000, 3])
-def test_suffix_dedup_awkward(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+def suffix_rows():
     rng = random.Random(3)
     piece = lambda n: "".join(rng.choices("ab ", k=n))
     shared = [piece(80), piece(51), piece(50), piece(49), "é" * 40]
     rows = [r for r in AWKWARD if r[0] not in (9, 12)] + [(9, "x" * 300), (9, "x" * 300), (12, LONG * 3)]
     rows += [(100 + i, piece(rng.randrange(60)) + rng.choice(shared) + piece(rng.randrange(60)) + rng.choice(shared)) for i in range(60)]
-    rows += [(50, shared[0]), (51, shared[0] + shared[0]), (300, shared[0][:60]), (301, "z" * 49), (302, "z" * 49)]
+    return rows + [(50, shared[0]), (51, shared[0] + shared[0]), (300, shared[0][:60]), (301, "z" * 49), (302, "z" * 49)]
+
+
+@pytest.mark.parametrize("many", [20_000, 2])
+def test_suffix_dedup_awkward(spark, monkeypatch, many):
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    rows = suffix_rows()
     got = suffix_dedup.deduplicate(documents(spark, rows)).collect()
     shown = sorted(str((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest())) for r in got)
     assert shown == sorted(map(str, suffix_dedup.brute_force(rows)))
     assert suffix_dedup.deduplicate(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_suffix_dedup_long_repeated_rows(spark):
+    rows = [r for r in AWKWARD if r[0] == 9] + [(8, "x" * 49), (10, "x" * 60_000 + "y"), (None, "x" * 50)]
+    got = suffix_dedup.deduplicate(documents(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"], bytes(r["kept"])[:2]) for r in got) == [("10", 60_000, b"y"), ("8", 0, b"xx"), ("9", 0, b"xx"), ("9", 0, b"xx"), ("None", 50, b"")]
+
+
+def ranges_of(rows):
+    """Contexts of all texts, settled in this process."""
+    parts, ids = [], np.array([suffix_dedup.LAST if i is None else i for i, _ in rows])
+    for a, _, c in suffix_dedup.contexts_of(pa.array([t for _, t in rows], pa.string())):
+        row = a + c.row
+        fields = [c.gram, c.content, ids[row], row, c.start - c.offsets[c.row], c.count, c.anchor - c.start]
+        parts.append(suffix_dedup.Pieces(dict(zip(suffix_dedup.Pieces.NAMES, fields, strict=True)), suffix_dedup.gathered(c.data, c.start, c.count - 1 + 50)))
+    whole = suffix_dedup.Pieces.unpacked(suffix_dedup.Pieces.joined(parts).packed())
+    out = [[] for _ in rows]
+    for _, row, low, high in zip(*suffix_dedup.settle(whole), strict=True):
+        out[row].append((int(low), int(high)))
+    return out
+
+
+@pytest.mark.parametrize("weak", [None, "bytes", "constant"])
+def test_suffix_sort_verifies_what_hashes_say(monkeypatch, weak):
+    """With hashes that collide, up to one value for all strings of a length, the answer is still exact."""
+    if weak:
+        monkeypatch.setattr(common, "_BYTE_CODE", np.arange(256, dtype=np.uint64) % np.uint64(2) if weak == "bytes" else np.ones(256, np.uint64))
+    rows = suffix_rows()
+    shown = []
+    for (i, t), ranges in zip(rows, ranges_of(rows), strict=True):
+        kept, gone, spans = suffix_dedup.removed((t or "").encode(), ranges)
+        shown.append(str((i, len((t or "").encode()), gone, spans, hashlib.sha256(kept).hexdigest())))
+    assert shown == list(map(str, suffix_dedup.brute_force(rows)))
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(5)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
