@@ -98,7 +98,7 @@ class CharModel:
     def opened(self) -> CharModel:
         """A copy with lists, which single look-ups are faster in; not to be sent."""
         out = copy.copy(self)
-        out.log = self.log.tolist()
+        out.log = self.log if isinstance(self.log, list) else self.log.tolist()
         return out
 
     def best(self, lattice: list[list[tuple[str, float]]]) -> str:

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lakeforge.llm import labelled, language_id, quality, toxicity
 from tests.conftest import DATA
@@ -69,13 +70,14 @@ def test_language_kernel_and_awkward(spark):
 @pytest.fixture(scope="module")
 def detector(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
-    return toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet").filter(labelled.fold("doc_id", 3) != 1))
+    return toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet").filter(labelled.fold("doc_id", 3) != 1)).opened()
 
 
 def test_toxicity_held_out(spark):
     marks, rows = truth(spark, "toxic"), toxicity.op7_toxicity(spark, DATA).collect()
     held = [(r["predicted"], marks[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in marks]
     assert np.mean([a == b for a, b in held]) >= 0.95
+    assert np.mean([b for a, b in held if a]) >= 0.95  # precision
 
 
 def test_toxicity_recall(spark):
@@ -84,26 +86,37 @@ def test_toxicity_recall(spark):
     assert np.mean([p for _, p in caught]) >= 0.9 and np.mean([p for h, p in caught if h]) >= 0.8
 
 
-def test_words_are_learned_by_evidence():
+def test_words_are_learned_by_evidence(spark):
     """Few rows are enough where little else is tested; what is rare among many toxic rows is learned; chance is not."""
-    common = [(0, {f"w{i % 50}"}) for i in range(900)]
-    few = [(1, {"vile", f"w{i}"}) for i in range(3)] + [(1, {"foul"}) for _ in range(5)]
-    assert toxicity.cover(common + few, 8).keys() == {"vile", "foul"}
-    many = [(1, {"foul"}) for _ in range(4000)] + [(1, {"vile"}) for _ in range(12)]
-    assert toxicity.cover(common * 40 + many, 4012).keys() == {"vile", "foul"}
-    chance = [(int(i % 2 == 0), {f"x{i // 3}"}) for i in range(3000)]
-    assert not toxicity.cover(chance, 1500)
-
-
-def test_beginnings_of_three_words_of_a_text():
-    assert {"ache***", "ache*"} <= set(toxicity.features("achea acheb achea")) and "ache***" not in toxicity.features("achea acheb")
-    detector = toxicity.Detector(np.zeros(toxicity.SYMBOLS**3, np.int64), {"ache***": 5.0}, [0.0] * 4)
+
+    def learned(rows):
+        docs = spark.createDataFrame([(i, f"{t} n{i} m{i} k{i} l{i} j{i}") for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+        labels = spark.createDataFrame([(i, y) for i, (y, _) in enumerate(rows)], "doc_id bigint, toxic int")
+        first = toxicity.train(docs, labels).words
+        assert toxicity.train(docs.repartition(7), labels.orderBy(F.desc("doc_id"))).words == first
+        return set(first)
+
+    plain = [(0, f"w{chr(97 + i % 26)}{chr(97 + i % 7)}") for i in range(900)]
+    assert learned(plain + [(1, "vile")] * 5 + [(1, "foul")] * 6) == {"vile", "foul"}
+    assert learned(plain * 3 + [(1, "foul")] * 900 + [(1, "vile")] * 12) == {"vile", "foul"}
+    assert not learned([(int(i % 2 == 0), "x" + "abcdefghij"[i // 3 % 10] + "abcdefghij"[i // 30 % 10]) for i in range(900)])
+
+
+def test_least_evidence_counts_what_could_pass():
+    assert toxicity.least_evidence({1: 10**9, 5: 100}, 0.1) == pytest.approx(np.log(100)) and toxicity.least_evidence({}, 0.1) == np.inf
+    assert toxicity.evidence(5, 5, 0.1) == pytest.approx(5 * np.log(10)) and toxicity.evidence(1, 10, 0.1) == pytest.approx(0)
+
+
+def test_beginnings_of_several_words_of_a_text():
+    assert {"ache***", "ache**", "ache*"} <= set(toxicity.features("achea acheb achea")) and "ache***" not in toxicity.features("achea acheb")
+    detector = toxicity.Detector(np.zeros(toxicity.SYMBOLS**3, np.int64), {"ache***": 5.0}, [0.0] * 4).opened()
     assert [detector.hits(t)[0] for t in ("achea acheb achea", "achea acheb", "ache")] == [1, 0, 0]
+    assert toxicity.word_list({"ache**": (9, 9), "ache***": (8, 8), "achea": (5, 5), "idio**": (4, 4), "idiot": (8, 8)}).keys() == {"ache**", "idiot"}
 
 
 def test_viterbi_equals_trying_all_readings():
     rng = np.random.default_rng(2)
-    model = toxicity.CharModel(rng.integers(0, 50, toxicity.SYMBOLS**3), {})
+    model = toxicity.CharModel(rng.integers(0, 50, toxicity.SYMBOLS**3), {}).opened()
 
     def cost(readings):
         a = b = 0

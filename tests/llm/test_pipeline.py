@@ -54,7 +54,7 @@ def brute_hits_fast(text, items, known={}):  # noqa: B006
 
 
 def test_awkward_rows_pass_every_stage(spark, tmp_path):
-    rows = [(i, t, None, None, None) for i, t in AWKWARD if i != 9]
+    rows = [(i, t, None, None, None) for i, t in AWKWARD]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for some in (docs, docs.limit(0)):
         frame, folder = some, tmp_path / str(some is docs)
@@ -64,6 +64,16 @@ def test_awkward_rows_pass_every_stage(spark, tmp_path):
         assert frame.count() <= some.count() and (frame.count() > 0) == (some is docs)
 
 
+def test_near_copies_of_a_repeated_id(spark):
+    """Two texts share an id; only the one that is a near copy goes."""
+    words = [f"w{i}" for i in range(80)]
+    near, other = " ".join([*words[:-1], "changed"]), "nothing like the others at all in this short text"
+    rows = [(1, " ".join(words)), (5, near), (5, other), (None, near + " again"), (None, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup_stage(spark, docs, DATA).collect()}
+    assert left == {(1, " ".join(words)), (5, other), (None, None), (7, None)}
+
+
 def test_names_and_brute_force_agree():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "bpe"] and corpus_pipeline.ORACLE_SQL is None
     assert brute_hits("a b c", [("q", "a b c")]) == (3, 3, ["q"]) and toxicity.THRESHOLD == 0.7
