@@ -2,8 +2,8 @@
 
 A merge list gives every prefix of a word exactly one last token: a token that ends there, whose two-token sequence
 with the last token before it is left alone by the merges. So the encoding of a word follows from the last tokens of
-its prefixes. The distinct new words of a batch are put into a trie, and a depth-first walk computes the last token of
-each node once for all words that share the prefix; words are kept in a bounded table for later batches.
+its prefixes. The distinct new words of a batch are walked as a trie, depth first, which computes the last token of each
+node once for all words that share the prefix; words are kept in a bounded table for later batches of the same task.
 
 The work is one pass over the documents without any shuffle; the tokenizer file is opened where it is used, in each
 Python worker, by its path (a parameter; it is part of the installed environment, not of this repository).
@@ -11,14 +11,14 @@ Python worker, by its path (a parameter; it is part of the installed environment
 Defined results
     * A null text is the empty text, which has no tokens and decodes to the empty string.
     * The strings of special tokens inside a text become those tokens, as the tokenizers library has it.
-    * Whole texts of any length are encoded; a word of n bytes takes time in proportion to n.
+    * Whole texts of any length are encoded; a word of n bytes takes time and memory in proportion to n.
+    * An empty table gives an empty result; there is no order in which ties could matter.
     * Columns ``ids`` and ``decoded`` are added or replaced; all others, rows that repeat included, stay as they are.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 import json
 import unicodedata
 from array import array
@@ -33,8 +33,9 @@ from pyspark.sql import types as T
 from . import common
 from .common import table, text_session
 
-#: Distinct words whose encodings a task keeps, and bytes of text that it cuts into words at once.
-KEPT_WORDS, SLICE = 200_000, 1 << 20
+#: Distinct words whose encodings a task keeps (beyond that, only those met more than once), and bytes of text that it cuts
+#: into words at once.
+KEPT_WORDS, SLICE = 250_000, 1 << 21
 
 
 def byte_letters() -> list[str]:
@@ -121,51 +122,46 @@ class WordEncoder:
             known = self.steps[text] = part, *(tuple((len(x), vocab[x]) for x in ends if x in vocab) for vocab in (self.inner, self.final))
         return known
 
-    def last_token(self, last: list[int], depth: int, ending: tuple) -> tuple[int, int]:
-        """The last token of the first ``depth`` letters and where it starts, the last tokens before being known."""
-        agrees = self.agrees
-        for length, token in ending:
-            at = depth - length
-            before = last[at]
-            if before >= 0 or at == 0:
-                known = agrees.get((before, token))
-                if known or known is None and self.follows(before, token):
-                    return token, at
-        return -2, depth  # a letter that the vocabulary lacks: no token
-
     def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """Encodings of words given in byte letters, by one depth-first walk over their trie."""
-        trie: dict = {}
-        for word in words:
-            node = trie
-            for letter in word:
-                node = node.setdefault(letter, {})
-            node[""] = word
+        """Encodings of words given in byte letters, by one depth-first walk over their trie.
+
+        Words in order are the leaves of the trie from left to right. The path to the word before is kept, with the state
+        of each node on it (the last token of that prefix, where it starts, and what of it can still begin a token); a word
+        goes on from the deepest node that both share. A letter that the vocabulary lacks has no token."""
         out: dict[str, tuple[int, ...]] = {}
-        last, start = [-1], [0]  # by depth: last token of the prefix and where it starts
-        stack = [(0, "", trie)]
-        while stack:
-            depth, text, node = stack.pop()
-            part = ""
-            if depth:
-                del last[depth:], start[depth:]
-                part, inner, final = self.step(text)
-                if "" in node:
-                    token, at = self.last_token(last, depth, final)
-                    ids = []
-                    while token >= 0:
-                        ids.append(token)
-                        token, at = last[at], start[at]
-                    word = node.pop("")
-                    out[word] = tuple(reversed(ids)) if ids and token == -1 else tuple(self.plain(word))
-                if not node:
-                    continue
-                token, at = self.last_token(last, depth, inner)
-                last.append(token)
-                start.append(at)
-            depth += 1
-            for letter, below in node.items():
-                stack.append((depth, part + letter, below))
+        agrees, follows, steps = self.agrees.get, self.follows, self.steps
+        last, start, parts, before = [-1], [0], [""], ""
+        for word in sorted(words):
+            shared, most, size = 0, min(len(last) - 1, len(before), len(word) - 1), len(word)
+            if before[:most] == word[:most]:
+                shared = most
+            else:
+                while before[shared] == word[shared]:
+                    shared += 1
+            del last[shared + 1 :], start[shared + 1 :], parts[shared + 1 :]
+            part = parts[shared]
+            for depth in range(shared + 1, size + 1):
+                text = part + word[depth - 1]
+                part, inner, final = steps.get(text) or self.step(text)
+                token, at = -2, depth
+                for length, candidate in inner if depth < size else final:
+                    at = depth - length
+                    previous = last[at]
+                    if previous >= 0 or at == 0:
+                        known = agrees((previous, candidate))
+                        if known or known is None and follows(previous, candidate):
+                            token = candidate
+                            break
+                if depth < size:
+                    last.append(token)
+                    start.append(at if token >= 0 else depth)
+                    parts.append(part)
+            ids = []
+            while token >= 0:
+                ids.append(token)
+                token, at = last[at], start[at]
+            out[word] = tuple(reversed(ids)) if ids and token == -1 else tuple(self.plain(word))
+            before = word
         return out
 
     def plain(self, word: str) -> list[int]:
@@ -207,6 +203,21 @@ class WordTable:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.flat, self.ends, self.decoded = array("i"), array("q", [0]), []
+        self.used = np.zeros(0, np.int64)
+
+    def thin(self) -> None:
+        """Forget the words met only once; all, if that leaves too many."""
+        often = np.flatnonzero(self.used > 1).tolist()
+        if len(often) > KEPT_WORDS // 2:
+            return self.clear()
+        words, flat, ends, decoded = list(self.number), self.flat, self.ends, self.decoded  # words stand in the order of their numbers
+        self.clear()
+        for i in often:
+            self.number[words[i]] = len(self.decoded)
+            self.flat.extend(flat[ends[i] : ends[i + 1]])
+            self.ends.append(len(self.flat))
+            self.decoded.append(decoded[i])
+        self.used = np.ones(len(often), np.int64)
 
     def learn(self, words: set[str]) -> None:
         special, text = self.encoder.special, self.encoder.text
@@ -226,18 +237,17 @@ class WordTable:
         new = {w for own, at in zip(words, known, strict=True) if None in at for w, i in zip(own, at, strict=True) if i is None}
         if new:
             if len(self.number) + len(new) > KEPT_WORDS:
-                self.clear()
-                new = set().union(*words)
-            gc.disable()  # the trie is freed by reference counts; the collector would only walk it again and again
-            try:
-                self.learn(new)
-            finally:
-                gc.enable()
+                self.thin()
+                new = {w for own in words for w in own if w not in self.number}
+            self.learn(new)
             known = [list(map(self.number.__getitem__, own)) for own in words]
         counts = np.zeros(len(texts) + 1, np.int64)
         counts[1:] = [len(own) for own in known]
         decoded = [" ".join(filter(None, map(self.decoded.__getitem__, own))) for own in known]
         at = np.concatenate([np.array(own, np.int64) for own in known]) if known else np.zeros(0, np.int64)
+        met = np.bincount(at, minlength=len(self.decoded))
+        met[: len(self.used)] += self.used
+        self.used = met
         ends, flat = np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.int32) if len(self.flat) else np.zeros(0, np.int32)
         lengths = ends[at + 1] - ends[at]
         offsets = np.concatenate(([0], np.cumsum(lengths)))
