@@ -21,24 +21,16 @@ def daily_sales(facts: DataFrame, products: DataFrame) -> DataFrame:
     return out.withColumn("avg_ticket", F.round(F.try_divide("revenue", F.col("orders").cast("decimal(20,0)")), 2).cast("double")).withColumn("revenue", F.round("revenue", 2).cast("double"))
 
 
+#: Stages of the funnel, each with what a visit must have done.
+STAGES = {"with_product": "product_views > 0", "with_cart": "added_to_cart", "with_checkout": "started_checkout", "with_purchase": "purchased"}
+
+
 def daily_funnel(visits: DataFrame) -> DataFrame:
     """Per day, source and device: visits per stage, amount, mean duration, conversion, abandonment (null without carts)."""
-    out = visits.groupBy("session_date", "utm_source", "device").agg(
-        F.count("*").alias("visits"),
-        F.count_if(F.col("product_views") > 0).alias("with_product"),
-        F.count_if("added_to_cart").alias("with_cart"),
-        F.count_if("started_checkout").alias("with_checkout"),
-        F.count_if("purchased").alias("with_purchase"),
-        F.sum(money("amount")).alias("amount"),
-        F.avg("duration_seconds").alias("mean_duration"),
-    )
-    return out.withColumns(
-        {
-            "conversion": F.try_divide("with_purchase", "visits"),
-            "abandonment": F.when(F.col("with_cart") > 0, 1 - F.try_divide("with_purchase", "with_cart")),
-            "amount": F.col("amount").cast("double"),
-        }
-    )
+    counts = {"visits": F.count("*")} | {stage: F.count_if(F.expr(done)) for stage, done in STAGES.items()}
+    sums = {"amount": F.sum(money("amount")).cast("double"), "mean_duration": F.avg("duration_seconds")}
+    daily = visits.groupBy("session_date", "utm_source", "device").agg(*[x.alias(name) for name, x in (counts | sums).items()])
+    return daily.selectExpr("*", "try_divide(with_purchase, visits) AS conversion", "1 - try_divide(with_purchase, nullif(with_cart, 0)) AS abandonment")
 
 
 def revenue_by_attribute(facts: DataFrame, dimension: DataFrame, key: str, attribute: str) -> DataFrame:

@@ -11,7 +11,8 @@ from ..spec import TableSpec
 def deduplicate(df: DataFrame, spec: TableSpec, tie_break: str = "_ingested_at") -> DataFrame:
     """Keep the latest row per key, or with ``dedup_keep="first"`` the first one; nulls lose either way.
 
-    Without an order there is no telling which row is right, so that is an error and not a guess. One shuffle on the key;
+    Without an order there is no telling which row is right, so that is an error and not a guess. Rows that the order leaves
+    equal are told apart by a hash of all their values, so the choice is the same in every run. One shuffle on the key;
     ``row_number() == 1`` lets Spark cut each group before that shuffle.
     """
     if not spec.dedup_order:
@@ -20,5 +21,6 @@ def deduplicate(df: DataFrame, spec: TableSpec, tie_break: str = "_ingested_at")
     if not columns:
         raise ValueError(f"{spec.name}: none of the columns {spec.dedup_order} is there")
     order = [F.col(c).desc_nulls_last() if spec.dedup_keep == "latest" else F.col(c).asc_nulls_last() for c in columns]
+    order.append(F.xxhash64(*[F.col(c).cast("string") for c in sorted(df.columns)]))
     rank = F.row_number().over(Window.partitionBy(*spec.business_key).orderBy(*order))
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")

@@ -39,27 +39,28 @@ def refine(spark: SparkSession, registry: Registry, root: str, batch_id: str, at
     """Raw rows cleaned, refused ones to quarantine, the rest upserted into version ``batch_id`` of each clean table.
 
     Returns the gate's verdict; the report is always written, whether or not there was anything to do. Children are
-    checked against the whole batch of their parents and what is stored of them.
+    checked against the whole batch of their parents and what is stored of them. A batch that is repeated starts from the
+    version before its own and replaces what it wrote, so it ends in the same state.
     """
     parents: dict[str, DataFrame] = {}
     reports = None
     for spec in subset(registry, tables):
-        raw_path, current, target = f"{root}/raw/{spec.name}", f"{root}/clean/{spec.name}/current", f"{root}/clean/{spec.name}/{batch_id}"
-        pointer = spark.read.text(current).first()[0] if there(spark, current) else None
-        stored = spark.read.parquet(pointer) if pointer else None
+        raw_path, current, target = f"{root}/raw/{spec.name}", f"{root}/clean/{spec.name}/pointers", f"{root}/clean/{spec.name}/versions/{batch_id}"
+        stored = version(spark, root, spec.name, before=batch_id)
         for key in spec.business_key[:1]:
             if stored is not None:
                 parents[spec.name] = quality.key_universe(stored, key)
         if not there(spark, raw_path):
             continue
         rows = deduplicate(normalize(drop_columns_of_origin(scope(lake.read_raw(spark, raw_path), day, full)), spec), spec)
-        valid, refused = quality.split(rows, spec, parents)
-        lake.write_quarantine(refused, f"{root}/quarantine/{spec.name}", batch_id, at)
-        refused_now = spark.read.parquet(f"{root}/quarantine/{spec.name}").filter(F.col("_batch_id") == batch_id)
-        upsert(stored, valid, spec, policy).write.mode("overwrite").parquet(target)
-        spark.createDataFrame([(target,)], "value string").coalesce(1).write.mode("overwrite").text(current)
-        parents[spec.name] = quality.key_universe(rows, spec.business_key[0], stored)
-        one = quality.report(valid, refused_now, spec.name)
+        work = f"{root}/work/{batch_id}/{spec.name}"  # judged once; what follows reads it
+        quality.judge(rows, spec, parents).write.mode("overwrite").parquet(work)
+        judged = spark.read.parquet(work)
+        lake.write_quarantine(judged.filter(F.size(quality.REASONS) > 0), f"{root}/quarantine/{spec.name}", batch_id, at)
+        lake.replace_table(upsert(stored, judged.filter(F.size(quality.REASONS) == 0).drop(quality.REASONS), spec, policy), target, spec.partition)
+        spark.createDataFrame([(target, at)], "target string, at timestamp").coalesce(1).write.mode("overwrite").parquet(f"{current}/batch={batch_id}")
+        parents[spec.name] = quality.key_universe(judged, spec.business_key[0], stored)
+        one = quality.report(judged, spec.name)
         reports = one if reports is None else reports.unionByName(one)
     empty = spark.createDataFrame([], "`table` string, total bigint, valid bigint, quarantined bigint, rate double")
     verdict = quality.gate(reports if reports is not None else empty, registry).withColumn("batch_id", F.lit(batch_id))
@@ -67,8 +68,23 @@ def refine(spark: SparkSession, registry: Registry, root: str, batch_id: str, at
     return spark.read.json(f"{root}/reports/quality/{batch_id}").first().asDict()
 
 
+def version(spark: SparkSession, root: str, name: str, before: str | None = None) -> DataFrame | None:
+    """The last version of a clean table, without that of batch ``before``; None where there is none. Every batch has a
+    pointer of its own, so none is ever overwritten by another."""
+    pointers = f"{root}/clean/{name}/pointers"
+    if not there(spark, pointers):
+        return None
+    found = spark.read.schema("target string, at timestamp, batch string").parquet(pointers)
+    last = found.filter(F.col("batch") != F.lit(before)) if before is not None else found
+    target = last.agg(F.max_by("target", F.struct("at", "batch"))).first()[0]
+    return spark.read.parquet(target) if target else None
+
+
 def clean_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{root}/clean/{name}/current").first()[0])
+    out = version(spark, root, name)
+    if out is None:
+        raise ValueError(f"{name}: no version has been written")
+    return out
 
 
 def publish(customers: DataFrame, products: DataFrame, orders: DataFrame, lines: DataFrame, events: DataFrame, settlements: DataFrame, root: str) -> dict:

@@ -64,6 +64,11 @@ def judged(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, DataFrame
     return quality.split(clean(spark, d, name, raw), REGISTRY[name], parents(spark, d))
 
 
+def marked(spark: SparkSession, d: str, name: str) -> DataFrame:
+    raw = {"customers": "customers_raw", "products": "products_raw", "orders": "orders_raw", "order_items": "items_raw", "web_events": "events_raw"}[name]
+    return quality.judge(clean(spark, d, name, raw), REGISTRY[name], parents(spark, d))
+
+
 CUSTOMERS = """customers AS (
     SELECT customer_id, lower(trim(email)) AS email, full_name, upper(trim(country_code)) AS country_code, segment, marketing_opt_in, created_at, updated_at
     FROM {customers_raw} QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY updated_at DESC NULLS LAST) = 1)"""
@@ -271,7 +276,7 @@ def dq_quarantine_reasons(spark, d):
 def reports(spark, d) -> DataFrame:
     out = None
     for name, *_ in ALL_REASONS:
-        one = quality.report(*judged(spark, d, name), name)
+        one = quality.report(marked(spark, d, name), name)
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -48,8 +48,9 @@ def replace_table(df: DataFrame, path: str, transform: str | None = None) -> Non
 
 
 def write_quarantine(refused: DataFrame, path: str, batch_id: str, at: datetime) -> None:
+    """A batch that is repeated replaces its own refused rows: only the partitions written are overwritten."""
     stamped = refused.withColumns({"_quarantined_at": F.lit(at).cast("timestamp"), "_batch_id": F.lit(batch_id), "_quarantine_date": F.lit(at).cast("timestamp").cast("date")})
-    stamped.write.mode("append").partitionBy("_quarantine_date").parquet(path)
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch_id", "_quarantine_date").parquet(path)
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
