@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,16 @@ ONE_FILE_ROWS, FILES = 500_000, 8
 TRANSFORMS = {"years": "year", "months": "month", "days": "day", "hours": "hour"}
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share; a local one only where both are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="lakeforge-")
+    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
 def add_lineage(df: DataFrame, batch_id: str, ingested_at: datetime, system: str) -> DataFrame:
     """Four columns of origin, the same for the whole batch."""
     at = F.lit(ingested_at).cast("timestamp")
