@@ -16,7 +16,8 @@ Defined results
     * A token that overlaps or touches a match of the patterns is not an ordinary identifier. Random strings that no pattern
       describes are among the ordinary ones, once each.
     * Without any value found by the patterns there is nothing to learn from, and no ``markov`` span is added.
-    * Repeated rows have a result each; other columns are not read.
+    * Repeated rows have a result each; other columns are not read. An empty table gives an empty result. Spans that start
+      together are listed by kind.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ ORDINARY = r"(?<![A-Za-z0-9+/_\x00-])[A-Za-z0-9+/_-]{6,}+={0,2}+(?!\x00)"
 #: Stands for a match of the base patterns.
 CUT = "\0"
 
+#: Spans of one text that are gathered before they are put with the others.
+CHUNK = 256
 #: Least log-likelihood ratio, in nats.
 LEAST_RATIO = 12.0
 #: Weight of a character's own frequency beside its frequency after another one.
@@ -52,14 +55,19 @@ def placed(text: Column, pattern: str, value_group: int = 0) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else whole
     lengths = F.arrays_zip(F.transform(F.slice(gaps, F.lit(1), F.size(whole)), F.length).alias("gap"), F.transform(whole, F.length).alias("own"), values.alias("value"))
     empty = F.expr("array()").cast("array<struct<start:int,end:int,value:string>>")
+    # spans are gathered in chunks, so that appending copies a chunk and not all that was found before
     spans = F.aggregate(
         lengths,
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
+        F.struct(F.lit(0).alias("at"), empty.alias("chunk"), F.array(empty).alias("full")),
         lambda acc, x: F.struct(
             (acc["at"] + x["gap"] + x["own"]).alias("at"),
-            F.array_append(acc["found"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["own"]).alias("end"), x["value"].alias("value"))).alias("found"),
+            F.array_append(
+                F.when(F.size(acc["chunk"]) < CHUNK, acc["chunk"]).otherwise(empty),
+                F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["own"]).alias("end"), x["value"].alias("value")),
+            ).alias("chunk"),
+            F.when(F.size(acc["chunk"]) < CHUNK, acc["full"]).otherwise(F.array_append(acc["full"], acc["chunk"])).alias("full"),
         ),
-        lambda acc: acc["found"],
+        lambda acc: F.concat(F.flatten(acc["full"]), acc["chunk"]),
     )
     return F.when(text.rlike(pattern), spans).otherwise(empty)
 
