@@ -7,7 +7,8 @@ Defined results
     * A null text is the empty text; texts are compared by the SHA-256 of their UTF-8 bytes after no change.
     * Of equal texts in one batch the row with the largest id stays, a null id ranks below all others; of rows that
       repeat id and text exactly one stays.
-    * A text that an earlier batch brought keeps that batch's row: none of the new rows stays.
+    * A text that an earlier batch brought keeps that batch's row: none of the new rows stays. A batch that is repeated
+      under its name, after a failure at any point, gets its first verdict.
     * An empty batch gives an empty result and leaves the index as it was.
     * Columns other than id and text are not read; they may have any name.
 """
@@ -19,65 +20,84 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, staged, table
+from .common import dropped, shared_folder, staged, table
 
 #: Digests that hold more than this share of a batch's rows are joined by broadcast: there are at most 1 / share of them.
 HOT_SHARE = 0.001
 
 
 class DigestIndex:
-    """Digests seen so far: ``digest binary, keep_id, seen long``, bucketed and sorted by ``digest``."""
+    """Digests seen so far: ``digest binary, keep_id, seen long, batch string``, bucketed and sorted by ``digest``.
+
+    A batch has a name. Its verdict is written before its digests are appended, and digests of its own name are passed over
+    when it is compared, so a batch that broke off anywhere and is repeated gets the same verdict again."""
 
     def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = 64, id_type: str = "bigint"):
-        self.spark, self.name, self.buckets = spark, name, buckets
+        self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id {id_type}, seen BIGINT) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id {id_type}, seen BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
     def frame(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, groups: DataFrame) -> None:
-        rows = groups.select("digest", "keep_id", "seen").repartition(self.buckets, "digest")
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        dropped(self.spark, self.path)
+
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Add digests of a batch, without those that an earlier attempt has added."""
+        own = self.frame().filter(F.col("batch") == batch).select("digest")
+        rows = groups.join(own.hint("merge"), "digest", "left_anti").select("digest", "keep_id", "seen", F.lit(batch).alias("batch"))
+        rows = staged(rows, shared_folder(self.spark), "appended").repartition(self.buckets, "digest")
         rows.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.name)
 
-    def deduplicate(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def fresh(self, rows: DataFrame, batch: str) -> DataFrame:
+        """``digest, keep_id, keep_row, seen`` of the texts that no earlier batch has, which are appended. ``rows``: ``id,
+        digest, row``."""
+        groups = rows.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("top"), F.count("*").alias("seen"))
+        known = self.frame().filter(F.col("batch") != batch).select("digest")
+        new = groups.join(known.hint("merge"), "digest", "left_anti").select("digest", F.col("top.id").alias("keep_id"), F.col("top.row").alias("keep_row"), "seen")
+        new = staged(new, shared_folder(self.spark), "fresh")
+        self.append(new, batch)
+        return new
+
+    def deduplicate(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str | None = None) -> DataFrame:
         """Compare ``batch`` with itself and the index, append what is new, and return one row per row of ``batch``:
         ``id_col, keep_id, group_size, kept, text_sha256, row`` (``row`` tells repeated rows apart)."""
-        spark = self.spark
-        folder = shared_folder(spark)
-        rows = staged(
-            batch.select(
-                F.col(id_col).alias("id"),
-                F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).alias("digest"),
-            ).withColumn("row", F.monotonically_increasing_id()),
-            folder,
-            "digests",
-        )
-        groups = rows.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("top"), F.count("*").alias("size"))
-        known = self.frame().hint("merge")
-        fresh = staged(groups.join(known, "digest", "left_anti").select("digest", F.col("top.id").alias("keep_id"), F.col("top.row").alias("keep_row"), F.col("size").alias("seen")), folder, "fresh")
-        old = groups.join(self.frame().hint("merge"), "digest", "inner").select("digest", "keep_id", F.lit(None).cast("bigint").alias("keep_row"), F.col("size").alias("seen"))
-        verdicts = staged(fresh.unionByName(old), folder, "verdicts")
-        self.append(fresh)
-        total = rows.groupBy().agg(F.count("*").alias("rows"))
-        hot = verdicts.join(F.broadcast(total), F.col("seen") > F.col("rows") * HOT_SHARE).select("digest", F.struct("keep_id", "keep_row", "seen").alias("hot"))
-        # at most 1 / HOT_SHARE digests can be hot, whatever the input; their rows never meet in one task
-        marked = rows.join(F.broadcast(hot), "digest", "left")
-        cold = marked.filter("hot is null").drop("hot").join(verdicts, "digest")
-        out = (
-            marked.filter("hot is not null").select("id", "row", "digest", "hot.*")
-            .unionByName(cold.select("id", "row", "digest", "keep_id", "keep_row", "seen"))
-        )
-        return out.select(
-            F.col("id").alias(id_col),
-            "keep_id",
-            F.col("seen").alias("group_size"),
-            F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
-            F.lower(F.hex("digest")).alias("text_sha256"),
-            "row",
-        )
+        name = name or uuid.uuid4().hex
+        rows = digests(batch, id_col, text_col)
+        new = self.fresh(rows, name)
+        groups = rows.groupBy("digest").agg(F.count("*").alias("seen"))
+        earlier = self.frame().filter(F.col("batch") != name).select("digest", "keep_id")
+        old = groups.join(earlier.hint("merge"), "digest").select("digest", "keep_id", F.lit(None).cast("bigint").alias("keep_row"), "seen")
+        return verdicts(rows, staged(new.unionByName(old), shared_folder(self.spark), "groups"), id_col)
+
+
+def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, digest, row`` of every row, written."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest")).withColumn("row", F.monotonically_increasing_id())
+    return staged(rows, shared_folder(docs.sparkSession), "digests")
+
+
+def verdicts(rows: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """Every row with what its digest's group (``digest, keep_id, keep_row, seen``) says of it."""
+    total = rows.groupBy().agg(F.count("*").alias("rows"))
+    hot = groups.join(F.broadcast(total), F.col("seen") > F.col("rows") * HOT_SHARE).select("digest", F.struct("keep_id", "keep_row", "seen").alias("hot"))
+    # at most 1 / HOT_SHARE digests can be hot, whatever the input; their rows never meet in one task
+    marked = rows.join(F.broadcast(hot), "digest", "left")
+    cold = marked.filter("hot is null").drop("hot").join(groups, "digest")
+    out = marked.filter("hot is not null").select("id", "row", "digest", "hot.*").unionByName(cold.select("id", "row", "digest", "keep_id", "keep_row", "seen"))
+    return out.select(
+        F.col("id").alias(id_col),
+        "keep_id",
+        F.col("seen").alias("group_size"),
+        F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
+        "row",
+    )
 
 
 def fresh_index(spark: SparkSession, id_type: str = "bigint") -> DigestIndex:
@@ -95,12 +115,33 @@ def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = f"row_{uuid.uuid4().hex[:8]}"
     order = F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
     numbered = staged(docs.withColumn(own, order), shared_folder(spark), "numbered")
-    verdict = fresh_index(spark, dict(numbered.dtypes)[own]).deduplicate(numbered.select(own, text_col), id_col=own, text_col=text_col)
-    return numbered.join(verdict.filter("kept").select(own), own, "left_semi").drop(own)
+    index = fresh_index(spark, dict(numbered.dtypes)[own])
+    kept = index.fresh(digests(numbered, own, text_col), "all").select(F.col("keep_id").alias(own))
+    index.drop()
+    return numbered.join(kept, own, "left_semi").drop(own)
+
+
+def in_batches(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` fed to a fresh index in some batches, those of the largest ids first (rows without an id last), so that of
+    equal texts the row with the largest id is always the one that the index has. The result is that of
+    ``DigestIndex.deduplicate`` for all rows together; a batch is compared with the index by a sort-merge anti-join."""
+    spark = docs.sparkSession
+    rows, index = digests(docs, id_col, text_col), fresh_index(spark, dict(docs.dtypes)[id_col])
+    cuts = sorted(set(rows.select(F.col("id").cast("double")).approxQuantile("id", [k / batches for k in range(1, batches)], 0.02)), reverse=True)
+    winners, left = None, rows
+    for n, cut in enumerate([*cuts, None]):
+        here = F.col("id").cast("double") > F.lit(cut) if cut is not None else F.lit(True)
+        one = index.fresh(left.filter(here), f"batch{n}").drop("seen")
+        winners = one if winners is None else winners.unionByName(one)
+        left = left.filter(~F.coalesce(here, F.lit(False)))
+    sizes = rows.groupBy("digest").agg(F.count("*").alias("seen"))
+    groups = staged(winners.join(sizes.hint("merge"), "digest"), shared_folder(spark), "groups")
+    index.drop()
+    return verdicts(rows, groups, id_col)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fresh_index(spark).deduplicate(table(spark, sf_dir, "documents")).drop("row")
+    return in_batches(table(spark, sf_dir, "documents")).drop("row")
 
 
 SQL = """

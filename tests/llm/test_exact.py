@@ -56,6 +56,34 @@ def test_exact_dedup_later_batches(spark):
     assert got == {7: (False, 2), 8: (False, 9), 9: (True, 9)} and index.frame().count() == 3
 
 
+@pytest.mark.parametrize("added", [0, 1, 3])
+def test_exact_dedup_batch_repeated_after_a_failure(spark, monkeypatch, added):
+    """The job ends between verdict and append, or in the append with some of the digests added."""
+    index = exact_dedup.fresh_index(spark)
+    index.deduplicate(documents(spark, [(1, "a"), (2, "b")]), name="first").collect()
+    batch = documents(spark, [(7, "b"), (8, "c"), (9, "c"), (10, "d"), (11, None)])
+    whole = exact_dedup.DigestIndex.append
+
+    def breaks(self, groups, name):
+        whole(self, groups.orderBy("digest").limit(added), name)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "append", breaks)
+    with pytest.raises(RuntimeError):
+        index.deduplicate(batch, name="second")
+    monkeypatch.undo()
+    for _ in range(2):
+        got = {r["doc_id"]: (r["kept"], r["keep_id"]) for r in index.deduplicate(batch, name="second").collect()}
+        assert got == {7: (False, 2), 8: (False, 9), 9: (True, 9), 10: (True, 10), 11: (True, 11)} and index.frame().count() == 5
+
+
+def test_exact_dedup_in_batches_equals_one_batch(spark):
+    show = lambda df: sorted(map(str, df.drop("row").collect()))
+    docs = documents(spark, AWKWARD)
+    assert show(exact_dedup.in_batches(docs)) == show(exact_dedup.fresh_index(spark).deduplicate(docs))
+    assert exact_dedup.in_batches(docs.limit(0)).count() == 0
+
+
 def test_exact_dedup_plan_is_native(spark):
     plan = exact_dedup.op2_exact_dedup(spark, DATA)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
