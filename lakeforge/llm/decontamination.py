@@ -8,7 +8,8 @@ the longest common run. A run of 10 words or more is contamination, once its wor
 Items of fewer than 10 words are one window each and are looked up by the hash of their whole length.
 
 Distribution: documents are not shuffled at all. The benchmark is the query set; it is cut into blocks of at most
-``BLOCK_BYTES`` of text, and each block goes to the tasks as one broadcast of that proven size. Each block is one pass
+``BLOCK_BYTES``, and each block goes to the tasks as one broadcast; an item larger than that is a block of its own. Each
+block is one pass
 over the documents, staged before the next, so a larger benchmark costs more passes, not more memory.
 
 Defined results
@@ -31,7 +32,8 @@ from .common import table, text_session
 
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
-BLOCK_BYTES = 16 << 20
+#: Bytes of a block as it is sent, and how many of them a byte of text takes at most, measured on words of five letters.
+BLOCK_BYTES, GROWN = 16 << 20, 5
 IS_WORD = common.byte_class(lambda b: 48 <= b < 58 or 97 <= b < 123 or b >= 128)
 
 
@@ -119,14 +121,15 @@ class Block:
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The benchmark in parts of at most BLOCK_BYTES of text (a longer item alone), fetched one partition at a time."""
+    """The benchmark in parts of at most BLOCK_BYTES as sent (a longer item alone), fetched one partition at a time."""
     part, held = [], 0
     for row in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).filter(F.col(text_col).isNotNull()).toLocalIterator():
-        if part and held + len(row[1]) > BLOCK_BYTES:
+        size = GROWN * len(row[1].encode())
+        if part and held + size > BLOCK_BYTES:
             yield Block(part)
             part, held = [], 0
         part.append((row[0], row[1]))
-        held += len(row[1].encode())
+        held += size
     if part:
         yield Block(part)
 
