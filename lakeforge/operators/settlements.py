@@ -34,12 +34,12 @@ def details(cut: DataFrame) -> DataFrame:
 
 
 def verdicts(files: DataFrame, cut: DataFrame) -> DataFrame:
-    """One row per file: ``name, settlement_date, sequence, details, amount, fee, outcome, reason``; the first check that
-    fails is the reason."""
+    """One row per file: ``name, provider, settlement_date, sequence, details, amount, fee, outcome, reason``; the first check
+    that fails is the reason."""
     f = lambda i: F.get("fields", F.lit(i))
     heads = cut.groupBy("name").agg(
         F.count_if(F.col("record") == "C").alias("headers"), F.count_if(F.col("record") == "P").alias("trailers"), F.count("*").alias("lines"),
-        F.max(F.when(F.col("record") == "C", F.struct(F.size("fields").alias("n"), f(2).alias("date"), f(3).alias("sequence")))).alias("head"),
+        F.max(F.when(F.col("record") == "C", F.struct(F.size("fields").alias("n"), f(2).alias("date"), f(3).alias("sequence"), F.trim(f(4)).alias("provider")))).alias("head"),
         F.max(F.when(F.col("record") == "P", F.struct(F.size("fields").alias("n"), f(1).try_cast("bigint").alias("details"), amount(f(2)).alias("amount"), amount(f(3)).alias("fee")))).alias("tail"),
     )
     sums = details(cut).groupBy("name").agg(F.count("*").alias("details"), F.coalesce(F.sum("amount"), F.lit(0)).alias("amount"), F.coalesce(F.sum("fee"), F.lit(0)).alias("fee"), F.count_if("bad").alias("bad"))
@@ -59,17 +59,17 @@ def verdicts(files: DataFrame, cut: DataFrame) -> DataFrame:
         .when(F.abs(F.col("tail.fee") - F.col("fee")) > BALANCE, F.concat(F.lit(wrong + "comision_declarada="), text("tail.fee"), F.lit(" real="), text("fee")))
     )
     return all_.select(
-        "name", F.coalesce(F.try_to_date(F.col("head.date"), "yyyyMMdd"), name_date(F.col("name"))).alias("settlement_date"), F.coalesce(F.col("head.sequence").try_cast("int"), name_sequence(F.col("name"))).alias("sequence"),
+        "name", F.col("head.provider").alias("provider"), F.coalesce(F.try_to_date(F.col("head.date"), "yyyyMMdd"), name_date(F.col("name"))).alias("settlement_date"), F.coalesce(F.col("head.sequence").try_cast("int"), name_sequence(F.col("name"))).alias("sequence"),
         "details", "amount", "fee", F.when(reason.isNull(), "accepted").otherwise("rejected").alias("outcome"), reason.alias("reason"),
     )
 
 
 def flatten(cut: DataFrame, judged: DataFrame) -> DataFrame:
     """Details of the accepted files, numbered from 1 in the order of the file."""
-    good = judged.filter("outcome = 'accepted'").select("name", "settlement_date", "sequence")
+    good = judged.filter("outcome = 'accepted'").select("name", "provider", "settlement_date", "sequence")
     number = F.row_number().over(Window.partitionBy("name").orderBy("position"))
     rows = details(cut).join(good, "name").withColumn("line", number)
-    return rows.select(F.col("name").alias("file"), "settlement_date", "sequence", "line", "operation_date", "order_id", "kind", "amount", "fee", "currency", "method", "concept")
+    return rows.select(F.col("name").alias("file"), "provider", "settlement_date", "sequence", "line", "operation_date", "order_id", "kind", "amount", "fee", "currency", "method", "concept")
 
 
 def write_extract(orders: DataFrame, provider: str = "PSP_ACME") -> DataFrame:

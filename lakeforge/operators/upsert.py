@@ -17,8 +17,8 @@ def upsert(target: DataFrame | None, batch: DataFrame, spec: TableSpec, policy:
     ``overwrite`` takes the batch's row whatever the target has; ``ordered`` lets the spec's order decide between both, so
     that reprocessing an old day does not undo newer rows. Doing the same batch twice changes nothing.
     """
-    if target is None:
-        return batch
+    if target is None:  # a table of the batch's schema without rows, which Catalyst folds away
+        target = batch.limit(0)
     if policy == "ordered":
         return deduplicate(target.unionByName(batch, allowMissingColumns=True), dataclasses.replace(spec))
     if policy != "overwrite":

@@ -16,8 +16,8 @@ from ..sources import jdbc, lake, landing, marks
 from ..spec import JdbcSource, Registry
 from ..streaming import events as streaming
 from .domain import REGISTRY, view
-from .flows import clean_table, refine
-from .queries import CUSTOMER_REASONS, CUSTOMERS, VISITS, clean, day, parents, query, stamp
+from .flows import clean_table, customer_history, ingest_files, missing_files, refine, register_tables
+from .queries import BASE, CUSTOMER_REASONS, CUSTOMERS, SETTLED, VISITS, clean, day, extract, first_customers, parents, query, stamp
 
 FIRST, SECOND = datetime(2024, 3, 1, 12, tzinfo=timezone.utc), datetime(2024, 3, 2, 12, tzinfo=timezone.utc)
 
@@ -171,6 +171,67 @@ def flw_refined_customers(spark, d):
     return clean_table(spark, root, "customers").select("customer_id", "email", "country_code", stamp("updated_at"), day("updated_at_month"))
 
 
+@query(f"WITH {CUSTOMERS} SELECT country_code, count(*) AS customers FROM customers WHERE len({CUSTOMER_REASONS}) = 0 GROUP BY 1")
+def src_catalog_scan(spark, d):
+    """A clean table read by its name in the catalog."""
+    root = lake.work_folder(spark)
+    lake.append_raw(lake.add_lineage(view(spark, d, "customers_raw"), "b1", FIRST, "shop"), f"{root}/raw/customers")
+    refine(spark, Registry(REGISTRY["customers"]), root, "b1", FIRST)
+    register_tables(spark, root, ["customers"])
+    return spark.table("customers").groupBy("country_code").agg(F.count("*").alias("customers"))
+
+
+CHANGES = BASE.split("versions AS (")[0].replace("SELECT c.customer_id FROM customers c JOIN", "SELECT c.customer_id, c.updated_at FROM customers c JOIN")
+
+
+@query(f"""WITH {CUSTOMERS}, {CHANGES} versions AS (
+    SELECT b.customer_id, b.segment, TIMESTAMP '1970-01-01' AS valid_from, coalesce(changed.updated_at, TIMESTAMP '9999-12-31') AS valid_to, changed.customer_id IS NULL AS is_current FROM base b LEFT JOIN changed USING (customer_id)
+    UNION ALL SELECT customer_id, segment, updated_at, TIMESTAMP '9999-12-31', true FROM opened)
+    SELECT customer_id, segment, CAST(epoch(valid_from) AS BIGINT) AS valid_from, CAST(epoch(valid_to) AS BIGINT) AS valid_to, is_current FROM versions""")
+def flw_customer_history(spark, d):
+    """Two batches; the second one runs twice and ends in the same state."""
+    root = lake.work_folder(spark)
+    customer_history(first_customers(spark, d), root, "b1", FIRST)
+    for _ in range(2):
+        people = customer_history(clean(spark, d, "customers", "customers_raw"), root, "b2", SECOND)
+    return people.filter("customer_key <> -1").select("customer_id", "segment", stamp("valid_from"), stamp("valid_to"), "is_current")
+
+
+def file_batches(spark, d) -> str:
+    """Settlement files of all days, by the day as a number modulo 40: 7 lost its last detail, 9 its trailer, 11 never came,
+    13 comes a second time under the name of a resend. The second batch has all files again. The folder written to."""
+    made, root = extract(spark, d), lake.work_folder(spark)
+    number = F.substring("name", 5, 8).cast("int") % 40
+    content = F.when(number == 7, F.regexp_replace("content", r"\nD[^\n]*\nP", "\nP")).when(number == 9, F.regexp_replace("content", r"\nP[^\n]*$", "")).otherwise(F.col("content"))
+    sent = made.filter(number != 11).withColumn("content", F.encode(content, "ISO-8859-1")).withColumn("content_hash", F.sha2("content", 256))
+    again = sent.filter(number == 13).withColumn("name", F.replace("name", F.lit(".txt"), F.lit("_R.txt")))
+    for batch, files, at in (("b1", sent, FIRST), ("b2", sent.unionByName(again), SECOND), ("b2", sent.unionByName(again), SECOND)):
+        ingest_files(files, REGISTRY["settlements"], root, batch, at)
+    return root
+
+
+@query(f"WITH {SETTLED} SELECT order_id, day AS operation_date, day AS settlement_date, 'PSP_ACME' AS provider, 'Operación' AS concept, CAST(amount AS DOUBLE) AS amount, 'b1' AS _batch_id, 'files' AS _source_system FROM good WHERE ymd % 40 <> 11")
+def flw_settlement_files(spark, d):
+    rows = lake.read_raw(spark, f"{file_batches(spark, d)}/raw/settlements")
+    return rows.select("order_id", day("operation_date"), day("settlement_date"), "provider", "concept", F.col("amount").cast("double").alias("amount"), "_batch_id", "_source_system")
+
+
+DAYS = "days AS (SELECT ymd, day, count(*) AS n, CAST(date_diff('day', DATE '1970-01-01', CAST(day AS DATE)) AS BIGINT) AS number FROM details WHERE ymd % 40 <> 11 GROUP BY 1, 2)"
+
+
+@query(f"""WITH {SETTLED}, {DAYS} SELECT day AS settlement_date, CAST(number % 1000 AS INTEGER) AS sequence, n - CASE WHEN ymd % 40 = 7 THEN 1 ELSE 0 END AS details,
+    CASE WHEN ymd % 40 IN (7, 9) THEN 'rejected' ELSE 'accepted' END AS outcome, batch_id FROM days JOIN (SELECT unnest(['b1', 'b2']) AS batch_id) ON batch_id = 'b1' OR ymd % 40 IN (7, 9)""")
+def flw_file_control(spark, d):
+    """Accepted content is known in the second batch; refused files are judged again."""
+    return spark.read.parquet(f"{file_batches(spark, d)}/control/files/settlements").select(day("settlement_date"), "sequence", "details", "outcome", "batch_id")
+
+
+@query(f"""WITH {SETTLED}, {DAYS}, ends AS (SELECT number // 1000 AS cycle, min(number % 1000) AS a, max(number % 1000) AS b FROM days GROUP BY 1)
+    SELECT cycle, CAST(s AS INTEGER) AS missing FROM (SELECT cycle, unnest(generate_series(a, b)) AS s FROM ends) WHERE cycle * 1000 + s NOT IN (SELECT number FROM days)""")
+def flw_missing_files(spark, d):
+    return missing_files(spark, REGISTRY["settlements"], file_batches(spark, d))
+
+
 # -- streams over written folders -------------------------------------------------------------------------------------
 def replayed(spark, folder: str, *batches: DataFrame) -> DataFrame:
     """A stream of the batches, one file each, in their order."""

@@ -34,6 +34,11 @@ def append_raw(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("ingestion_date").parquet(path)
 
 
+def replace_batch(df: DataFrame, path: str, partitions: list[str]) -> None:
+    """Write the partitions that ``df`` has, and replace no others."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
 def read_raw(spark: SparkSession, path: str, ingestion_date: date | None = None) -> DataFrame:
     """All days or one; only that day's folder is listed for reading. A day that is not there has no rows."""
     df = spark.read.parquet(path)
@@ -62,7 +67,7 @@ def replace_table(df: DataFrame, path: str, transform: str | None = None) -> Non
 def write_quarantine(refused: DataFrame, path: str, batch_id: str, at: datetime) -> None:
     """A batch that is repeated replaces its own refused rows: only the partitions written are overwritten."""
     stamped = refused.withColumns({"_quarantined_at": F.lit(at).cast("timestamp"), "_batch_id": F.lit(batch_id), "_quarantine_date": F.lit(at).cast("timestamp").cast("date")})
-    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch_id", "_quarantine_date").parquet(path)
+    replace_batch(stamped, path, ["_batch_id", "_quarantine_date"])
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:

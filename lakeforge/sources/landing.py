@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import lake
+
 CONTROL = (
     "name string, content_hash string, settlement_date date, sequence int, details bigint, amount decimal(18,2), "
     "outcome string, reason string, processed_at timestamp, batch_id string"
@@ -12,9 +14,11 @@ CONTROL = (
 
 
 def scan(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``name, content, content_hash`` of every file."""
+    """``name, content, content_hash`` of every file. In a zone of folders ``name=...``, which Spark writes itself, the name is
+    that of the folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content", F.sha2("content", 256).alias("content_hash"))
+    name = F.col("name").cast("string") if "name" in files.columns else F.element_at(F.split("path", "/"), -1)
+    return files.select(name.alias("name"), "content", F.sha2("content", 256).alias("content_hash"))
 
 
 def unseen(files: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
@@ -27,10 +31,15 @@ def unseen(files: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
     return first.join(accepted.filter("outcome = 'accepted'").select("content_hash"), "content_hash", "left_anti").select(*files.columns)
 
 
-def register(control: DataFrame, path: str) -> None:
-    """Append to the control table, in its declared schema whatever the batch holds."""
+def register(control: DataFrame, path: str, replace_batch: bool = False) -> None:
+    """Append to the control table, in its declared schema whatever the batch holds; or with a folder for each batch, so that
+    a batch that is repeated replaces its own rows."""
     columns = [c.strip().split(" ")[:2] for c in CONTROL.replace("decimal(18,2)", "decimal(18;2)").split(",")]
-    control.select(*[F.col(n).cast(t.replace(";", ",")).alias(n) for n, t in columns]).write.mode("append").parquet(path)
+    rows = control.select(*[F.col(n).cast(t.replace(";", ",")).alias(n) for n, t in columns])
+    if replace_batch:
+        lake.replace_batch(rows, path, ["batch_id"])
+    else:
+        rows.write.mode("append").parquet(path)
 
 
 def quarantine_files(files: DataFrame, refused: DataFrame, path: str) -> None:
