@@ -334,3 +334,27 @@ def test_fixity_awkward(spark):
     _, _, files, records = warc_fixity.audit(packed, hurt)
     assert [r["warc"] for r in files.collect()] == [0] and [r["record_offset"] > 0 for r in records.collect()] == [True]
     assert warc_fixity.audit(packed.limit(0), packed.limit(0))[3].count() == 0
+
+
+def test_fixity_hot_file(spark):
+    """A page id, null ids and one record each in thousands of rows: several ranges make one file, without gap or overlap."""
+    rows = [(7, "u", f"<p>{i % 1500}</p>") for i in range(3000)] + [(None, None, "same")] * 3000 + [(i, "v", "x" * (i % 50)) for i in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    placed = warc_fixity.pack(pages.repartition(7)).toPandas().sort_values(["warc", "record_offset"])
+    assert len(placed) == len(rows)
+    for _, file in placed.groupby("warc"):
+        assert (file.record_offset.to_numpy() == file.record_length.cumsum().to_numpy() - file.record_length.to_numpy()).all()
+        inside = file.page_id.fillna(-1).to_numpy()
+        assert (inside[1:] >= inside[:-1]).all()
+    again = warc_fixity.pack(pages.repartition(3)).toPandas().sort_values(["warc", "record_offset"])
+    assert placed.drop(columns="page_id").to_numpy().tolist() == again.drop(columns="page_id").to_numpy().tolist()
+
+
+def test_fixity_depth(spark):
+    """Files far over the bytes that four levels of ranges span."""
+    offsets = [0, 1 << 20, (1 << 33) + 5, (1 << 37) + 9]
+    records = spark.createDataFrame([(0, o, f"r{o}") for o in offsets], "warc bigint, record_offset bigint, record string")
+    assert warc_fixity.levels(records) == 6 and warc_fixity.levels(records.limit(0)) == warc_fixity.LEVELS
+    hurt = records.withColumn("record", F.when(F.col("record_offset") == offsets[2], "~").otherwise(F.col("record")))
+    a, _, files, found = warc_fixity.audit(records, hurt)
+    assert len(a.levels) == 7 and files.count() == 1 and [r["record_offset"] for r in found.collect()] == [offsets[2]]
