@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, language_id, ngram_join, quality, secrets, suffix_dedup, toxicity, warc_fixity
+from . import bpe, decontamination, exact_dedup, fim, language_id, ngram_join, packing, quality, secrets, suffix_dedup, toxicity, vector_codes, warc_fixity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_warc_fixity": warc_fixity.op9_warc_fixity,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_fim": fim.op11_fim,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_packing": packing.op13_packing,
 }
 ORACLES = {
     "op1_ngram_join": ngram_join.SQL,
@@ -22,4 +25,6 @@ ORACLES = {
     "op5_suffix_dedup": suffix_dedup.SQL,
     "op9_warc_fixity": warc_fixity.SQL,
     "op10_decontamination": decontamination.SQL,
+    "op11_fim": fim.SQL,
+    "op12_vector_codes": vector_codes.SQL,
 }
