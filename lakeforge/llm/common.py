@@ -194,15 +194,16 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
     return starts, stops, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word: differences of prefix polynomials, taken over tiles of bounded size."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, codes: np.ndarray = _BYTE_CODE) -> np.ndarray:
+    """64-bit hash of each word: differences of prefix polynomials, taken over tiles of bounded size. Other ``codes`` of the
+    bytes give another hash."""
     out, a = np.empty(len(starts), np.uint64), 0
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(stops, starts[a] + TILE, "right")))
         base, end = int(starts[a]), int(stops[b - 1])
         up, down = _powers.upto(end - base + 1)
         prefix = np.zeros(end - base + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[data[base:end]] * up[: end - base], out=prefix[1:])
+        np.cumsum(codes[data[base:end]] * up[: end - base], out=prefix[1:])
         s, e = starts[a:b] - base, stops[a:b] - base
         out[a:b] = mix((prefix[e] - prefix[s]) * down[s] + (e - s).astype(np.uint64))
         a = b

@@ -9,8 +9,8 @@ most one window less one token is padding, whatever the corpus. A document that
 themselves: a task emits each window that lies inside its own stretch of the run, and of the windows that it only begins
 or ends it emits boundary records, of which there are two for each stretch; only these are shuffled.
 
-Ids come from the tokenizers library. White space is dropped by the tokenizer and no token crosses it, so a text's ids
-are those of its stretches between white space, of which a task keeps a bounded table.
+Ids are those of the tokenizers library. White space is dropped by the tokenizer and no token crosses it, so a text's ids
+are those of its stretches between white space, of which a task keeps a bounded table; new ones are merged in bulk.
 
 Defined results
     * A null or empty text is the end id alone; every row, repeated ones included, has at least one piece.
@@ -22,11 +22,12 @@ Defined results
 
 from __future__ import annotations
 
-from array import array
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,11 +35,12 @@ from pyspark.sql import types as T
 
 from . import common
 from .bpe import default_path
+from .bulk_bpe import BulkEncoder
 from .common import shared_folder, small_batches, staged, table, text_session
 
 WINDOW, END = 2048, 1
-#: Stretches whose ids a task keeps, and the bytes above which a stretch is not kept.
-KEPT, LONGEST = 200_000, 64
+#: Stretches whose ids a task keeps, and the bytes above which a stretch goes through the library.
+KEPT, LONGEST = 600_000, 64
 #: Bytes of text encoded at once.
 SLICE = 1 << 21
 #: Partitions whose offsets are sent to all tasks (16 bytes each); beyond it they are joined by shuffle.
@@ -47,58 +49,109 @@ MOST_SENT = 1 << 18
 BLOCK = 1 << 10
 
 
+_WORD = common.byte_class(lambda b: b not in b" \t\n\r\x0b\x0c")
+_OTHER_CODE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
+
+
 class StretchTable:
-    """Ids of the stretches between white space met so far, in one flat array."""
+    """Ids of the stretches between white space met so far: hashes in order, and where the ids of each are in one array.
+
+    A stretch is known by one 64-bit hash and checked by another; texts in which the two disagree are encoded by the
+    library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.bulk, self.tokenizer = BulkEncoder(path), Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        spec = self.bulk.spec
+        (pattern,) = (p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.words = regex.compile(f"\n|{pattern}")
+        self.apart = regex.compile(b"|".join([b"\0", *(regex.escape(t["content"].encode()) for t in spec["added_tokens"])]))
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.flat, self.ends, self.long = array("I"), array("q", [0]), []
-
-    def learn(self, new: list[bytes]) -> None:
-        for encoded in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False):
-            self.flat.extend(encoded.ids)
-            self.ends.append(len(self.flat))
-        for word in new:
-            self.number[word] = len(self.number)
-            if len(word) > LONGEST:
-                self.long.append(word)
-
-    def encode(self, data: bytes, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        self.hashes, self.checks, self.number = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self, hashes: np.ndarray, checks: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        ids, sizes = self.ids(data, starts, stops)
+        numbers = len(self.ends) - 1 + np.arange(len(starts))
+        self.flat = np.concatenate((self.flat, ids))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+        merged = np.concatenate((self.hashes, hashes))
+        order = np.argsort(merged, kind="stable")
+        self.hashes, self.checks, self.number = merged[order], np.concatenate((self.checks, checks))[order], np.concatenate((self.number, numbers))[order]
+
+    def ids(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all stretches in a row and how many each has. They are cut into words together and merged in bulk; long ones
+        and those with a special token, which are rare, go through the library one by one."""
+        lengths = stops - starts
+        lines = np.full(int((lengths + 1).sum()), 10, np.uint8)  # each on a line
+        at = np.concatenate(([0], np.cumsum(lengths + 1)))
+        inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        lines[np.repeat(at[:-1], lengths) + inside] = data[np.repeat(starts, lengths) + inside]
+        text = lines.tobytes()
+        found = [m.start() for m in self.apart.finditer(text)]
+        alone = lengths > LONGEST
+        alone[np.searchsorted(at, found, "right") - 1] = True
+        rest = np.flatnonzero(alone)
+        if len(rest):
+            text = lines[np.repeat(~alone, lengths + 1)].tobytes()
+        ids, sizes = np.zeros(0, np.int32), np.zeros(len(starts), np.int64)
+        line = text.decode()
+        if not line.isascii():
+            line = unicodedata.normalize("NFC", line).replace("Σ", "σ")
+        words = np.frombuffer("\0".join(self.words.findall(line.lower())).encode() + b"\0", np.uint8)
+        if len(words) > 1:
+            ends = np.flatnonzero(words == 0)
+            first = np.concatenate(([0], ends[:-1] + 1))
+            between = words[first] == 10  # only the end of a line has one
+            size = (ends - first)[~between]
+            keep = np.repeat(~between, ends - first + 1)
+            keep[ends] = False
+            ids, counts = self.bulk.encode(words[keep], size)
+            sizes[~alone] = np.bincount(np.cumsum(between)[~between], counts, len(starts) - len(rest)).astype(np.int64)
+        if len(rest):
+            own = [self.library(data[starts[i] : stops[i]].tobytes()) for i in rest.tolist()]
+            sizes[rest] = [len(x) for x in own]
+            out, many = np.empty(int(sizes.sum()), np.int32), np.repeat(alone, sizes)
+            out[~many], out[many] = ids, np.array([i for x in own for i in x], np.int32)
+            ids = out
+        return ids, sizes
+
+    def library(self, text: bytes) -> list[int]:
+        return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each followed by ``end``, and where each text's begin (length texts + 1)."""
-        if len(self.number) > KEPT:
-            self.clear()
-        words = [data[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]  # at ASCII white space, never inside a letter
-        new = {w for own in words for w in own if w not in self.number}
-        if new:
-            self.learn(list(new))
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((i for own in words for i in map(self.number.__getitem__, own)), np.int64, int(counts.sum()))
-        starts, flat = np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
-        lengths = starts[at + 1] - starts[at]
+        starts, stops, first = common.word_bounds(data, offsets, _WORD)
+        hashes, checks = common.word_hashes(data, starts, stops), common.word_hashes(data, starts, stops, _OTHER_CODE)
+        own, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        for again in (False, True):
+            place = np.searchsorted(self.hashes, own)
+            known = self.hashes[np.minimum(place, len(self.hashes) - 1)] == own if len(self.hashes) else np.zeros(len(own), bool)
+            if known.all():
+                break
+            if not again and len(self.hashes) + np.count_nonzero(~known) > KEPT:
+                self.clear()
+                known[:] = False
+            new = one[~known]
+            self.learn(own[~known], checks[new], data, starts[new], stops[new])
+        if len(own) and (self.checks[place][which] != checks).any():
+            texts = [[*self.library(data[a:b].tobytes()), end] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return np.array([i for t in texts for i in t], np.uint32), np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+        at = self.number[place][which] if len(own) else np.zeros(0, np.int64)
+        lengths = self.ends[at + 1] - self.ends[at]
         before = np.concatenate(([0], np.cumsum(lengths)))
-        text = before[np.concatenate(([0], np.cumsum(counts)))]  # where each text's ids begin without the end ids
-        out = np.full(before[-1] + len(words), end, np.uint32)
+        text = before[first]  # where each text's ids begin without the end ids
+        n = len(offsets) - 1
+        out = np.full(before[-1] + n, end, np.uint32)
         kept = np.ones(len(out), bool)
-        kept[text[1:] + np.arange(len(words))] = False
-        out[kept] = flat[np.repeat(starts[at] - before[:-1], lengths) + np.arange(before[-1])]
-        del starts, flat  # else the arrays could not grow
-        self.forget()
-        return out, text + np.arange(len(words) + 1)
-
-    def forget(self) -> None:
-        """Long stretches are not met again; their text goes, the place of their ids stays."""
-        for word in self.long:
-            place = self.number.pop(word)
-            self.number[b" %d" % place] = place  # no stretch begins with a blank
-        self.long.clear()
+        kept[text[1:] + np.arange(n)] = False
+        out[kept] = self.flat[np.repeat(self.ends[at] - before[:-1], lengths) + np.arange(before[-1])]
+        return out, text + np.arange(n + 1)
 
 
 def encoder(path: str, end: int):
@@ -110,7 +163,7 @@ def encoder(path: str, end: int):
             whole, offsets = common.utf8(batch.column("text"))
             for a, b in common.slices(offsets, SLICE):
                 base = offsets[a]
-                ids, at = words.encode(whole[base : offsets[b]].tobytes(), offsets[a : b + 1] - base, end)
+                ids, at = words.encode(whole[base : offsets[b]], offsets[a : b + 1] - base, end)
                 n = np.diff(at)
                 body = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(np.ascontiguousarray(at * 4)), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(at[:-1] + total), pa.array(n), body], names=["id", "part", "place", "tokens", "ids"])

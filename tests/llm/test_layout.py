@@ -219,7 +219,7 @@ def test_stretches_equal_the_library_on_random_texts(monkeypatch):
     table = packing.StretchTable(default_path())
     for a in range(0, len(texts), 50):
         some = [t.encode() for t in texts[a : a + 50]]
-        ids, at = table.encode(b"".join(some), np.concatenate(([0], np.cumsum([len(t) for t in some]))), 1)
+        ids, at = table.encode(np.frombuffer(b"".join(some), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in some]))), 1)
         assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] == library_ids(texts[a : a + 50])
 
 
