@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.upsert import upsert
 from ..sources.landing import unseen
-from ..spec import TableSpec
+from ..sources.versions import KeyedTable
 
 
 def first_arrivals(events: DataFrame, key: str = "event_id", time: str = "received_at", delay: str = "48 hours") -> DataFrame:
@@ -34,15 +33,18 @@ def split_late(batch: DataFrame, time: str, newest: object, delay_seconds: int)
 
 
 def route_late(events: DataFrame, time: str, delay_seconds: int, on_time: str, late: str, checkpoint: str) -> StreamingQuery:
-    """Append rows in time to one folder and late ones to another. The newest time seen is read from the folder itself, so
-    a restarted query goes on where it was."""
+    """Append rows in time to one folder and late ones to another. The newest time seen up to each micro-batch is written
+    beside the checkpoint, one row a batch, and only the row of the batch before is read: a restarted query goes on where
+    it was, a batch that is repeated finds the same, and nothing grows with what has been written."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, batch = batch.sparkSession, batch.persist()
-        path = spark._jvm.org.apache.hadoop.fs.Path(on_time)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        before = spark.read.parquet(on_time).filter(F.col("_batch") < batch_id) if there else None
-        newest = (before if before is not None else batch).agg(F.max(F.col(time).cast("timestamp"))).first()[0]
+        progress = lambda n: f"{checkpoint}/progress/batch={n}"
+        own = batch.agg(F.max(F.col(time).cast("timestamp")).alias("newest"))
+        before = spark.read.schema("newest timestamp").parquet(progress(batch_id - 1)) if batch_id else None
+        own.unionByName(before if before is not None else own).agg(F.max("newest").alias("newest")).coalesce(1).write.mode("overwrite").parquet(progress(batch_id))
+        newest = before.first()[0] if before is not None else None
+        newest = newest if newest is not None else own.first()[0]
         good, bad = split_late(batch, time, newest, delay_seconds) if newest is not None else (batch, batch.limit(0))
         for rows, folder in ((good, on_time), (bad, late)):
             rows.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(folder)
@@ -58,14 +60,7 @@ def landing(spark: SparkSession, path: str, checkpoint: str, accepted: Callable[
     return named.writeStream.foreachBatch(lambda batch, n: process(unseen(batch, accepted()), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_stream(batches: DataFrame, folder: str, spec: TableSpec, checkpoint: str, policy: str = "overwrite") -> StreamingQuery:
-    """Upsert each micro-batch: version n is written beside version n - 1 and never over it, so a replay gives the same."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        from ..operators.dedup import deduplicate
-
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{folder}/version={batch_id - 1}") if batch_id else None
-        upsert(before, deduplicate(batch, spec), spec, policy).write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
-
-    return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upsert_stream(batches: DataFrame, table: KeyedTable, checkpoint: str, policy: str = "overwrite") -> StreamingQuery:
+    """Upsert each micro-batch as a version of its own, which rewrites the buckets of the batch's keys and no others. A batch
+    that is replayed finds its version and changes nothing."""
+    return batches.writeStream.foreachBatch(lambda batch, n: table.upsert(batch, n, policy=policy)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
