@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
@@ -67,3 +67,11 @@ def table_state(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
         one = df.agg(F.count("*").alias("rows"), F.max(F.col(column).cast("timestamp").cast("long")).alias("last_change")).select(F.lit(name).alias("table"), "rows", "last_change")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def running_total(df: DataFrame, by: list[str], order: str, value: str, name: str = "running") -> DataFrame:
+    """``by, order``, the sum of ``value`` there, and ``name``: the sum up to there in the group. Rows are summed before they
+    are put in order, so a window holds a row for each value of ``order``, such as the days of a calendar."""
+    sums = df.groupBy(*by, order).agg(F.sum(value).alias(value))
+    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return sums.withColumn(name, F.sum(value).over(frame))

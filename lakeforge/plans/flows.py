@@ -5,7 +5,7 @@ Each output has one plan; counts for reports come from the written data, and no
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from ..operators.history import scope, subset
 from ..operators.normalize import drop_columns_of_origin, normalize
 from ..operators.upsert import upsert
 from ..sources import lake, landing, marks
+from ..sources.versions import VersionedTable
 from ..spec import FileSource, JdbcSource, Registry, TableSpec
 
 TRACKED = ("segment", "country_code", "marketing_opt_in")  # a change of one of these opens a version
@@ -130,6 +131,35 @@ def register_tables(spark: SparkSession, root: str, names: list[str]) -> None:
         clean_table(spark, root, name).createOrReplaceTempView(name)
 
 
+def refresh_visits(table: VersionedTable, events: DataFrame, arrived: DataFrame | None, batch: int, at: datetime | None = None, gap: timedelta = sessions.GAP) -> DataFrame:
+    """The table of visits by the day of their start, after events arrived late or not. ``events`` are all events, those that
+    arrived included; without ``arrived`` the table is built anew.
+
+    Only visits in stretches of time that an arrived event affects are made again, from the events in those stretches, and
+    only the days are written in which one of them started before or starts now. Visits are stored without their number,
+    since a visit that comes to light late would renumber all later ones; it is added when they are read.
+    """
+    day = F.to_date(F.col("session_start").cast("timestamp")).cast("string")
+    stored = table.read()
+    if batch not in table.versions():
+        if arrived is None or stored is None:
+            visits = sessions.visit_rows(events, gap)
+            days, spans = visits.select(day.alias("d")).distinct(), None
+        else:
+            folder = f"{table.path}/work/batch={batch}"  # what follows reads the spans several times
+            found = sessions.affected_spans(stored, arrived, gap)
+            found.write.mode("overwrite").parquet(folder)
+            spans = table.spark.read.schema(found.schema).parquet(folder)
+            visits = sessions.visit_rows(sessions.within(events, spans, "event_time"), gap)
+            replaced = sessions.within(stored, spans, "session_start")
+            days = replaced.select(day.alias("d")).unionByName(visits.select(day.alias("d"))).distinct()
+        touched = sorted(r["d"] for r in days.collect())  # days of the calendar
+        if spans is not None:
+            visits = sessions.within(table.read(parts=touched), spans, "session_start", how="left_anti").unionByName(visits)
+        table.commit(batch, visits, day, touched, at)
+    return sessions.numbered(table.read())
+
+
 def customer_history(customers: DataFrame, root: str, batch_id: str, at: datetime) -> DataFrame:
     """The customer dimension after the batch: the first one loads it, later ones close and open versions at the time of
     the customer's change. A batch that is repeated starts from the history before its own."""

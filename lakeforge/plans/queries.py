@@ -343,6 +343,12 @@ def his_as_of_version(spark, d):
     return upsert.as_of_version(v(first, 1).unionByName(v(second_day(spark, d), 2)).unionByName(v(third, 3)), ["order_id"], 2).select("order_id", "status", "version")
 
 
+@query("SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total, CAST(sum(sum(CAST(o_totalprice AS DECIMAL(18, 2)))) OVER (PARTITION BY o_orderpriority ORDER BY strftime(o_orderdate, '%Y-%m-%d')) AS DOUBLE) AS running FROM orders GROUP BY 1, 2")
+def win_running_total(spark, d):
+    rows = view(spark, d, "orders").select("o_orderpriority", day("o_orderdate").alias("day"), F.col("o_totalprice").cast("decimal(18,2)").alias("total"))
+    return aggregates.running_total(rows, ["o_orderpriority"], "day", "total").withColumns({c: F.col(c).cast("double") for c in ("total", "running")})
+
+
 # -- dimensions -------------------------------------------------------------------------------------------------------
 TRACKED = ["segment", "country_code", "marketing_opt_in"]
 ATTRIBUTES = ["email", "full_name", "country_code", "segment", "marketing_opt_in"]

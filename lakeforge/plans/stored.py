@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from ..operators import history, normalize
 from ..sources import jdbc, lake, landing, marks
+from ..sources.versions import KeyedTable, VersionedTable
 from ..spec import JdbcSource, Registry
 from ..streaming import events as streaming
 from .domain import REGISTRY, view
-from .flows import clean_table, customer_history, ingest_files, missing_files, refine, register_tables
-from .queries import BASE, CUSTOMER_REASONS, CUSTOMERS, SETTLED, VISITS, clean, day, extract, first_customers, parents, query, stamp
+from .flows import clean_table, customer_history, ingest_files, missing_files, refine, refresh_visits, register_tables
+from .queries import BASE, CUSTOMER_REASONS, CUSTOMERS, SETTLED, VISIT_COLUMNS, VISITS, clean, day, extract, first_customers, good_events, good_visits, parents, query, shown_visits, stamp
 
 FIRST, SECOND = datetime(2024, 3, 1, 12, tzinfo=timezone.utc), datetime(2024, 3, 2, 12, tzinfo=timezone.utc)
 
@@ -232,23 +233,59 @@ def flw_missing_files(spark, d):
     return missing_files(spark, REGISTRY["settlements"], file_batches(spark, d))
 
 
+# -- versions ---------------------------------------------------------------------------------------------------------
+@query("""SELECT o_orderkey AS order_id, 'first' AS state, o_totalprice AS total FROM orders WHERE o_orderkey % 3 <> 0
+    UNION ALL SELECT o_orderkey, 'second', o_totalprice + CASE WHEN o_orderkey % 10 = 0 AND o_orderkey % 3 <> 0 THEN 1 ELSE 0 END FROM orders""")
+def his_stored_times(spark, d):
+    """A stored table read as of two earlier times, after a third commit; the second commit runs twice."""
+    rows = view(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("total"), F.lit(1).alias("updated_at"))
+    old, new = rows.filter("order_id % 3 <> 0"), rows.filter("order_id % 3 = 0")
+    changed = old.filter("order_id % 10 = 0").select("order_id", (F.col("total") + 1).alias("total"), F.lit(2).alias("updated_at"))
+    table = KeyedTable(spark, f"{lake.work_folder(spark)}/orders", dataclasses.replace(REGISTRY["orders"], dedup_order=("updated_at",), references={}), buckets=16)
+    last = rows.withColumn("total", F.lit(0.0))
+    for version, batch, at in ((1, old, FIRST), (2, changed.unionByName(new), SECOND), (2, last, SECOND), (3, last, SECOND + timedelta(days=1))):
+        table.upsert(batch, version, at)
+    shown = lambda at, name: table.read(at=at).select("order_id", F.lit(name).alias("state"), "total")
+    return shown(FIRST + timedelta(hours=1), "first").unionByName(shown(SECOND, "second"))
+
+
+@query(f"WITH {good_visits(1800)} SELECT {VISIT_COLUMNS} FROM visits")
+def ses_rebuilt_days(spark, d):
+    """A seventh of the events arrives after the visits of the others were built; only the days they fall on are built again."""
+    folder, found = lake.work_folder(spark), good_events(spark, d)
+    found.write.parquet(f"{folder}/events")
+    events = spark.read.schema(found.schema).parquet(f"{folder}/events")
+    late, table = F.col("event_id") % 7 == 3, VersionedTable(spark, f"{folder}/visits")
+    refresh_visits(table, events.filter(~late), None, 1, FIRST)
+    return shown_visits(refresh_visits(table, events, events.filter(late), 2, SECOND))
+
+
 # -- streams over written folders -------------------------------------------------------------------------------------
-def replayed(spark, folder: str, *batches: DataFrame) -> DataFrame:
-    """A stream of the batches, one file each, in their order."""
+def replay(folder: str, start, *batches: DataFrame) -> None:
+    """Each batch written as a folder, of as many files as it has partitions, and taken in by one run of the stream that
+    ``start`` makes: a micro-batch for each, all from one checkpoint."""
     for n, rows in enumerate(batches):
-        rows.coalesce(1).write.parquet(f"{folder}/in/{n}")
-    return spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+        rows.write.parquet(f"{folder}/in/{n}")
+        start(rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/in/*")).awaitTermination()
+
+
+def finished(operator, folder: str, *batches: DataFrame) -> DataFrame:
+    """What an operator over streams has written after all batches."""
 
+    def start(stream: DataFrame):
+        out = operator(stream)
+        schemas.append(out.schema)
+        return out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
 
-def finished(stream: DataFrame, folder: str) -> DataFrame:
-    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+    schemas: list = []
+    replay(folder, start, *batches)
+    return batches[0].sparkSession.read.schema(schemas[-1]).parquet(f"{folder}/out")
 
 
 @query("SELECT DISTINCT event_id FROM {events_raw} WHERE received_at IS NOT NULL")
 def str_first_arrivals(spark, d):
     rows, folder = view(spark, d, "events_raw").select("event_id", F.col("received_at").cast("timestamp").alias("received_at")).filter("received_at is not null"), lake.work_folder(spark)
-    return finished(streaming.first_arrivals(replayed(spark, folder, rows, rows), delay="3650 days"), folder).select("event_id")
+    return finished(lambda s: streaming.first_arrivals(s, delay="3650 days"), folder, rows, rows).select("event_id")
 
 
 @query("WITH good AS (SELECT * FROM {events_raw} WHERE session_id IS NOT NULL AND event_time IS NOT NULL), " + VISITS.replace("{gap}", "1800") + " SELECT CAST(epoch(date_trunc('second', session_start)) AS BIGINT) AS session_start, count(*) AS visits, CAST(sum(events) AS BIGINT) AS events FROM visits GROUP BY 1")
@@ -257,15 +294,15 @@ def str_visits(spark, d):
     rows = view(spark, d, "events_raw").filter("session_id is not null and event_time is not null").select("session_id", F.col("event_time").cast("timestamp").alias("event_time"), "customer_id", "event_type")
     end = rows.limit(1).select(F.lit(-1).cast(rows.schema["session_id"].dataType).alias("session_id"), F.lit(datetime(2200, 1, 1)).cast("timestamp").alias("event_time"), "customer_id", "event_type")
     folder = lake.work_folder(spark)
-    out = finished(streaming.visits(replayed(spark, folder, rows, end, end)), folder).filter(F.col("session_start") < F.lit(datetime(2199, 1, 1)).cast("timestamp"))
+    out = finished(streaming.visits, folder, rows, end, end).filter(F.col("session_start") < F.lit(datetime(2199, 1, 1)).cast("timestamp"))
     return out.groupBy(stamp("session_start")).agg(F.count("*").alias("visits"), F.sum("events").cast("bigint").alias("events"))
 
 
 @query("SELECT event_id, ts < (SELECT max(ts) FROM events WHERE event_id % 2 = 0) - INTERVAL 5 DAY AS late FROM events")
 def str_late_rows(spark, d):
     rows, folder = view(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), lake.work_folder(spark)
-    stream = replayed(spark, folder, rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"))
-    streaming.route_late(stream, "ts", 5 * 86400, f"{folder}/good", f"{folder}/late", f"{folder}/state").awaitTermination()
+    start = lambda s: streaming.route_late(s, "ts", 5 * 86400, f"{folder}/good", f"{folder}/late", f"{folder}/state")
+    replay(folder, start, rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"))
     read = lambda name, late: spark.read.parquet(f"{folder}/{name}").select("event_id", F.lit(late).alias("late"))
     return read("good", False).unionByName(read("late", True))
 
@@ -276,8 +313,9 @@ def str_upserts(spark, d):
     first = view(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("total"), F.lit(1).alias("updated_at"))
     changed = first.filter("order_id % 10 = 0").select("order_id", (F.col("total") + 1).alias("total"), F.lit(2).alias("updated_at"))
     folder, spec = lake.work_folder(spark), dataclasses.replace(REGISTRY["orders"], dedup_order=("updated_at",), references={})
-    streaming.upsert_stream(replayed(spark, folder, first, changed), f"{folder}/table", spec, f"{folder}/state", policy="ordered").awaitTermination()
-    return spark.read.parquet(f"{folder}/table/version=1").select("order_id", "total")
+    table = KeyedTable(spark, f"{folder}/table", spec, buckets=16)
+    replay(folder, lambda s: streaming.upsert_stream(s, table, f"{folder}/state", policy="ordered"), first, changed)
+    return table.read().select("order_id", "total")
 
 
 @query(f"WITH {FILES} SELECT content_hash, bytes FROM files")

@@ -40,8 +40,11 @@ def replace_batch(df: DataFrame, path: str, partitions: list[str]) -> None:
 
 
 def read_raw(spark: SparkSession, path: str, ingestion_date: date | None = None) -> DataFrame:
-    """All days or one; only that day's folder is listed for reading. A day that is not there has no rows."""
-    df = spark.read.parquet(path)
+    """All days or one; only that day's folder is listed for reading. A day that is not there has no rows, and neither has a
+    batch that was staged and not published."""
+    from .publication import published
+
+    df = published(spark.read.parquet(path), path)
     return df if ingestion_date is None else df.filter(F.col("ingestion_date") == F.lit(ingestion_date))
 
 

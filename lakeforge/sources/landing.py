@@ -47,10 +47,27 @@ def quarantine_files(files: DataFrame, refused: DataFrame, path: str) -> None:
     files.select("name", "content").join(refused.select("name", "reason"), "name").withColumn("_quarantine_date", F.current_date()).write.mode("append").partitionBy("_quarantine_date").parquet(path)
 
 
+#: Numbers of a range that are ordered together, as a power of two, and those of a hole that are expanded at once.
+RANGE_BITS = 16
+
+
 def sequence_gaps(received: DataFrame, sequence: str = "sequence", group: list[str] | None = None) -> DataFrame:
-    """Numbers that are missing between the least and greatest received, per group. Only the holes are expanded: each
-    number is compared with the next one."""
-    group = group or []
-    following = F.lead(sequence).over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(sequence))
-    holes = received.select(*group, sequence).distinct().withColumn("_next", following).filter(F.col("_next") > F.col(sequence) + 1)
-    return holes.select(*group, F.explode(F.sequence(F.col(sequence) + 1, F.col("_next") - 1)).alias("missing"))
+    """Numbers that are missing between the least and greatest received, per group. Only the holes are expanded.
+
+    Numbers are compared with the next one inside ranges of 2^16; then the ranges, by their least and greatest number, inside
+    ranges of ranges, and so on until one is left. No window holds more than 2^16 rows, with a group or without.
+    """
+    group, kind = group or [], received.schema[sequence].dataType
+    bits = 64 if kind.simpleString() == "bigint" else 32
+    edges = received.filter(F.col(sequence).isNotNull()).select(*group, F.col(sequence).cast("bigint").alias("_lo")).distinct().withColumn("_hi", F.col("_lo"))
+    holes = None
+    for shift in range(RANGE_BITS, bits + 1, RANGE_BITS):
+        edges = edges.withColumn("_range", F.shiftright("_lo", shift) if shift < bits else F.lit(0).cast("bigint"))
+        following = F.lead("_lo").over(Window.partitionBy(*group, "_range").orderBy("_lo"))
+        found = edges.withColumn("_next", following).filter(F.col("_next") > F.col("_hi") + 1).select(*group, (F.col("_hi") + 1).alias("_from"), (F.col("_next") - 1).alias("_to"))
+        holes = found if holes is None else holes.unionByName(found)
+        edges = edges.groupBy(*group, "_range").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).drop("_range")
+    step = F.lit(1 << RANGE_BITS).cast("bigint")
+    pieces = holes.select(*group, "_to", F.explode(F.sequence(F.col("_from"), F.col("_to"), step)).alias("_from"))
+    whole = F.sequence(F.col("_from"), F.least(F.col("_from") + step - 1, F.col("_to")))
+    return pieces.select(*group, F.explode(whole).alias("missing")).withColumn("missing", F.col("missing").cast(kind))

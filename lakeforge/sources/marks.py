@@ -45,6 +45,10 @@ class MarkStore:
         row = latest(self.frame().filter(F.col("table") == table)).select(F.unix_micros("mark")).first()
         return EPOCH + timedelta(microseconds=row[0]) if row else EPOCH
 
+    def last(self, table: str) -> int:
+        """Sequence number of the last row written for a table; 0 where there is none."""
+        return self.frame().filter(F.col("table") == table).agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0]
+
     def write(self, table: str, mark: datetime | None) -> None:
         """To be called after the data are written, with the greatest value that was read."""
         mark = mark.replace(tzinfo=timezone.utc) if mark is not None and mark.tzinfo is None else mark
@@ -61,16 +65,42 @@ class MarkStore:
 
 
 def ingest_step(source: DataFrame, store: MarkStore, table: str, watermark: str, lookback: timedelta, path: str, batch_id: str, at: datetime, system: str) -> int:
-    """Mark, lookback, what is pending, read, lineage, append, new mark. Nothing pending: nothing written, mark unmoved."""
+    """Mark, lookback, what is pending, read, lineage, publication, new mark. Nothing pending: nothing written, mark unmoved.
+
+    The step may break off anywhere and be repeated, under its own name or another: rows are seen from the commit record on,
+    and a mark that a published batch could not write any more is written by the next step. Rows are read up to the greatest
+    value counted, so a source that grows meanwhile is left to the next batch.
+    """
+    from . import publication
     from .jdbc import pending
-    from .lake import add_lineage, append_raw
+    from .lake import add_lineage
 
+    spark, column = source.sparkSession, F.col(watermark)
+    settle(store, table, path)
+    done = publication.record(spark, path, batch_id)
+    if done is not None:
+        return done["rows"]
     start = store.read(table) - lookback
-    kind = source.schema[watermark].dataType.simpleString()
-    start_value = start.replace(tzinfo=None) if kind == "timestamp_ntz" else start
-    stats = pending(source, watermark, start_value).first()
+    zoneless = source.schema[watermark].dataType.simpleString() == "timestamp_ntz"
+    start = start.replace(tzinfo=None) if zoneless else start
+    stats = pending(source, watermark, start).first()
     if not stats["rows"]:
         return 0
-    append_raw(add_lineage(source.filter(F.col(watermark) > F.lit(start_value)), batch_id, at, system), path)
-    store.write(table, stats["new_mark"] if kind == "timestamp_ntz" else stats["new_mark"].astimezone(timezone.utc))
+    mark = stats["new_mark"] if zoneless else stats["new_mark"].astimezone(timezone.utc)
+    publication.stage(add_lineage(source.filter((column > F.lit(start)) & (column <= F.lit(mark))), batch_id, at, system), path, batch_id)
+    at = at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+    publication.commit(spark, path, batch_id, at.astimezone(timezone.utc).date(), stats["rows"], mark.replace(tzinfo=timezone.utc), store.last(table))
+    settle(store, table, path)
     return stats["rows"]
+
+
+def settle(store: MarkStore, table: str, path: str) -> None:
+    """Write the mark of a batch that is published and after which the table's mark has not been written."""
+    from .publication import records
+
+    found = records(store.spark, path)
+    if found is None:
+        return
+    open_ = found.filter((F.col("after") == store.last(table)) & F.col("mark").isNotNull()).agg(F.unix_micros(F.max("mark"))).first()[0]
+    if open_ is not None:
+        store.write(table, EPOCH + timedelta(microseconds=open_))

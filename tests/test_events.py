@@ -1,3 +1,5 @@
+import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -5,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lakeforge.functions import timezone as tz
 from lakeforge.operators import aggregates, reconcile, sessions
+from lakeforge.plans.flows import refresh_visits
+from lakeforge.sources.versions import KeyedTable, VersionedTable
 from lakeforge.spec import TableSpec
 from lakeforge.streaming import events as streaming
 
@@ -118,10 +122,79 @@ def test_stream_upsert(spark, tmp_path):
     spec = TableSpec("t", ("id",), ("at",))
     a = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "id bigint, at bigint, v string")
     b = spark.createDataFrame([(2, 2, "c"), (3, 1, "d")], "id bigint, at bigint, v string")
-    q = streaming.upsert_stream(stream(spark, tmp_path, a, b), str(tmp_path / "table"), spec, str(tmp_path / "ck"), policy="ordered")
+    table = KeyedTable(spark, str(tmp_path / "table"), spec, buckets=8)
+    q = streaming.upsert_stream(stream(spark, tmp_path, a, b), table, str(tmp_path / "ck"), policy="ordered")
     q.awaitTermination(120)
-    last = spark.read.parquet(str(tmp_path / "table/version=1"))
-    assert sorted((r["id"], r["v"]) for r in last.collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted((r["id"], r["v"]) for r in table.read().collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_stream_late_rows_read_one_row_of_progress(spark, tmp_path):
+    batches = [events(spark, {"at": 100_000 * n}, {"at": 0}) for n in range(4)]
+    q = streaming.route_late(stream(spark, tmp_path, *batches), "event_time", 150_000, str(tmp_path / "good"), str(tmp_path / "late"), str(tmp_path / "ck"))
+    q.awaitTermination(240)
+    progress = spark.read.parquet(str(tmp_path / "ck/progress")).orderBy("batch").collect()
+    assert [r["batch"] for r in progress] == [0, 1, 2, 3] and all(a["newest"] <= b["newest"] for a, b in zip(progress, progress[1:], strict=False))
+    assert spark.read.parquet(str(tmp_path / "good")).count() + spark.read.parquet(str(tmp_path / "late")).count() == 8
+
+
+# -- visits on two levels and by day -----------------------------------------------------------------------------------
+def plain_visits(rows, gap):
+    """(visitor, first, last, events) of rows (visitor, second)."""
+    out = []
+    for who in {w for w, _ in rows}:
+        times = sorted(t for w, t in rows if w == who)
+        for t in times:
+            if out and out[-1][0] == who and t - out[-1][2] <= gap:
+                out[-1][2:] = [t, out[-1][3] + 1]
+            else:
+                out.append([who, t, t, 1])
+    return sorted(map(tuple, out), key=str)
+
+
+@pytest.mark.parametrize("chunk", [10, 700, 86_400])
+def test_visits_over_chunks(spark, chunk):
+    rng = random.Random(chunk)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.randrange(20_000)) for _ in range(700)] + [("hot", 5), ("hot", 5)]
+    df = events(spark, *({"at": t, "who": w} for w, t in rows)).unionByName(spark.createDataFrame([(9999, "hot", None, None, "x", None, None, None)], EVENTS))
+    marked = sessions.mark_visits(df, timedelta(seconds=60), chunk=chunk)
+    second = F.unix_seconds("event_time") - F.unix_seconds(F.lit(NOON))
+    got = marked.filter("event_time is not null").groupBy("session_id", "session_key").agg(F.min(second).alias("a"), F.max(second).alias("b"), F.count("*").alias("n")).collect()
+    assert sorted(((r["session_id"], r["a"], r["b"], r["n"]) for r in got), key=str) == plain_visits(rows, 60)
+    hot = sorted((r for r in got if r["session_id"] == "hot"), key=lambda r: r["a"])
+    assert [r["session_key"] for r in hot] == [f"hot#{i + 1}" for i in range(len(hot))]
+    assert marked.count() == len(rows) + 1 and marked.filter("event_time is null and session_key is null").count() == 1
+
+
+def test_visits_of_one_visitor_are_linear(spark):
+    """The rows that are joined follow the events, not events times visits."""
+    n = 80_000
+    one = spark.range(n).select(F.lit("v").alias("session_id"), F.timestamp_seconds(F.col("id") * 2000).alias("event_time"))
+    began = time.perf_counter()
+    assert sessions.mark_visits(one).agg(F.count_distinct("session_key")).first()[0] == n
+    assert time.perf_counter() - began < 60
+    plan = sessions.mark_visits(one)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_only_touched_days_are_rebuilt(spark, tmp_path, seed):
+    rng, day = random.Random(seed), 86_400
+    first = [{"at": rng.randrange(12) * day + rng.randrange(day), "who": rng.choice("abc"), "device": rng.choice([None, "d"])} for _ in range(300)]
+    first += [{"at": 13 * day - 43_200 + 600, "who": "edge"}]  # just after midnight
+    late = [{"at": rng.randrange(4, 6) * day + rng.randrange(day), "who": rng.choice("abz")} for _ in range(20)]
+    late += [{"at": 13 * day - 43_200 - 600, "who": "edge"}]  # the visit now starts the day before
+    everything = events(spark, *first, *late)
+    known = everything.filter(F.col("event_id") < len(first))
+    table = VersionedTable(spark, str(tmp_path / "visits"))
+    refresh_visits(table, known, None, 1)
+    before = {r["part"]: r["written"] for r in table.manifest(1)}
+    for _ in range(2):
+        got = refresh_visits(table, everything, everything.filter(F.col("event_id") >= len(first)), 2)
+    wanted = sessions.summarize_visits(everything)
+    assert sorted(map(str, got.select(*wanted.columns).collect())) == sorted(map(str, wanted.collect()))
+    after = {r["part"]: r["written"] for r in table.manifest(2)}
+    assert {p for p, w in after.items() if p and w == 2} <= {"2026-03-18", "2026-03-19", "2026-03-20", "2026-03-21", "2026-03-27", "2026-03-28"}
+    assert "2026-03-28" not in after or before["2026-03-28"] == 1 and sum(w == 1 for p, w in after.items() if p) >= 5
 
 
 def test_stream_landing_once(spark, tmp_path):

@@ -1,5 +1,6 @@
 import glob
 import os
+import random
 from datetime import date, datetime, timedelta, timezone
 
 import pyspark
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from lakeforge.functions import text
 from lakeforge.operators import facts, history, settlements
 from lakeforge.plans.domain import REGISTRY
-from lakeforge.sources import jdbc, lake, landing, marks
+from lakeforge.sources import jdbc, lake, landing, marks, publication
 from lakeforge.spec import JdbcSource
 
 HEAD, TAIL = "C;LIQ;20260315;001;PSP_ACME", "P;2;80,40;1,25"
@@ -60,6 +61,23 @@ def test_sequence_gaps(spark):
     assert [[r[0] for r in landing.sequence_gaps(numbers(*x)).orderBy("missing").collect()] for x in ((1, 2, 4, 5), (10, 14), (), (3,))] == [[3], [11, 12, 13], [], []]
 
 
+def test_sequence_gaps_over_ranges(spark):
+    rng = random.Random(3)
+    for kind in ("int", "bigint"):
+        starts = {rng.randrange(-70_000, 300_000) for _ in range(6)} | {-65_537, -1, 65_535, 131_072}  # holes at and over the edges of ranges
+        near = sorted({s + i for s in starts for i in (0, 1, 3)})
+        got = landing.sequence_gaps(spark.createDataFrame([(x, 1) for x in near for _ in range(2)] + [(None, 1)], f"sequence {kind}, x int"))
+        assert dict(got.dtypes) == {"missing": kind}
+        assert sorted(r[0] for r in got.collect()) == sorted(set(range(near[0], near[-1])) - set(near))
+    far = landing.sequence_gaps(spark.createDataFrame([(-(1 << 62),), ((1 << 62),), (3 - (1 << 62),)], "sequence bigint").filter("sequence < 0"))
+    assert sorted(r[0] for r in far.collect()) == [1 - (1 << 62), 2 - (1 << 62)]
+    grouped = spark.createDataFrame([("a", 1), ("a", 4), ("b", 70_000), ("b", 140_000), (None, 5), (None, 7)], "g string, sequence bigint")
+    found = landing.sequence_gaps(grouped, group=["g"])
+    assert {r["g"]: r["n"] for r in found.groupBy("g").agg(F.count("*").alias("n")).collect()} == {"a": 2, "b": 69_999, None: 1}
+    plan = landing.sequence_gaps(spark.range(10).toDF("sequence"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("SinglePartition")[-1].count("hashpartitioning") >= 3  # only the ranges of ranges of ranges, 2^16 at most, meet in one task
+
+
 def test_landing_register_and_quarantine(spark, tmp_path):
     zone = tmp_path / "zone"
     zone.mkdir()
@@ -88,15 +106,44 @@ def test_marks(spark, tmp_path):
     assert spark.range(1).select(marks.canonical(F.lit("2026-03-15T16:30:45+02:00"))).first()[0] == "2026-03-15T14:30:45.000000+00:00"
 
 
+def ingest_source(spark, *days):
+    day = datetime(2026, 3, 15, tzinfo=timezone.utc)
+    return spark.createDataFrame([(i, day + timedelta(days=i - 1)) for i in days], "id bigint, updated_at timestamp")
+
+
 def test_ingest_step(spark, tmp_path):
     store, path = marks.MarkStore(spark, str(tmp_path / "marks")), str(tmp_path / "raw")
-    day = datetime(2026, 3, 15, tzinfo=timezone.utc)
-    source = spark.createDataFrame([(1, day), (2, day + timedelta(days=1))], "id bigint, updated_at timestamp")
-    step = lambda df, hours=0: marks.ingest_step(df, store, "t", "updated_at", timedelta(hours=hours), path, "b", datetime(2026, 3, 20), "shop")
-    assert (step(source), step(source), step(source, 48)) == (2, 0, 2)
-    more = source.unionByName(spark.createDataFrame([(3, day + timedelta(days=2))], source.schema))
-    assert step(more) == 1 and lake.read_raw(spark, path, date(2026, 3, 20)).count() == 5 and lake.read_raw(spark, path, date(2026, 3, 1)).count() == 0
-    assert {"_ingested_at", "_source_system", "_batch_id", "ingestion_date"} < set(lake.read_raw(spark, path).columns)
+    source = ingest_source(spark, 1, 2)
+    step = lambda df, batch, hours=0: marks.ingest_step(df, store, "t", "updated_at", timedelta(hours=hours), path, batch, datetime(2026, 3, 20), "shop")
+    assert (step(source, "b1"), step(source, "b2"), step(source, "b3", 48)) == (2, 0, 2)
+    more = source.unionByName(ingest_source(spark, 3))
+    assert step(more, "b4") == 1 and lake.read_raw(spark, path, date(2026, 3, 20)).count() == 5 and lake.read_raw(spark, path, date(2026, 3, 1)).count() == 0
+    assert set(lake.read_raw(spark, path).columns) == {"id", "updated_at", "_ingested_at", "_source_system", "_batch_id", "ingestion_date"}
+    assert step(more, "b3", 48) == 2 and step(more, "b1") == 2 and lake.read_raw(spark, path).count() == 5  # repeated batches
+    store.reset(["t"])
+    assert step(more, "007") == 3 and lake.read_raw(spark, path).filter("_batch_id = '007'").count() == 3  # and a full load after a reset
+
+
+@pytest.mark.parametrize("again", ["b1", "b2"])
+@pytest.mark.parametrize("broken", ["before the record", "before the mark"])
+def test_ingest_step_broken_and_repeated(spark, tmp_path, monkeypatch, again, broken):
+    store, path = marks.MarkStore(spark, str(tmp_path / "marks")), str(tmp_path / "raw")
+    step = lambda df, batch, day=20: marks.ingest_step(df, store, "t", "updated_at", timedelta(0), path, batch, datetime(2026, 3, day), "shop")
+
+    def stop(*_, **__):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(*((publication, "commit") if broken == "before the record" else (store, "write")), stop)
+        with pytest.raises(RuntimeError):
+            step(ingest_source(spark, 1, 2), "b1")
+    assert lake.read_raw(spark, path).count() == (0 if broken == "before the record" else 2)
+    # the source has grown, and a day has passed
+    step(ingest_source(spark, 1, 2, 3), again, 21)
+    step(ingest_source(spark, 1, 2, 3), "b3", 22)
+    rows = lake.read_raw(spark, path)
+    assert sorted(r["id"] for r in rows.collect()) == [1, 2, 3]
+    assert store.read("t") == datetime(2026, 3, 17, tzinfo=timezone.utc)
 
 
 def test_lake_writes(spark, tmp_path):
