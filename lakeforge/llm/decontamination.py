@@ -3,8 +3,9 @@
 Texts are lower-cased (A-Z) and cut into words of letters and digits; every non-ASCII character belongs to a word. The
 hashes of all runs of K words are taken; in each stretch of W consecutive runs the smallest one is kept as a
 fingerprint. A stretch spans K + W - 1 = 10 words, so two texts that share 10 words in a row share a fingerprint of
-them. Fingerprints of documents are looked up among those of the benchmark, and each hit is extended word by word to
-the longest common run. A run of 10 words or more is contamination, once its words have been compared themselves.
+them. Fingerprints of documents are looked up among those of the benchmark, and each hit is extended to the windows of 10
+words around it, whose words are compared themselves; windows that overlap are one hit run. A fingerprint that stands in
+many places of the benchmark costs no more than one: its windows are held once each, with the items that have them.
 Items of fewer than 10 words are one window each and are looked up by the hash of their whole length.
 
 Distribution: documents are not shuffled at all. The benchmark is the query set; it is cut into blocks of at most
@@ -21,6 +22,8 @@ Defined results
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +35,19 @@ from .common import table, text_session
 
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
-#: Bytes of a block as it is sent, and how many of them a byte of text takes at most, measured on words of five letters.
-BLOCK_BYTES, GROWN = 16 << 20, 5
+#: Bytes of a block as it is sent, and how many of them a word takes besides its text.
+BLOCK_BYTES, WORD_BYTES = 16 << 20, 48
 IS_WORD = common.byte_class(lambda b: 48 <= b < 58 or 97 <= b < 123 or b >= 128)
 
 
+_WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def among(keys: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """Which of ``sought`` are in the sorted ``keys``."""
+    return keys[np.minimum(np.searchsorted(keys, sought), len(keys) - 1)] == sought if len(keys) else np.zeros(len(sought), bool)
+
+
 def winnow(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Positions of the fingerprints. ``hashes[i]`` belongs to the K words from i on; ``first`` has each text's first word
     (and the end). Every position that is the minimum of some stretch of W runs inside its text is kept."""
@@ -56,75 +67,104 @@ def winnow(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(kept)
 
 
+class Windows:
+    """The distinct windows of one size: by number, one place of each and the items that have it.
+
+    Windows are told apart by the numbers of their words, not by hashes: a key that two of them shared would be drawn anew."""
+
+    def __init__(self, size: int, words: np.ndarray, places: np.ndarray, item: np.ndarray):
+        self.size, self.salt = size, 0
+        while True:
+            keys = self.keys(words[places[:, None] + np.arange(size)])
+            order = np.argsort(keys, kind="stable")
+            self.own, first, number = np.unique(keys[order], return_index=True, return_inverse=True)
+            self.place = places[order][first]
+            if (words[places[order][:, None] + np.arange(size)] == words[self.place[number][:, None] + np.arange(size)]).all():
+                break
+            self.salt += 1
+        pairs = np.unique(np.stack((number, item[places[order]]), axis=1), axis=0)
+        self.begin, self.items = np.searchsorted(pairs[:, 0], np.arange(len(self.own) + 1)), pairs[:, 1]
+
+    def keys(self, rows: np.ndarray) -> np.ndarray:
+        acc = np.full(len(rows), self.salt, np.uint64)
+        for i in range(self.size):
+            acc = common.mix(acc * np.uint64(0x9E3779B97F4A7C15) + rows[:, i].astype(np.uint64) + np.uint64(1))
+        return acc
+
+    def find(self, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Number of the window that each row of word numbers is; -1 for none."""
+        if not len(self.own):
+            return np.full(len(rows), -1)
+        at = np.minimum(np.searchsorted(self.own, self.keys(rows)), len(self.own) - 1)
+        same = (words[self.place[at][:, None] + np.arange(self.size)] == rows).all(axis=1)
+        return np.where(same, at, -1)
+
+
 class Block:
-    """A bounded part of the benchmark: word hashes, words, and where each fingerprint stands."""
+    """A bounded part of the benchmark: its words by number, its fingerprints, and its windows."""
 
     def __init__(self, items: list[tuple[str | None, str]]):
         self.ids = [i for i, _ in items]
         data, offsets = common.utf8(pa.array([t for _, t in items], pa.string()))
         data = common.lowered(data)
-        starts, stops, self.first = common.word_bounds(data, offsets, IS_WORD)
-        self.words = [data[a:b].tobytes() for a, b in zip(starts, stops, strict=True)]
-        self.hashes = common.word_hashes(data, starts, stops)
-        self.item = np.repeat(np.arange(len(items)), np.diff(self.first))
-        runs = common.run_hashes(self.hashes, K)
-        at = winnow(runs, self.first)
-        order = np.argsort(runs[at], kind="stable")
-        self.print_hash, self.print_at = runs[at][order], at[order]
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        lengths = np.diff(self.first)
+        starts, stops, first = common.word_bounds(data, offsets, IS_WORD)
+        self.number: dict[bytes, int] = {}
+        self.words = np.fromiter((self.number.setdefault(data[a:b].tobytes(), len(self.number)) for a, b in zip(starts, stops, strict=True)), np.int32, len(starts))
+        hashes = common.word_hashes(data, starts, stops)
+        item, lengths = np.repeat(np.arange(len(items)), np.diff(first)), np.diff(first)
+        runs = common.run_hashes(hashes, K)
+        self.prints = np.unique(runs[winnow(runs, first)])
+        places = np.arange(len(self.words))
+        self.long = Windows(WINDOW, self.words, places[places + WINDOW <= first[1:][item]], item)
+        self.short: dict[int, tuple[np.ndarray, Windows]] = {}
         for m in range(1, WINDOW):
-            at = self.first[:-1][lengths == m]
+            at = first[:-1][lengths == m]
             if len(at):
-                runs = common.run_hashes(self.hashes, m)[at]
-                order = np.argsort(runs, kind="stable")
-                self.short[m] = runs[order], at[order]
-
-    @staticmethod
-    def found(keys: np.ndarray, sought: np.ndarray):
-        """For each place in ``sought`` whose value is a key: the place and the range of keys."""
-        left = np.searchsorted(keys, sought)
-        some = np.flatnonzero((left < len(keys)) & (keys[np.minimum(left, len(keys) - 1)] == sought)) if len(keys) else []
-        for i in some:
-            yield int(i), int(left[i]), int(np.searchsorted(keys, sought[i], "right"))
-
-    def hits(self, data, starts, stops, first, hashes) -> list[tuple[int, int, int, int]]:
-        """(text, first word, end word, item) of every longest run that holds a window."""
-        same = lambda p, q, n: all(data[starts[p + i] : stops[p + i]].tobytes() == self.words[q + i] for i in range(n))
-        out, done = [], {}
+                self.short[m] = np.unique(common.run_hashes(hashes, m)[at]), Windows(m, self.words, at, item)
+
+    def hits(self, data, starts, stops, first, hashes):
+        """(text, first word, end word, items that have the window) for every place of a window in the texts.
+
+        A shared window holds a fingerprint that both sides keep, so the windows around the fingerprints that match are all
+        there can be. Each of these places is looked at once, by the numbers of its words, however often the benchmark has
+        the fingerprint."""
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        ends = first[1:][text]
+        sought = []
         runs = common.run_hashes(hashes, K)
         at = winnow(runs, first)
-        for i, a, b in self.found(self.print_hash, runs[at]):
-            p = int(at[i])
-            text = int(np.searchsorted(first, p, "right")) - 1
-            for q in self.print_at[a:b]:
-                q = int(q)
-                item = int(self.item[q])
-                if done.get((text, p - q), -1) > p:  # on this diagonal the run has been walked already
-                    continue
-                lo = min(p - first[text], q - self.first[item])
-                hi = min(first[text + 1] - p, self.first[item + 1] - q)
-                apart = np.flatnonzero(hashes[p - lo : p][::-1] != self.hashes[q - lo : q][::-1])
-                lo = int(apart[0]) if len(apart) else int(lo)
-                apart = np.flatnonzero(hashes[p : p + hi] != self.hashes[q : q + hi])
-                hi = int(apart[0]) if len(apart) else int(hi)
-                done[text, p - q] = p + hi
-                if lo + hi >= WINDOW and same(p - lo, q - lo, lo + hi):
-                    out.append((text, p - lo, p + hi, item))
-        for m, (keys, at) in self.short.items():
-            runs = common.run_hashes(hashes, m)
-            for p, a, b in self.found(keys, runs):
-                text = int(np.searchsorted(first, p, "right")) - 1
-                if p + m <= first[text + 1]:
-                    out += [(text, p, p + m, int(self.item[q])) for q in at[a:b] if same(p, int(q), m)]
-        return out
+        at = at[among(self.prints, runs[at])]
+        near = np.zeros(len(hashes), bool)
+        for back in range(W):
+            s = at - back
+            near[s[(s >= first[:-1][text[at]]) & (s + WINDOW <= ends[at])]] = True
+        sought.append((self.long, np.flatnonzero(near)))
+        for m, (prints, windows) in self.short.items():
+            p = np.flatnonzero(among(prints, common.run_hashes(hashes, m)))
+            sought.append((windows, p[p + m <= ends[p]]))
+        needed = np.zeros(len(hashes) + 1, np.int64)
+        for windows, places in sought:
+            np.add.at(needed, places, 1)
+            np.add.at(needed, places + windows.size, -1)
+        numbers = np.full(len(hashes), -1, np.int32)
+        for i in np.flatnonzero(np.cumsum(needed[:-1]) > 0).tolist():
+            numbers[i] = self.number.get(data[starts[i] : stops[i]].tobytes(), -1)
+        for windows, places in sought:
+            found = windows.find(numbers[places[:, None] + np.arange(windows.size)], self.words)
+            places, found = places[found >= 0], found[found >= 0]
+            named = set()
+            for p, t, w in zip(places.tolist(), text[places].tolist(), found.tolist(), strict=True):
+                new = (t, w) not in named  # the items of a window that a text repeats are named once
+                named.add((t, w))
+                yield t, p, p + windows.size, windows.items[windows.begin[w] : windows.begin[w + 1]].tolist() if new else ()
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str):
     """The benchmark in parts of at most BLOCK_BYTES as sent (a longer item alone), fetched one partition at a time."""
     part, held = [], 0
     for row in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).filter(F.col(text_col).isNotNull()).toLocalIterator():
-        size = GROWN * len(row[1].encode())
+        text = row[1].encode()
+        size = 2 * len(text) + WORD_BYTES * len(_WORDS.findall(text))
         if part and held + size > BLOCK_BYTES:
             yield Block(part)
             part, held = [], 0
@@ -152,10 +192,9 @@ def searcher(shared):
             hashes = common.word_hashes(data, starts, stops)
             spans = [list(zip(x["starts"], x["ends"], strict=True)) if x else [] for x in old[a:b]]
             named = [set(x["items"]) if x else set() for x in old[a:b]]
-            for text, p, r, item in block.hits(data, starts, stops, first, hashes):
+            for text, p, r, found in block.hits(data, starts, stops, first, hashes):
                 spans[text].append((p - int(first[text]), r - int(first[text])))
-                if block.ids[item] is not None:
-                    named[text].add(block.ids[item])
+                named[text].update(block.ids[item] for item in found if block.ids[item] is not None)
             counts += np.diff(first).tolist()
             for s, i in zip(spans, named, strict=True):
                 joined: list[list[int]] = []

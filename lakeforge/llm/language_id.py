@@ -6,11 +6,16 @@ over at most ``LANDMARKS`` training texts turns it into a finite feature space,
 language, one versus the rest, is solved. Texts are scored in batches: a presence matrix times the landmarks, times
 the coefficients.
 
-Training reads at most ``PER_LANGUAGE`` rows of each language, those whose ids hash lowest, and brings only their bit
-rows to the driver; the model is a fixed-size matrix and is broadcast; scoring is one pass without a shuffle.
+Training reads at most ``per_language`` documents of each language, those whose ids hash lowest, and brings only their bit
+rows (2 KB each) to the driver; with so many languages that this would be more than ``most_rows``, each gives fewer, but at
+least one, and none is left out. Of rows that repeat an id and language one is drawn, so the bounds hold for rows. The model
+is broadcast; it grows with the number of languages only (one landmark each, where there are more than ``landmarks``).
+Scoring is one pass without a shuffle.
 
 Defined results
     * A text that is null or has no letter is ``und`` with score 0. Whole texts are read.
+    * Rows with a null text, language or id teach nothing. An id that has several languages teaches each of them.
+    * An empty table of documents gives an empty result.
     * Without training rows every text is ``und`` with score 0; with one language every text with a letter is that one.
     * Columns added replace columns of the same names; all others stay, repeated rows included.
 """
@@ -27,7 +32,7 @@ from .common import table, text_session
 from .labelled import fold
 
 BITS, ORDERS = 1 << 14, (2, 3, 4)
-PER_LANGUAGE, LANDMARKS, MOST_ROWS, RIDGE, SHARPNESS = 600, 128, 20_000, 1e-3, 6.0
+RIDGE, SHARPNESS = 1e-3, 6.0
 #: Rows of a presence matrix held at once.
 BATCH = 256
 _LETTER = common.byte_class(lambda b: chr(b).isalpha() and b < 128)
@@ -65,16 +70,18 @@ def presence(texts: pa.Array):
 class KernelModel:
     """Landmarks and the coefficients of each language."""
 
-    def __init__(self, x: np.ndarray, y: list[str]):
+    def __init__(self, packed: np.ndarray, y: list[str], landmarks: int = 128):
+        """``packed``: a row of bits for each training text; they are unpacked some at a time."""
         self.languages = sorted(set(y))
         if not self.languages:
             return
         index = {v: i for i, v in enumerate(self.languages)}
         target = np.array([index[v] for v in y])
-        share = max(1, LANDMARKS // len(self.languages))
-        chosen = np.concatenate([np.flatnonzero(target == i)[:share] for i in range(len(self.languages))])[: max(LANDMARKS, len(self.languages))]
-        self.landmarks = np.ascontiguousarray((x[chosen] / np.sqrt(np.maximum(x[chosen].sum(1, keepdims=True), 1))).T)
-        kernel = self.kernel(x).astype(float)
+        share = max(1, landmarks // len(self.languages))
+        chosen = np.concatenate([np.flatnonzero(target == i)[:share] for i in range(len(self.languages))])
+        x = np.unpackbits(packed[chosen], axis=1).astype(np.float32)
+        self.landmarks = np.ascontiguousarray((x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))).T)
+        kernel = np.concatenate([self.kernel(np.unpackbits(packed[i : i + BATCH], axis=1).astype(np.float32)) for i in range(0, len(packed), BATCH)]).astype(float)
         values, vectors = np.linalg.eigh(kernel[chosen])
         kept = values > 1e-6 * values.max()
         to_space = vectors[:, kept] / np.sqrt(values[kept])  # Nyström: kernel columns to coordinates
@@ -98,21 +105,31 @@ class KernelModel:
         return names, scores
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KernelModel:
-    """Learn from the rows given; those with a null text, language or id are not used."""
+def packed_grams(texts: pa.Array) -> pa.Array:
+    return pa.array([np.packbits(row.astype(bool)).tobytes() for _, x, _ in presence(texts) for row in x], pa.binary())
 
-    @F.arrow_udf("binary")
-    def packed(texts: pa.Array) -> pa.Array:
-        return pa.array([row.tobytes() for _, x, _ in presence(texts) for row in np.packbits(x.astype(bool), axis=1)], pa.binary())
 
+def sample(docs: DataFrame, per_language: int = 600, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``h, y, x``: hash of the id, language and grams of the training rows: one row for each id and language chosen."""
     usable = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    keyed = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # Ids are ranked as hashes with partial limits, so a language with a third of all rows is cut before it is shuffled.
+    heads = keyed.select("id", "lang").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE)
-    ids = chosen.orderBy("rank", "lang").limit(MOST_ROWS).select(F.col("id").alias(id_col)).distinct()  # bounded: broadcast below
-    got = usable.join(F.broadcast(ids), id_col).select(F.col(lang_col).alias("y"), F.xxhash64(id_col).alias("h"), packed(text_col).alias("x")).toPandas()
-    got = got.sort_values(["h", "y"], kind="stable")
+    chosen = heads.withColumn("rank", rank).filter(F.col("rank") <= per_language)
+    languages = chosen.filter("rank = 1").count()
+    share = max(1, min(per_language, most_rows // max(1, languages)))
+    ids = chosen.filter(F.col("rank") <= share).select("id", "lang")  # at most most_rows, or one for each language
+    met = keyed.join(F.broadcast(ids) if languages <= most_rows else ids.hint("merge"), ["id", "lang"])
+    one = met.groupBy("id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+    return one.select(F.xxhash64("id").alias("h"), F.col("lang").alias("y"), F.arrow_udf(packed_grams, "binary")("text").alias("x"))
+
+
+def train(docs: DataFrame, per_language: int = 600, landmarks: int = 128, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KernelModel:
+    """Learn from the rows given, within the bounds said above; see ``sample``."""
+    got = sample(docs, per_language, most_rows, id_col, text_col, lang_col).toPandas().sort_values(["h", "y"], kind="stable")
     bits = np.frombuffer(b"".join(got["x"]), np.uint8).reshape(len(got), BITS // 8)
-    return KernelModel(np.unpackbits(bits, axis=1).astype(np.float32), got["y"].tolist())
+    return KernelModel(bits, got["y"].tolist(), landmarks)
 
 
 def identify(docs: DataFrame, model: KernelModel, text_col: str = "text") -> DataFrame:

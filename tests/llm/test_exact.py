@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -320,6 +321,41 @@ def test_decontamination_awkward(spark, monkeypatch, block):
     assert none.filter("contaminated").count() == 0 and none.count() == len(rows)
 
 
+def block_hits(text, items):
+    """Words hit and items named, by one block over one text."""
+    block = decontamination.Block(items)
+    data = common.lowered(np.frombuffer(text.encode(), np.uint8))
+    starts, stops, first = common.word_bounds(data, np.array([0, len(data)]), decontamination.IS_WORD)
+    hit, found = set(), set()
+    for _, p, r, own in block.hits(data, starts, stops, first, common.word_hashes(data, starts, stops)):
+        hit |= set(range(p, r))
+        found |= {block.ids[i] for i in own}
+    return len(hit), sorted(found)
+
+
+def test_decontamination_of_one_word_repeated():
+    """Places of a fingerprint on both sides are not paired."""
+    block_hits("a b c", [("w", "a b")])  # imports and tables
+    began = time.perf_counter()
+    assert block_hits("spam " * 20_000, [("q", "spam " * 20_000), ("r", "spam " * 12), ("s", "spam spam")]) == (20_000, ["q", "r", "s"])
+    assert time.perf_counter() - began < 2
+    assert block_hits("tick tock " * 500 + "x", [("q", "tock tick " * 400)]) == (1000, ["q"])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_decontamination_with_weak_hashes(monkeypatch, seed):
+    """Hashes of four bits put false fingerprints beside and inside every true run; nothing is lost or added."""
+    plain = common.word_hashes
+    monkeypatch.setattr(common, "word_hashes", lambda *a: plain(*a) & np.uint64(15))
+    monkeypatch.setattr(common, "run_hashes", lambda words, k: np.array([hash(tuple(words[i : i + k].tolist())) & 15 for i in range(max(0, len(words) - k + 1))], np.uint64))
+    rng = random.Random(seed)
+    words = lambda n: " ".join(rng.choice("abcdefgh") + rng.choice(["", "x"]) for _ in range(n))
+    items = [(f"q{i}", words(rng.choice([1, 3, 9, 10, 14, 40]))) for i in range(25)]
+    text = " ".join(rng.choice([words(6), rng.choice(items)[1], " ".join(rng.choice(items)[1].split()[:11])]) for _ in range(30))
+    _, n, found = brute_hits(text, items)
+    assert block_hits(text, items) == (n, found)
+
+
 # -- fixity -----------------------------------------------------------------------------------------------------------
 def test_fixity_awkward(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é</p>", 0), (1, "u", "<p>é</p>", 0), (None, None, None, 0), (2, "v", "", 0), (700, "w", "x" * 200_000, 0)], "page_id bigint, url string, html string, warc int")

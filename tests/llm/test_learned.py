@@ -56,6 +56,52 @@ def test_language_held_out(spark):
     assert np.mean([a == b for a, b in held]) >= 0.95
 
 
+def language_places(text):
+    """Places of the grams of 2, 3 and 4 bytes, one by one."""
+    data, out = text.encode().lower() if text.isascii() else bytes(b + 32 if 65 <= b < 91 else b for b in text.encode()), set()
+    for n in (2, 3, 4):
+        for i in range(len(data) - n + 1):
+            code = 0
+            for b in data[i : i + n]:
+                code = (code * 257 + b) % (1 << 32)
+            out.add((code * 2654435761 % (1 << 32)) >> 18)
+    return out
+
+
+def test_language_scores_equal_kernel_ridge(spark):
+    """With every training text a landmark the Nyström map is exact, so scores are those of plain kernel ridge regression."""
+    words = {"aa": ["der", "und", "nicht", "Straße", "ein"], "bb": ["the", "and", "not", "street", "a"], "cc": ["el", "calle", "niño", "y", "no"]}
+    rng = random.Random(2)
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(3, 12)))
+    train = [(i, text(lang), lang) for i, lang in enumerate(list(words) * 9)]
+    new = [(100 + i, text(lang) + " XYZ", lang) for i, lang in enumerate(list(words) * 4)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.identify(frame(new), language_id.train(frame(train))).collect()}
+    sets = [language_places(t) for _, t, _ in train]
+    k = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    gram = np.array([[k(a, b) for b in sets] for a in sets])
+    wanted = np.array([[1.0 if lang == one else -1.0 for one in sorted(words)] for _, _, lang in train])
+    weights = np.linalg.solve(gram + language_id.RIDGE * len(train) * np.eye(len(train)), wanted)
+    for i, t, _ in new:
+        f = np.array([k(language_places(t), b) for b in sets]) @ weights
+        p = np.exp(language_id.SHARPNESS * (f - f.max()))
+        assert got[i]["lang_pred"] == sorted(words)[int(f.argmax())] and abs(got[i]["score"] - p.max() / p.sum()) < 5e-3
+
+
+def test_language_sample_is_bounded(spark):
+    """Rows that repeat an id count once, and no language is left out where there are many."""
+    rows = [(7, f"hello number {i}", "en") for i in range(2500)] + [(100 + i, f"other {i}", "en") for i in range(400)] + [(600 + i, f"autre {i}", "fr") for i in range(100)]
+    docs = spark.createDataFrame([*rows, (7, "deux langues", "fr"), (None, "x", "en"), (8, None, "en"), (9, "x", None)], "doc_id bigint, text string, lang string")
+    drawn = language_id.sample(docs, per_language=300).groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in drawn} == {"en": 300, "fr": 101}
+    assert language_id.sample(docs, per_language=600).filter("y = 'en'").count() == 401
+    many = spark.createDataFrame([(i, f"text {i % 50} of a language", f"l{i % 50:02}") for i in range(400)], "doc_id bigint, text string, lang string")
+    assert language_id.sample(many, most_rows=120).groupBy("y").count().filter("count = 2").count() == 50
+    model = language_id.train(many, most_rows=20, landmarks=8)  # one row and one landmark for each
+    assert len(model.languages) == 50 == model.landmarks.shape[1]
+    assert language_id.identify(many, model).filter("lang_pred = lang").count() > 300
+
+
 def test_language_kernel_and_awkward(spark):
     (_, x, _), = language_id.presence(pa.array(["abab", "abab abab", "zzzz"]))
     assert x[0].sum() == 2 + 2 + 1 and (x[0] <= x[1]).all() and x[0] @ x[2] == 0
