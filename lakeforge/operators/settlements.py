@@ -6,13 +6,15 @@ balance are one aggregation per file; good details are joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import amount, comma, day_first_date, name_date, name_sequence, order_reference
 from .aggregates import money
 
 BALANCE = 0.005
+#: Lines of a file that are numbered together.
+CHUNK = 1 << 16
 
 
 def lines(files: DataFrame, encoding: str = "ISO-8859-1") -> DataFrame:
@@ -64,19 +66,29 @@ def verdicts(files: DataFrame, cut: DataFrame) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame, group: str, position: str, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Rows of each group numbered from 1 by their positions, which are whole and unique in it: inside chunks of positions,
+    then with the number of rows in the chunks before, so that a group of any size is spread over its chunks."""
+    cut = rows.withColumn("_chunk", F.floor(F.col(position) / chunk))
+    inside = F.row_number().over(Window.partitionBy(group, "_chunk").orderBy(position))
+    sizes = cut.groupBy(group, "_chunk").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut.withColumn(name, inside).join(sizes.select(group, "_chunk", before.alias("_before")), [group, "_chunk"]).withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_chunk", "_before")
+
+
 def flatten(cut: DataFrame, judged: DataFrame) -> DataFrame:
     """Details of the accepted files, numbered from 1 in the order of the file."""
     good = judged.filter("outcome = 'accepted'").select("name", "provider", "settlement_date", "sequence")
-    number = F.row_number().over(Window.partitionBy("name").orderBy("position"))
-    rows = details(cut).join(good, "name").withColumn("line", number)
+    rows = numbered(details(cut).join(good, "name"), "name", "position", "line")
     return rows.select(F.col("name").alias("file"), "provider", "settlement_date", "sequence", "line", "operation_date", "order_id", "kind", "amount", "fee", "currency", "method", "concept")
 
 
-def write_extract(orders: DataFrame, provider: str = "PSP_ACME") -> DataFrame:
-    """``name, content``: one file per day from orders (``order_id, order_date, amount``, refunds negative).
+def extract_lines(orders: DataFrame, provider: str = "PSP_ACME") -> DataFrame:
+    """``name, kind, order_id, line``: the records of a file per day from orders (``order_id, order_date, amount``, refunds
+    negative), a row each: a header (kind 0), details (1) by order, a trailer (2).
 
-    The fee is 0.25 and 1.9 % of the amount, negative for refunds. A file is one day of one provider and must fit into a
-    row; numbers of files follow the days.
+    The fee is 0.25 and 1.9 % of the amount, negative for refunds; numbers of files follow the days. A day of any size is
+    never brought together: its count and sums are an aggregate.
     """
     value, size = money("amount"), F.abs(money("amount"))
     fee = (F.round(F.lit(0.25).cast("decimal(18,2)") + size * F.lit("0.019").cast("decimal(5,3)"), 2) * F.when(value < 0, -1).otherwise(1)).cast("decimal(18,2)")
@@ -85,12 +97,40 @@ def write_extract(orders: DataFrame, provider: str = "PSP_ACME") -> DataFrame:
         ";", F.lit("D"), F.date_format("day", "dd/MM/yyyy"), F.concat(F.lit("ORD-"), F.lpad(F.col("order_id").cast("string"), 9, "0")), F.when(F.col("amount") < 0, "DEVOL").otherwise("PAGO"),
         comma(F.col("amount")), comma(F.col("fee")), F.lit("EUR"), F.lit("TARJETA"), F.lit("Operación"),
     )
-    days = rows.withColumn("line", detail).groupBy("day").agg(
-        F.array_sort(F.collect_list(F.struct("order_id", "line"))).alias("l"), F.count("*").alias("n"), F.sum("amount").alias("amount"), F.sum("fee").alias("fee")
-    )
-    number = F.datediff("day", F.lit("1970-01-01").cast("date")) % 1000
-    sequence = F.lpad(number.cast("string"), 3, "0")
+    days = rows.groupBy("day").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.sum("fee").alias("fee"))
+    sequence = F.lpad((F.datediff("day", F.lit("1970-01-01").cast("date")) % 1000).cast("string"), 3, "0")
     head = F.concat_ws(";", F.lit("C"), F.lit("LIQ"), F.date_format("day", "yyyyMMdd"), sequence, F.lit(provider))
     tail = F.concat_ws(";", F.lit("P"), F.col("n").cast("string"), comma(F.col("amount")), comma(F.col("fee")))
-    body = F.array_join(F.concat(F.array(head), F.transform("l", lambda x: x["line"]), F.array(tail)), "\n")
-    return days.select(F.concat(F.lit("LIQ_"), F.date_format("day", "yyyyMMdd"), F.lit("_"), sequence, F.lit(".txt")).alias("name"), body.alias("content"))
+    name = F.concat(F.lit("LIQ_"), F.date_format("day", "yyyyMMdd"), F.lit("_"), sequence, F.lit(".txt")).alias("name")
+    none = F.lit(None).cast(rows.schema["order_id"].dataType)
+    ends = days.select(name, F.inline(F.array(F.struct(F.lit(0).alias("kind"), none.alias("order_id"), head.alias("line")), F.struct(F.lit(2).alias("kind"), none.alias("order_id"), tail.alias("line")))))
+    return rows.select(name, F.lit(1).alias("kind"), "order_id", detail.alias("line")).unionByName(ends)
+
+
+def write_extract(orders: DataFrame, provider: str = "PSP_ACME") -> DataFrame:
+    """``name, content``: each file in one row, for files that fit into one; ``write_files`` writes files of any size."""
+    whole = extract_lines(orders, provider).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("kind", "order_id", "line"))).alias("l"))
+    return whole.select("name", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
+
+
+def write_files(orders: DataFrame, path: str, provider: str = "PSP_ACME") -> None:
+    """Each file as a folder ``name=...`` of numbered parts, read one after the other. Lines are dealt out by ranges of file
+    and order, so a large day is many parts and small days share a task."""
+    order = ["name", "kind", "order_id", "line"]
+    extract_lines(orders, provider).repartitionByRange(*order).sortWithinPartitions(*order).select("name", "line").write.mode("overwrite").partitionBy("name").text(path)
+
+
+def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """The non-blank lines of files in parts as ``lines`` gives them: ``name, position, record, fields, line``.
+
+    Files are read by byte ranges, as Spark splits them; a range has its lines numbered by the task that reads it, and
+    starts where the ranges before it in the file end. No file is ever in one row or one task. What comes back reads the
+    files each time, so it should be written before it is used twice.
+    """
+    read = spark.read.schema("line string, name string").options(sep="\u0001", quote="", encoding=encoding).csv(path)
+    ranged = read.select("name", "line", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id")).filter(F.trim("line") != "")
+    ranges = ranged.groupBy("name", "_file", "_start").agg(F.min("_id").alias("_first"), (F.max("_id") - F.min("_id") + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("name").orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranges.select("name", "_file", "_start", (before - F.col("_first")).alias("_shift"))  # a row for each range of bytes
+    cut = ranged.join(offsets, ["name", "_file", "_start"]).select("name", (F.col("_id") + F.col("_shift")).alias("position"), "line")
+    return cut.select("name", "position", F.substring("line", 1, 1).alias("record"), F.split("line", ";").alias("fields"), F.trim("line").alias("line"))

@@ -46,6 +46,9 @@ def spec(name: str, **changes):
 
 
 # -- cleaned tables ---------------------------------------------------------------------------------------------------
+RAW = {"customers": "customers_raw", "products": "products_raw", "orders": "orders_raw", "order_items": "items_raw", "web_events": "events_raw"}
+
+
 def clean(spark: SparkSession, d: str, name: str, raw: str) -> DataFrame:
     return deduplicate(normalize(view(spark, d, raw), REGISTRY[name]), REGISTRY[name])
 
@@ -60,13 +63,11 @@ def parents(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def judged(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, DataFrame]:
-    raw = {"customers": "customers_raw", "products": "products_raw", "orders": "orders_raw", "order_items": "items_raw", "web_events": "events_raw"}[name]
-    return quality.split(clean(spark, d, name, raw), REGISTRY[name], parents(spark, d))
+    return quality.split(clean(spark, d, name, RAW[name]), REGISTRY[name], parents(spark, d))
 
 
 def marked(spark: SparkSession, d: str, name: str) -> DataFrame:
-    raw = {"customers": "customers_raw", "products": "products_raw", "orders": "orders_raw", "order_items": "items_raw", "web_events": "events_raw"}[name]
-    return quality.judge(clean(spark, d, name, raw), REGISTRY[name], parents(spark, d))
+    return quality.judge(clean(spark, d, name, RAW[name]), REGISTRY[name], parents(spark, d))
 
 
 CUSTOMERS = """customers AS (

@@ -11,14 +11,14 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import history, normalize
+from ..operators import history, normalize, settlements
 from ..sources import jdbc, lake, landing, marks
 from ..sources.versions import KeyedTable, VersionedTable
 from ..spec import JdbcSource, Registry
 from ..streaming import events as streaming
 from .domain import REGISTRY, view
 from .flows import clean_table, customer_history, ingest_files, missing_files, refine, refresh_visits, register_tables
-from .queries import BASE, CUSTOMER_REASONS, CUSTOMERS, SETTLED, VISIT_COLUMNS, VISITS, clean, day, extract, first_customers, good_events, good_visits, parents, query, shown_visits, stamp
+from .queries import ALL_REASONS, BASE, CUSTOMER_REASONS, CUSTOMERS, ORDER_REASONS, ORDERS, RAW, REPORT, SETTLED, VISIT_COLUMNS, VISITS, clean, day, extract, first_customers, good_events, good_visits, judged, parents, query, shown_visits, stamp
 
 FIRST, SECOND = datetime(2024, 3, 1, 12, tzinfo=timezone.utc), datetime(2024, 3, 2, 12, tzinfo=timezone.utc)
 
@@ -198,6 +198,49 @@ def flw_customer_history(spark, d):
     return people.filter("customer_key <> -1").select("customer_id", "segment", stamp("valid_from"), stamp("valid_to"), "is_current")
 
 
+@query(REPORT + ' SELECT "table", valid, quarantined FROM report')
+def flw_refined_all(spark, d):
+    """Every table from raw to clean in one run, children against the whole batch of their parents; rows kept and refused."""
+    root, tables = lake.work_folder(spark), [n for n, *_ in ALL_REASONS]
+    for name in tables:
+        lake.append_raw(lake.add_lineage(view(spark, d, RAW[name]), "b1", FIRST, "shop"), f"{root}/raw/{name}")
+    refine(spark, REGISTRY, root, "b1", FIRST, tables)
+    count = lambda df, name, valid: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), F.lit(valid).alias("valid"), "n")
+    found = None
+    for name in tables:
+        bad = count(spark.read.parquet(f"{root}/quarantine/{name}"), name, False)
+        one = count(clean_table(spark, root, name), name, True).unionByName(bad)
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("table").agg(F.sum(F.when(F.col("valid"), F.col("n"))).alias("valid"), F.sum(F.when(~F.col("valid"), F.col("n"))).alias("quarantined"))
+
+
+@query(f"WITH {ORDERS} SELECT reason, count(*) AS rows FROM (SELECT unnest({ORDER_REASONS}) AS reason FROM clean_orders) GROUP BY reason")
+def snk_report_json(spark, d):
+    """A report written as JSON, twice, and read back."""
+    from ..operators import quality
+
+    path = f"{lake.work_folder(spark)}/report"
+    histogram = quality.reason_histogram(judged(spark, d, "orders")[1])
+    for _ in range(2):
+        lake.write_report(histogram, path)
+    return spark.read.json(path)
+
+
+MOVED = "WITH moved AS (SELECT * REPLACE (CASE WHEN order_id % 3 = 0 THEN CAST('1995-06-17' AS TIMESTAMP) ELSE order_date END AS order_date) FROM {sold}), " + SETTLED.split("), good AS")[0].replace("{sold}", "moved") + ")"
+
+
+@query(MOVED + " SELECT order_id, day AS operation_date, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee, row_number() OVER (PARTITION BY day ORDER BY order_id) AS line FROM details")
+def fil_large_files(spark, d):
+    """A third of all orders on one day: files written in parts, read by byte ranges, judged and numbered in chunks."""
+    root, sold = lake.work_folder(spark), view(spark, d, "sold")
+    moved = sold.withColumn("order_date", F.when(F.col("order_id") % 3 == 0, F.lit("1995-06-17").cast(sold.schema["order_date"].dataType)).otherwise(F.col("order_date")))
+    settlements.write_files(moved, f"{root}/zone")
+    settlements.read_lines(spark, f"{root}/zone").write.parquet(f"{root}/lines")
+    cut = spark.read.parquet(f"{root}/lines")
+    rows = settlements.flatten(cut, settlements.verdicts(cut.select("name").distinct(), cut))
+    return rows.select("order_id", day("operation_date"), F.col("amount").cast("double").alias("amount"), F.col("fee").cast("double").alias("fee"), F.col("line").cast("bigint").alias("line"))
+
+
 def file_batches(spark, d) -> str:
     """Settlement files of all days, by the day as a number modulo 40: 7 lost its last detail, 9 its trailer, 11 never came,
     13 comes a second time under the name of a resend. The second batch has all files again. The folder written to."""

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta
+
 from pyspark.sql import DataFrame, DataFrameReader, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..spec import JdbcSource
+from .lake import FILE_BYTES, write_sized
 
-ROWS_PER_PARTITION, MOST_PARTITIONS = 50_000, 8
+#: Rows of a partition, and the accuracy of its bounds as a share of all rows.
+ROWS_PER_PARTITION, ACCURACY = 50_000, 0.001
 
 
 def reader(spark: SparkSession, options: dict[str, str]) -> DataFrameReader:
@@ -30,16 +35,51 @@ def pending(df: DataFrame, watermark: str, mark, partition_column: str | None =
     return df.filter(F.col(watermark) > F.lit(mark)).agg(F.count("*").alias("rows"), F.min(column).alias("lo"), F.max(column).alias("hi"), F.max(watermark).alias("new_mark"))
 
 
-def partitions(rows: int) -> int:
-    return min(MOST_PARTITIONS, max(1, rows // ROWS_PER_PARTITION))
+def partitions(rows: int, most: int = 8) -> int:
+    """Connections for so many rows, at most as many as the database is to bear."""
+    return min(most, max(1, rows // ROWS_PER_PARTITION))
+
+
+def literal(value) -> str:
+    return f"TIMESTAMP '{value:%Y-%m-%d %H:%M:%S.%f}'" if isinstance(value, datetime) else f"DATE '{value}'" if isinstance(value, date) else str(value)
+
+
+def quantile_predicates(df: DataFrame, column: str, n: int) -> list[str]:
+    """Conditions that cut the values of a column (a number, a date or a time) into ``n`` parts of about as many rows, nulls
+    in the first. Bounds are drawn from the values that are there, so a dense stretch gets many parts and a wide gap none; a
+    value of very many rows cannot be cut and is a part of its own, and there are fewer parts then."""
+    kind = df.schema[column].dataType
+    timed = isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    number = F.unix_micros(F.col(column).cast("timestamp")) if timed else F.col(column)
+    found = df.select(number.cast("double").alias("v")).approxQuantile("v", [i / n for i in range(1, n)], ACCURACY)
+    whole = timed or isinstance(kind, T.IntegralType)
+    bounds = sorted({round(v) if whole else v for v in found})
+    if timed:
+        moments = [datetime(1970, 1, 1) + timedelta(microseconds=v) for v in bounds]
+        bounds = sorted({m.date() if isinstance(kind, T.DateType) else m for m in moments})
+    ends = [literal(b) for b in bounds]
+    if not ends:
+        return ["1 = 1"]
+    middle = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(ends, ends[1:], strict=False)]
+    return [f"{column} < {ends[0]} OR {column} IS NULL", *middle, f"{column} >= {ends[-1]}"]
+
+
+def read_parts(spark: SparkSession, options: dict[str, str], source: JdbcSource, table: str, stats: Row) -> DataFrame:
+    """A table over as many connections as its rows ask for, each with about the same number of rows. The partition column
+    alone is read first, over equal strides, to see where its values lie; ``stats`` has ``rows, lo, hi``."""
+    name, n = table_name(source, table), partitions(stats["rows"], source.most_connections)
+    read = reader(spark, options).option("dbtable", name)
+    if n == 1 or not source.partition_column or stats["lo"] is None or stats["lo"] == stats["hi"]:
+        return read.load()
+    strides = read.options(partitionColumn=source.partition_column, lowerBound=str(stats["lo"]), upperBound=str(stats["hi"]), numPartitions=str(n))
+    predicates = quantile_predicates(strides.load().select(source.partition_column), source.partition_column, n)
+    rest = {k: v for k, v in options.items() if k != "url"}
+    return spark.read.jdbc(options["url"], name, predicates=predicates, properties=rest)
 
 
 def read_incremental(spark: SparkSession, options: dict[str, str], source: JdbcSource, table: str, mark, stats: Row) -> DataFrame:
     """Rows beyond the mark; in parallel over the partition column (a number or a time) where there are enough of them."""
-    read, n = reader(spark, options).option("dbtable", table_name(source, table)), partitions(stats["rows"])
-    if n > 1 and source.partition_column and stats["lo"] is not None:
-        read = read.options(partitionColumn=source.partition_column, lowerBound=str(stats["lo"]), upperBound=str(stats["hi"]), numPartitions=str(n))
-    return read.load().filter(F.col(source.watermark_column) > F.lit(mark))
+    return read_parts(spark, options, source, table, stats).filter(F.col(source.watermark_column) > F.lit(mark))
 
 
 def load(df: DataFrame, options: dict[str, str], table: str, batch_size: int = 5000, mode: str = "append") -> None:
@@ -63,9 +103,11 @@ def verify(spark: SparkSession, options: dict[str, str], written: DataFrame, tab
         raise ValueError("counts differ after the load: " + ", ".join(f"{r['table']} {r['written']} / {r['found']}" for r in wrong))
 
 
-def export(spark: SparkSession, options: dict[str, str], source: JdbcSource, table: str, path: str) -> None:
-    """A whole table as Parquet, in one file or several by its size."""
-    from .lake import sized
-
-    df = reader(spark, options).option("dbtable", table_name(source, table)).load()
-    sized(df, df.count()).write.mode("overwrite").parquet(path)
+def export(spark: SparkSession, options: dict[str, str], source: JdbcSource, table: str, path: str, file_bytes: int = FILE_BYTES) -> int:
+    """A whole table as Parquet in files of about ``file_bytes``, read over as many connections as its rows ask for. The
+    database counts and finds the ends of the partition column. Returns the number of files."""
+    whole = reader(spark, options).option("dbtable", table_name(source, table)).load()
+    column = source.partition_column
+    ends = (F.min(column).alias("lo"), F.max(column).alias("hi")) if column else (F.lit(None).alias("lo"), F.lit(None).alias("hi"))
+    stats = whole.agg(F.count("*").alias("rows"), *ends).first()
+    return write_sized(read_parts(spark, options, source, table, stats), path, file_bytes, stats["rows"])

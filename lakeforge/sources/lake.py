@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ONE_FILE_ROWS, FILES = 500_000, 8
+#: Bytes of a file, and rows of the sample on which the size of a row is measured.
+FILE_BYTES, SAMPLE_ROWS = 256 << 20, 20_000
 TRANSFORMS = {"years": "year", "months": "month", "days": "day", "hours": "hour"}
 
 
@@ -74,10 +76,36 @@ def write_quarantine(refused: DataFrame, path: str, batch_id: str, at: datetime)
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
-    """One file up to half a million rows, eight beyond."""
+    """One file up to half a million rows, eight beyond; for sizes in bytes see ``write_sized``."""
     return df.coalesce(1) if rows <= ONE_FILE_ROWS else df.repartition(FILES)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def row_bytes(df: DataFrame, rows: int) -> float:
+    """Bytes that a row takes when it is stored, measured on a sample that is written and thrown away."""
+    spark, path = df.sparkSession, f"{work_folder(df.sparkSession)}/sample"
+    sample = df if rows <= SAMPLE_ROWS else df.sample(min(1.0, SAMPLE_ROWS / rows), seed=1)
+    sample.coalesce(1).write.parquet(path)  # a bounded sample; the files to come are as full
+    n = spark.read.parquet(path).count()
+    size = stored_bytes(spark, path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return size / n if n else 0.0
+
+
+def write_sized(df: DataFrame, path: str, file_bytes: int = FILE_BYTES, rows: int | None = None) -> int:
+    """Write a table in files of about ``file_bytes`` each, from the measured size of a row; returns how many files were
+    asked for. ``rows``, where it is known (a database or a catalog counts faster than a scan), spares counting."""
+    rows = df.count() if rows is None else rows
+    files = max(1, round(rows * row_bytes(df, rows) / file_bytes)) if rows else 1
+    df.repartition(files).write.mode("overwrite").parquet(path)
+    return files
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A small aggregate as one JSON file."""
     report.coalesce(1).write.mode("overwrite").json(path)

@@ -65,7 +65,8 @@ class MarkStore:
 
 
 def ingest_step(source: DataFrame, store: MarkStore, table: str, watermark: str, lookback: timedelta, path: str, batch_id: str, at: datetime, system: str) -> int:
-    """Mark, lookback, what is pending, read, lineage, publication, new mark. Nothing pending: nothing written, mark unmoved.
+    """Mark, lookback, what is pending, read, lineage, publication, new mark; returns the rows that this call has published.
+    Nothing pending, or a batch that is published already: nothing written, mark unmoved.
 
     The step may break off anywhere and be repeated, under its own name or another: rows are seen from the commit record on,
     and a mark that a published batch could not write any more is written by the next step. Rows are read up to the greatest
@@ -77,9 +78,8 @@ def ingest_step(source: DataFrame, store: MarkStore, table: str, watermark: str,
 
     spark, column = source.sparkSession, F.col(watermark)
     settle(store, table, path)
-    done = publication.record(spark, path, batch_id)
-    if done is not None:
-        return done["rows"]
+    if publication.record(spark, path, batch_id) is not None:
+        return 0
     start = store.read(table) - lookback
     zoneless = source.schema[watermark].dataType.simpleString() == "timestamp_ntz"
     start = start.replace(tzinfo=None) if zoneless else start

@@ -25,6 +25,7 @@ class JdbcSource:
     watermark_column: str = "updated_at"
     partition_column: str | None = None
     lookback: timedelta = timedelta(0)
+    most_connections: int = 8  # that the database is to bear at once
 
 
 @dataclass(frozen=True)

@@ -119,7 +119,7 @@ def test_ingest_step(spark, tmp_path):
     more = source.unionByName(ingest_source(spark, 3))
     assert step(more, "b4") == 1 and lake.read_raw(spark, path, date(2026, 3, 20)).count() == 5 and lake.read_raw(spark, path, date(2026, 3, 1)).count() == 0
     assert set(lake.read_raw(spark, path).columns) == {"id", "updated_at", "_ingested_at", "_source_system", "_batch_id", "ingestion_date"}
-    assert step(more, "b3", 48) == 2 and step(more, "b1") == 2 and lake.read_raw(spark, path).count() == 5  # repeated batches
+    assert step(more, "b3", 48) == 0 and step(more, "b1") == 0 and lake.read_raw(spark, path).count() == 5  # repeated batches
     store.reset(["t"])
     assert step(more, "007") == 3 and lake.read_raw(spark, path).filter("_batch_id = '007'").count() == 3  # and a full load after a reset
 
@@ -188,6 +188,71 @@ def test_jdbc(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
 
 
+def test_quantile_predicates_cut_skewed_values_evenly(spark):
+    """Half of the values in a thousandth of the range, a wide gap, nulls, and one value of very many rows."""
+    ids = spark.range(0, 40_000)
+    dense = ids.select(F.when(F.col("id") < 20_000, F.col("id")).otherwise(F.col("id") * 1000).alias("v"))
+    times = ids.select(F.timestamp_seconds(F.pow(F.col("id") / 1000, 5)).alias("v"))
+    days = ids.select(F.date_add(F.lit(date(2020, 1, 1)), F.sqrt("id").cast("int")).alias("v"))
+    parts = ids.select((F.col("id") / 7).alias("v"))
+    for df in (dense, times, days, parts):
+        predicates = jdbc.quantile_predicates(df, "v", 16)
+        counts = [df.filter(p).count() for p in predicates]
+        assert len(predicates) == 16 and sum(counts) == 40_000 and max(counts) < 2 * 40_000 / 16
+    hot = ids.select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(5)).otherwise(F.col("id")).alias("v"))
+    counts = [hot.filter(p).count() for p in jdbc.quantile_predicates(hot, "v", 16)]
+    assert sum(counts) == 40_000 and len(counts) >= 8
+    assert jdbc.quantile_predicates(ids.select(F.lit(1).alias("v")), "v", 4) and jdbc.quantile_predicates(ids.limit(0), "id", 4) == ["1 = 1"]
+
+
+def test_jdbc_parts_of_a_skewed_column(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jdbc, "ROWS_PER_PARTITION", 500)
+    options = {"url": f"jdbc:derby:{tmp_path}/skewed;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = spark.range(0, 4000).select(F.when(F.col("id") < 3000, F.col("id")).otherwise(F.col("id") * 1_000_000).alias("ID"), F.timestamp_seconds(F.col("id")).alias("AT"), F.sha2(F.col("id").cast("string"), 256).alias("V"))
+    jdbc.load(rows.coalesce(2), options, "T")
+    source = JdbcSource(schema="", watermark_column="AT", partition_column="ID", most_connections=16)
+    read = jdbc.read_parts(spark, options, source, "T", spark.createDataFrame([(4000, 0, 3999 * 1_000_000)], "rows bigint, lo bigint, hi bigint").first())
+    counts = [r["count"] for r in read.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) == 8 and sum(counts) == 4000 and max(counts) < 2 * 500
+    assert jdbc.export(spark, options, source, "T", str(tmp_path / "out"), file_bytes=60_000) > 2
+    sizes = [os.path.getsize(f) for f in glob.glob(str(tmp_path / "out/*.parquet"))]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4000 and all(30_000 < s < 120_000 for s in sizes)
+
+
+@pytest.mark.parametrize("file_bytes", [40_000, 400_000, 1 << 30])
+def test_files_of_a_size(spark, tmp_path, file_bytes):
+    df = spark.range(60_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    files = lake.write_sized(df, str(tmp_path / "t"), file_bytes)
+    sizes = [os.path.getsize(f) for f in glob.glob(str(tmp_path / "t/*.parquet"))]
+    assert len(sizes) == files and spark.read.parquet(str(tmp_path / "t")).count() == 60_000
+    assert files == 1 if file_bytes > 1 << 29 else all(file_bytes / 2 < s < file_bytes * 2 for s in sizes)
+    assert lake.write_sized(df.limit(0), str(tmp_path / "none"), file_bytes) == 1 and spark.read.parquet(str(tmp_path / "none")).count() == 0
+
+
+def test_files_of_many_parts(spark, tmp_path):
+    """A day with most of the orders, in ranges of 20 KB and chunks of 100 lines: the same lines as with each file in a row."""
+    orders = spark.range(1, 3001).select(F.col("id").alias("order_id"), F.when(F.col("id") % 5 > 0, F.lit("2026-03-15")).otherwise(F.lit("2026-03-1")).alias("d"), F.when(F.col("id") % 7 == 0, -F.col("id") / 8).otherwise(F.col("id") / 4).alias("amount"))
+    orders = orders.select("order_id", F.to_date(F.when(F.length("d") == 9, F.concat("d", (F.col("order_id") % 9).cast("string"))).otherwise(F.col("d"))).alias("order_date"), "amount")
+    path = str(tmp_path / "zone")
+    settlements.write_files(orders, path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        settlements.read_lines(spark, path).write.parquet(str(tmp_path / "lines"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    cut = spark.read.parquet(str(tmp_path / "lines"))
+    plain = settlements.lines(settlements.write_extract(orders))
+    shown = lambda df: sorted((r["name"], r["position"], r["record"], r["line"]) for r in df.collect())
+    assert shown(cut) == shown(plain)
+    verdict = settlements.verdicts(cut.select("name").distinct(), cut)
+    assert verdict.filter("outcome <> 'accepted'").count() == 0
+    rows = settlements.numbered(settlements.details(cut), "name", "position", "number", chunk=100).collect()
+    assert all(r["number"] == r["position"] for r in rows) and len(rows) == 3000
+    large = sum(i % 5 > 0 or i % 9 == 5 for i in range(1, 3001))
+    assert sorted(r["line"] for r in settlements.flatten(cut, verdict).filter("file like 'LIQ_20260315%'").collect()) == list(range(1, large + 1))
+
+
 def test_reprocessing(spark):
     raw = spark.sql("select 1 id, date'2026-03-14' ingestion_date union all select 2, date'2026-03-15'")
     ids = lambda df: sorted(r["id"] for r in df.collect())
