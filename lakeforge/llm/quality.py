@@ -77,8 +77,11 @@ def measure(texts: pa.Array) -> np.ndarray:
         ended = np.isin(data[line_stops - 1], np.frombuffer(b".!?:\"')", np.uint8)) if len(line_stops) else np.zeros(0, bool)
         again = np.concatenate(([0], np.cumsum(np.append(words[1:] == words[:-1], False)))) if len(words) else np.zeros(1)
         run = np.zeros(len(words) + 1, np.int64)
-        change = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
-        run[:-1] = np.repeat(np.diff(np.append(change, len(words))), np.diff(np.append(change, len(words)))) if len(words) else 0
+        if len(words):
+            opens = np.append(True, words[1:] != words[:-1])
+            opens[first[:-1][first[:-1] < len(words)]] = True  # a run ends with its text
+            sizes_of_runs = np.diff(np.append(np.flatnonzero(opens), len(words)))
+            run[:-1] = np.repeat(sizes_of_runs, sizes_of_runs)
         for i in range(b - a):
             w, line = slice(first[i], first[i + 1]), slice(line_first[i], line_first[i + 1])
             n, m = int(first[i + 1] - first[i]), int(line_first[i + 1] - line_first[i])

@@ -1,6 +1,10 @@
 """Operators that learn: held-out accuracy, method details, and awkward rows."""
 
+import bisect
+import itertools
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -40,6 +44,42 @@ def test_quality_learns_an_interaction():
     assert (0, 1) in model.pairs and np.mean((model.score(x) > 0.5) == y) > 0.95
 
 
+def plain_measures(text):
+    """Features of a text, one byte, word and line at a time."""
+    data = (text or "").encode()
+    words = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in re.findall(rb"[^\x00-\x20]+", data)]
+    lines = re.findall(rb"[^\n]+", data)
+    n, m, size = len(words), len(lines), max(len(data), 1)
+    share = lambda test: sum(map(test, data)) / size
+    upper, lower = share(lambda b: 65 <= b <= 90), share(lambda b: 97 <= b <= 122)
+    repeated = lambda x: 1 - len(set(x)) / len(x) if x else 0.0
+    runs = [len(list(g)) for _, g in itertools.groupby(words)]
+    return [
+        np.log1p(len(data)), np.log1p(n), np.mean([len(w) for w in words]) if n else 0, upper / max(upper + lower, 1e-9), share(lambda b: 48 <= b <= 57), share(lambda b: b in b"#*%$&@^~_=+<>{}[]\\/"),
+        share(lambda b: b == 124), share(lambda b: b == 33), share(lambda b: b in b".,;:?"), share(lambda b: b >= 192), 1 - repeated(words), sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(n - 1, 1),
+        max(map(words.count, set(words))) / n if n else 0, np.mean([len(w) <= 3 for w in words]) if n else 0, m / max(n, 1), repeated(lines), np.log1p(np.mean([len(x) for x in lines])) if m else 0,
+        np.mean([x[-1:] in (b".", b"!", b"?", b":", b'"', b"'", b")") for x in lines]) if m else 0, repeated(list(zip(words, words[1:], strict=False))), np.log1p(max(runs)) if n else 0,
+    ]
+
+
+def test_quality_scores_equal_brute_force(spark):
+    """Features one by one, then bins and tables one by one, whatever other texts are in the batch."""
+    rng = random.Random(6)
+    words = ["spam", "spam", "Eggs!", "a", "12", "||", "é", "end.", "\n", "\n\n", "Tea"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(200)] + ["spam spam", "spam spam", "", "\n", " spam"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(999, None)], "doc_id bigint, text string").coalesce(1)
+    plain = {i: plain_measures(t) for i, t in [*enumerate(texts), (999, None)]}
+    assert np.allclose(quality.measure(pa.array(texts)), [plain[i] for i in range(len(texts))])
+    labels = spark.createDataFrame([(i, int(t.count("spam") * 3 > len(t.split()))) for i, t in enumerate(texts)], "doc_id bigint, quality int")
+    model = quality.train(docs, labels)
+    assert len({round(r["score"], 6) for r in quality.score(docs, model).collect()}) > 20
+    for r in quality.score(docs, model).collect():
+        bins = [bisect.bisect_right(e.tolist(), v) for e, v in zip(model.edges, plain[r["doc_id"]], strict=True)]
+        total = model.intercept + sum(float(t[b]) for t, b in zip(model.tables, bins, strict=True))
+        total += sum(float(t[model.coarse[i][bins[i]], model.coarse[j][bins[j]]]) for (i, j), t in model.pairs.items())
+        assert abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-9 and r["predicted"] == int(r["score"] >= 0.7)
+
+
 def test_quality_awkward(spark):
     marks = spark.createDataFrame([(i, i % 2) for i in range(1, 16)] + [(None, 1), (3, None)], "doc_id bigint, quality int")
     docs = documents(spark, AWKWARD)
