@@ -38,8 +38,8 @@ ORDINARY = r"(?<![A-Za-z0-9+/_\x00-])[A-Za-z0-9+/_-]{6,}+={0,2}+(?!\x00)"
 #: Stands for a match of the base patterns.
 CUT = "\0"
 
-#: Spans of one text that are gathered before they are put with the others.
-CHUNK = 256
+#: Values that a fold goes over at a time.
+BLOCK = 32
 #: Least log-likelihood ratio, in nats.
 LEAST_RATIO = 12.0
 #: Weight of a character's own frequency beside its frequency after another one.
@@ -49,27 +49,69 @@ N = len(LETTERS) + 1
 KINDS = ("assign", "access", "hex", "markov")
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs in it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, combine, start: Column, levels: int = 2) -> Column:
+    """array<int> of the running results of an associative ``combine`` with the neutral element ``start``.
+
+    A fold copies what it has gathered at every step, so it goes over BLOCK values at a time; blocks are then moved on by the
+    running results over their last values, which are found in the same way. The work follows the number of values.
+    """
+    empty = F.expr("array()").cast("array<int>")
+
+    def fold(block: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(start.alias("last"), empty.alias("all")),
+            lambda acc, x: F.struct(combine(acc["last"], x).alias("last"), F.array_append(acc["all"], combine(acc["last"], x)).alias("all")),
+            lambda acc: acc["all"],
+        )
+
+    def moved(blocks: Column) -> Column:
+        ends = running(F.transform(blocks, lambda b: F.element_at(b, -1)), combine, start, levels - 1)
+        before = F.concat(F.array(start), F.slice(ends, F.lit(1), F.size(blocks) - 1))
+        return F.flatten(F.zip_with(blocks, before, lambda b, at: F.transform(b, lambda x: combine(at, x))))
+
+    def cut(all_values: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.size(all_values) - 1, F.lit(BLOCK))
+        blocks = F.transform(firsts, lambda i: fold(F.slice(all_values, i + 1, F.lit(BLOCK))))
+        return F.when(F.size(all_values) == 0, empty).otherwise(bound(blocks, moved))
+
+    return bound(values, cut) if levels else fold(values)
+
+
 def placed(text: Column, pattern: str, value_group: int = 0) -> Column:
     """array<struct(start, end, value)> of the non-overlapping matches; ends are exclusive, in code points."""
-    whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else whole
-    lengths = F.arrays_zip(F.transform(F.slice(gaps, F.lit(1), F.size(whole)), F.length).alias("gap"), F.transform(whole, F.length).alias("own"), values.alias("value"))
+
+    def spans(whole: Column) -> Column:
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else whole
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
+        ends = running(F.zip_with(gaps, whole, lambda g, w: F.length(g) + F.length(w)), lambda a, b: a + b, F.lit(0))
+        each = F.arrays_zip(ends.alias("end"), whole.alias("own"), values.alias("value"))
+        return F.transform(each, lambda x: F.struct((x["end"] - F.length(x["own"])).alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+
     empty = F.expr("array()").cast("array<struct<start:int,end:int,value:string>>")
-    # spans are gathered in chunks, so that appending copies a chunk and not all that was found before
-    spans = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), empty.alias("chunk"), F.array(empty).alias("full")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["own"]).alias("at"),
-            F.array_append(
-                F.when(F.size(acc["chunk"]) < CHUNK, acc["chunk"]).otherwise(empty),
-                F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["own"]).alias("end"), x["value"].alias("value")),
-            ).alias("chunk"),
-            F.when(F.size(acc["chunk"]) < CHUNK, acc["full"]).otherwise(F.array_append(acc["full"], acc["chunk"])).alias("full"),
-        ),
-        lambda acc: F.concat(F.flatten(acc["full"]), acc["chunk"]),
-    )
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    return F.when(text.rlike(pattern), bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)).otherwise(empty)
+
+
+def unmet(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``base``: both are put in one order of starts, and a span is free if what came
+    before it ends before it, and what comes after it begins behind it."""
+    item = lambda rank: lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), x["value"].alias("value"))
+    far = F.lit(2**31 - 1)
+
+    def free(both: Column) -> Column:
+        until = running(F.transform(both, lambda x: F.when(x["rank"] == 0, x["end"]).otherwise(0)), F.greatest, F.lit(0))
+        after = F.reverse(running(F.reverse(F.transform(both, lambda x: F.when(x["rank"] == 0, x["start"]).otherwise(far))), F.least, far))
+        each = F.arrays_zip(both.alias("span"), until.alias("until"), after.alias("after"))
+        left = F.filter(each, lambda x: (x["span"]["rank"] == 1) & (x["until"] <= x["span"]["start"]) & (x["after"] >= x["span"]["end"]))
+        return F.transform(left, lambda x: F.struct(x["span"]["start"].alias("start"), x["span"]["end"].alias("end"), x["span"]["value"].alias("value")))
+
+    both = F.sort_array(F.concat(F.transform(base, item(0)), F.transform(spans, item(1))))
+    return F.when((F.size(base) == 0) | (F.size(spans) == 0), spans).otherwise(bound(both, free))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,8 +177,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     scored = found.join(F.broadcast(model))
     base = F.concat("assign", "access", "hex")
     total = lambda token: F.aggregate(pairs(token), F.lit(0.0), lambda acc, p: acc + F.col("ratio")[p])
-    free = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return scored.select(id_col, *KINDS[:3], F.filter("candidate", lambda c: free(c) & (total(c["value"]) >= least)).alias("markov"))
+    return scored.select(id_col, *KINDS[:3], F.filter(unmet(F.col("candidate"), base), lambda c: total(c["value"]) >= least).alias("markov"))
 
 
 def listed(*kinds: str) -> Column:
