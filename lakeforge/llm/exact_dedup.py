@@ -9,6 +9,7 @@ Defined results
       repeat id and text exactly one stays.
     * A text that an earlier batch brought keeps that batch's row: none of the new rows stays. A batch that is repeated
       under its name, after a failure at any point, gets its first verdict.
+    * Ids may be of any type that has an order: numbers, texts, dates, structs of them.
     * An empty batch gives an empty result and leaves the index as it was.
     * Columns other than id and text are not read; they may have any name.
 """
@@ -24,6 +25,15 @@ from .common import dropped, shared_folder, staged, table
 
 #: Digests that hold more than this share of a batch's rows are joined by broadcast: there are at most 1 / share of them.
 HOT_SHARE = 0.001
+#: Digests that a bucket of the index is made for, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 4_000_000, 64
+#: Ids from which the cuts between batches are taken.
+SAMPLE = 1000
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets follow the rows, so that what one task holds does not."""
+    return max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
 
 
 class DigestIndex:
@@ -32,8 +42,8 @@ class DigestIndex:
     A batch has a name. Its verdict is written before its digests are appended, and digests of its own name are passed over
     when it is compared, so a batch that broke off anywhere and is repeated gets the same verdict again."""
 
-    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = 64, id_type: str = "bigint"):
-        self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
+    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = LEAST_BUCKETS, id_type: str = "bigint"):
+        self.spark, self.name, self.path, self.buckets, self.id_type = spark, name, path, buckets, id_type
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id {id_type}, seen BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
@@ -50,9 +60,21 @@ class DigestIndex:
         """Add digests of a batch, without those that an earlier attempt has added."""
         own = self.frame().filter(F.col("batch") == batch).select("digest")
         rows = groups.join(own.hint("merge"), "digest", "left_anti").select("digest", "keep_id", "seen", F.lit(batch).alias("batch"))
-        rows = staged(rows, shared_folder(self.spark), "appended").repartition(self.buckets, "digest")
+        self._write(staged(rows, shared_folder(self.spark), "appended"))
+
+    def _write(self, rows: DataFrame) -> None:
+        rows = rows.repartition(self.buckets, "digest")
         rows.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.name)
 
+    def compacted(self, name: str, path: str) -> DigestIndex:
+        """The same digests in a new index under ``name``: one sorted file a bucket, where each append had left one, and as
+        many buckets as they ask for by now. Nothing is changed in place, so this index is whole if it breaks off, and goes
+        by ``drop`` when its readers have gone over."""
+        rows = self.frame()
+        new = DigestIndex(self.spark, name, path, buckets_for(rows.count()), self.id_type)
+        new._write(rows)
+        return new
+
     def fresh(self, rows: DataFrame, batch: str) -> DataFrame:
         """``digest, keep_id, keep_row, seen`` of the texts that no earlier batch has, which are appended. ``rows``: ``id,
         digest, row``."""
@@ -100,13 +122,35 @@ def verdicts(rows: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def fresh_index(spark: SparkSession, id_type: str = "bigint") -> DigestIndex:
-    """An empty index in the shared folder."""
-    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex[:12]}", f"{shared_folder(spark)}/index", id_type=id_type)
+def fresh_index(spark: SparkSession, id_type: str = "bigint", rows: int = 0) -> DigestIndex:
+    """An empty index in the shared folder, with buckets for so many rows."""
+    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex[:12]}", f"{shared_folder(spark)}/index", buckets_for(rows), id_type)
+
 
+def cut_points(ids: DataFrame, batches: int) -> list:
+    """Values that cut ``ids`` (one column of any type that has an order) into batches, the largest first: quantiles of the
+    SAMPLE ids with the least hashes. They decide how even the batches are, and nothing else."""
+    name = ids.columns[0]
+    some = ids.filter(F.col(name).isNotNull()).orderBy(F.xxhash64(name)).limit(SAMPLE)
+    found = [r[0] for r in some.orderBy(name).collect()]
+    return list(dict.fromkeys(found[len(found) * k // batches] for k in range(batches - 1, 0, -1))) if found else []
 
-def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the rows that stay when ``docs`` is the first batch of a fresh index.
+
+def fed(index: DigestIndex, rows: DataFrame, batches: int, by: str = "id") -> DataFrame:
+    """``digest, keep_id, keep_row`` of every text, after ``rows`` (``id, digest, row``) went through an empty index in some
+    batches, those with the largest values of ``by`` first (rows without one last), so that of equal texts the row with the
+    largest id is always the one that the index has. A batch is compared with the index by a sort-merge anti-join."""
+    winners, left, order = None, rows, F.col(by)
+    for n, cut in enumerate([*cut_points(rows.select(order.alias("by")), batches), None]):
+        here = order > F.lit(cut) if cut is not None else F.lit(True)
+        one = index.fresh(left.filter(here), f"batch{n}").drop("seen")
+        winners = one if winners is None else winners.unionByName(one)
+        left = left.filter(~F.coalesce(here, F.lit(False)))
+    return winners
+
+
+def distinct_rows(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of the rows that stay when ``docs`` go through a fresh index in some batches.
 
     Rows are numbered once and staged, so that the decision finds exactly the row it was made for, also where ids are
     null or repeat.
@@ -115,27 +159,20 @@ def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = f"row_{uuid.uuid4().hex[:8]}"
     order = F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
     numbered = staged(docs.withColumn(own, order), shared_folder(spark), "numbered")
-    index = fresh_index(spark, dict(numbered.dtypes)[own])
-    kept = index.fresh(digests(numbered, own, text_col), "all").select(F.col("keep_id").alias(own))
+    rows = digests(numbered, own, text_col)
+    index = fresh_index(spark, dict(numbered.dtypes)[own], rows.count())
+    kept = fed(index, rows, batches, "id.id").select(F.col("keep_id").alias(own))
     index.drop()
     return numbered.join(kept, own, "left_semi").drop(own)
 
 
 def in_batches(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` fed to a fresh index in some batches, those of the largest ids first (rows without an id last), so that of
-    equal texts the row with the largest id is always the one that the index has. The result is that of
-    ``DigestIndex.deduplicate`` for all rows together; a batch is compared with the index by a sort-merge anti-join."""
+    """The result of ``DigestIndex.deduplicate`` for ``docs`` as one batch, from some batches, see ``fed``."""
     spark = docs.sparkSession
-    rows, index = digests(docs, id_col, text_col), fresh_index(spark, dict(docs.dtypes)[id_col])
-    cuts = sorted(set(rows.select(F.col("id").cast("double")).approxQuantile("id", [k / batches for k in range(1, batches)], 0.02)), reverse=True)
-    winners, left = None, rows
-    for n, cut in enumerate([*cuts, None]):
-        here = F.col("id").cast("double") > F.lit(cut) if cut is not None else F.lit(True)
-        one = index.fresh(left.filter(here), f"batch{n}").drop("seen")
-        winners = one if winners is None else winners.unionByName(one)
-        left = left.filter(~F.coalesce(here, F.lit(False)))
+    rows = digests(docs, id_col, text_col)
+    index = fresh_index(spark, dict(docs.dtypes)[id_col], rows.count())
     sizes = rows.groupBy("digest").agg(F.count("*").alias("seen"))
-    groups = staged(winners.join(sizes.hint("merge"), "digest"), shared_folder(spark), "groups")
+    groups = staged(fed(index, rows, batches).join(sizes.hint("merge"), "digest"), shared_folder(spark), "groups")
     index.drop()
     return verdicts(rows, groups, id_col)
 

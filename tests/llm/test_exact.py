@@ -85,6 +85,40 @@ def test_exact_dedup_in_batches_equals_one_batch(spark):
     assert exact_dedup.in_batches(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_other_ids_and_repeated_ones(spark):
+    """Ids as texts, and one id on most rows, so that cuts fall together."""
+    rows = [(f"é{i % 7}" if i % 3 else "k", None if i % 11 == 0 else f"text {i % 20}") for i in range(200)] + [(None, "text 1"), (None, None), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    show = lambda df: sorted(str((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"])) for r in df.collect())
+    got = exact_dedup.in_batches(docs)
+    assert show(got) == show(exact_dedup.fresh_index(spark, "string").deduplicate(docs)) and got.filter("kept").count() == len({t or "" for _, t in rows})
+    kept = exact_dedup.distinct_rows(docs).collect()
+    largest = {t or "": max((i.encode() for i, u in rows if (u or "") == (t or "") and i), default=None) for _, t in rows}
+    assert {r["text"] or "": r["doc_id"] and r["doc_id"].encode() for r in kept} == largest and len(kept) == len(largest)
+    assert exact_dedup.distinct_rows(docs.limit(0)).count() == 0
+    cuts = exact_dedup.cut_points(spark.range(5000), 4)
+    assert cuts == sorted(cuts, reverse=True) and all(abs(c - e) < 500 for c, e in zip(cuts, (3750, 2500, 1250), strict=True))
+
+
+def test_exact_dedup_index_compacted(spark, monkeypatch, tmp_path):
+    """Appends leave a file each in a bucket; after compaction there is one, buckets follow the rows, verdicts are the same."""
+    monkeypatch.setattr(exact_dedup, "LEAST_BUCKETS", 2)
+    monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 10)
+    index = exact_dedup.fresh_index(spark, rows=1)
+    for n in range(3):
+        index.deduplicate(documents(spark, [(i, f"t{i}") for i in range(n * 20, n * 20 + 25)]), name=f"b{n}").collect()
+    files = lambda i: [f.rsplit("_", 1)[-1].split(".")[0] for f in i.frame().inputFiles()]
+    assert index.buckets == 2 and len(files(index)) > len(set(files(index)))
+    new = index.compacted("compacted_index", str(tmp_path / "compacted"))
+    assert new.buckets == 7 and len(files(new)) == len(set(files(new))) <= 7
+    key = lambda i: sorted(map(str, i.frame().collect()))
+    assert key(new) == key(index)
+    batch = documents(spark, [(100, "t3"), (101, "new"), (102, "new"), (103, "t64")])
+    got = {r["doc_id"]: (r["kept"], r["keep_id"]) for r in new.deduplicate(batch, name="b3").collect()}
+    assert got == {100: (False, 3), 101: (False, 102), 102: (True, 102), 103: (False, 64)}
+    new.drop()
+
+
 def test_exact_dedup_plan_is_native(spark):
     plan = exact_dedup.op2_exact_dedup(spark, DATA)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -263,6 +297,22 @@ def test_secrets_base_and_markov(spark):
     assert secrets.detect(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_secrets_many_spans_in_one_text(spark):
+    """Places of many matches, and which candidates meet none of the base spans, by brute force; blocks of every fill."""
+    rng = random.Random(5)
+    part = lambda: rng.choice([f"{rng.getrandbits(80):020x}", "Zq9" * rng.randint(2, 9), f"token={'Ab1.' * rng.randint(2, 9)}", "xpassword=" + "Q7" * 9, "A1b2" * 6 + "==password=" + "k9" * 8, "é", "AKIA" + "Q" * rng.randint(9, 20)])
+    rows = [(n, rng.choice((" ", ", ", "/")).join(part() for _ in range(n))) for n in (0, 1, 2, 31, 32, 33, 64, 1024, 1025, 1057, 5000)]
+    found = secrets.scan(documents(spark, rows)).select("doc_id", "assign", "access", "hex", "candidate", secrets.unmet(F.col("candidate"), F.concat("assign", "access", "hex")).alias("free"))
+    text = dict(rows)
+    for r in found.collect():
+        spans = lambda k, r=r: [(s["start"], s["end"]) for s in r[k]]
+        for kind, pattern in {"access": secrets.ACCESS, "hex": secrets.HEX, "candidate": secrets.CANDIDATE}.items():
+            assert spans(kind) == [m.span() for m in re.compile(pattern, re.A).finditer(text[r["doc_id"]])]
+        base = spans("assign") + spans("access") + spans("hex")
+        assert spans("free") == [(a, b) for a, b in spans("candidate") if not any(s < b and a < e for s, e in base)]
+        assert all(s["value"] == text[r["doc_id"]][s["start"] : s["end"]] for s in r["free"])
+
+
 def test_secrets_ratio_by_brute_force(spark):
     """The model's numbers from counts made in Python."""
     docs = documents(spark, [(1, "password=Zx9Qw7Lk2Pv4 reasonable explanations of something ordinary"), (2, "token: 0011223344556677 ordinary words")])
