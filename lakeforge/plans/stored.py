@@ -17,8 +17,8 @@ from ..sources.versions import KeyedTable, VersionedTable
 from ..spec import JdbcSource, Registry
 from ..streaming import events as streaming
 from .domain import REGISTRY, view
-from .flows import clean_table, customer_history, ingest_files, missing_files, refine, refresh_visits, register_tables
-from .queries import ALL_REASONS, BASE, CUSTOMER_REASONS, CUSTOMERS, ORDER_REASONS, ORDERS, RAW, REPORT, SETTLED, VISIT_COLUMNS, VISITS, clean, day, extract, first_customers, good_events, good_visits, judged, parents, query, shown_visits, stamp
+from .flows import clean_table, customer_history, ingest_files, missing_files, publish, refine, refresh_visits, register_tables, version
+from .queries import ALL_REASONS, BASE, ITEMS, PRODUCTS, CUSTOMER_REASONS, CUSTOMERS, ORDER_REASONS, ORDERS, RAW, REPORT, SETTLED, VISIT_COLUMNS, VISITS, clean, day, extract, first_customers, good_events, good_visits, judged, judged_files, lines, parents, query, shown_visits, stamp
 
 FIRST, SECOND = datetime(2024, 3, 1, 12, tzinfo=timezone.utc), datetime(2024, 3, 2, 12, tzinfo=timezone.utc)
 
@@ -214,6 +214,40 @@ def flw_refined_all(spark, d):
     return found.groupBy("table").agg(F.sum(F.when(F.col("valid"), F.col("n"))).alias("valid"), F.sum(F.when(~F.col("valid"), F.col("n"))).alias("quarantined"))
 
 
+MONEY = "CAST(sum(CAST({} AS DECIMAL(18, 2))) AS DOUBLE)"
+NO_MONEY = "CAST(NULL AS DOUBLE)"
+
+
+@query(f"""WITH {CUSTOMERS}, {PRODUCTS}, {ITEMS}, {good_visits(1800)}, {SETTLED.replace("good", "accepted")}
+    SELECT 'dim_date' AS "table", CAST(max(CAST(order_date AS DATE)) - min(CAST(order_date AS DATE)) + 1 AS BIGINT) AS rows, {NO_MONEY} AS amount FROM {{orders_raw}}
+    UNION ALL SELECT 'dim_customer', count(*) + 1, {NO_MONEY} FROM customers
+    UNION ALL SELECT 'dim_product', count(*) + 1, {NO_MONEY} FROM products
+    UNION ALL SELECT t, count(*), {MONEY.format("line_amount")} FROM items, (VALUES ('fct_order_items'), ('agg_daily_sales')) v(t) GROUP BY t
+    UNION ALL SELECT 'fct_sessions', count(*), {MONEY.format("amount")} FROM visits
+    UNION ALL SELECT 'agg_funnel', count(*), {NO_MONEY} FROM visits
+    UNION ALL SELECT 'fct_settlements', count(*), {MONEY.format("amount")} FROM accepted
+    UNION ALL SELECT 'agg_reconciliation', count(*), {MONEY.format("settled")} FROM final""")
+def flw_publish(spark, d):
+    """Dimensions, facts and aggregates published in one run, which is repeated; each table with its rows (aggregates: the
+    rows that they stand for) and what its amounts come to."""
+    root = lake.work_folder(spark)
+    orders = clean(spark, d, "orders", RAW["orders"]).filter("order_date is not null")
+    _, cut, verdict = judged_files(spark, d)
+    given = clean(spark, d, "customers", RAW["customers"]), clean(spark, d, "products", RAW["products"]), orders, lines(spark, d), good_events(spark, d), settlements.flatten(cut, verdict)
+    for _ in range(2):
+        publish(*given, root, "b1", FIRST)
+    one = lambda name, df, rows=F.count("*"), amount=F.lit(None): df.agg(rows.cast("bigint").alias("rows"), amount.cast("double").alias("amount")).select(F.lit(name).alias("table"), "rows", "amount")
+    money = lambda c: F.sum(F.col(c).cast("decimal(18,2)"))
+    written = lambda name: spark.read.parquet(f"{root}/{name}")
+    out = one("dim_customer", version(spark, root, "dim_customer", layer="published"))
+    for name, *measures in (
+        ("dim_date",), ("dim_product",), ("fct_order_items", F.count("*"), money("line_amount")), ("agg_daily_sales", F.sum("lines"), money("revenue")),
+        ("fct_sessions", F.count("*"), money("amount")), ("agg_funnel", F.sum("visits")), ("fct_settlements", F.count("*"), money("amount")), ("agg_reconciliation", F.count("*"), money("settled")),
+    ):
+        out = out.unionByName(one(name, written(name), *measures))
+    return out
+
+
 @query(f"WITH {ORDERS} SELECT reason, count(*) AS rows FROM (SELECT unnest({ORDER_REASONS}) AS reason FROM clean_orders) GROUP BY reason")
 def snk_report_json(spark, d):
     """A report written as JSON, twice, and read back."""
