@@ -63,7 +63,8 @@ class DigestIndex:
         self._write(staged(rows, shared_folder(self.spark), "appended"))
 
     def _write(self, rows: DataFrame) -> None:
-        rows = rows.repartition(self.buckets, "digest")
+        # by the bucket that Spark's writer computes, so a bucket gets one file however many partitions there are
+        rows = rows.repartitionById(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))
         rows.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.name)
 
     def compacted(self, name: str, path: str) -> DigestIndex:

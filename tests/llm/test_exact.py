@@ -119,6 +119,15 @@ def test_exact_dedup_index_compacted(spark, monkeypatch, tmp_path):
     new.drop()
 
 
+def test_exact_dedup_index_has_one_file_a_bucket_and_append(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, "filed_index", str(tmp_path / "filed"), 4)
+    for batch in range(2):
+        index.deduplicate(documents(spark, [(i, f"text {batch} {i}") for i in range(200)]).repartition(16)).count()
+    assert len(list((tmp_path / "filed").glob("part-*.parquet"))) == 8
+    assert index.frame().select("digest").distinct().count() == 400
+    index.drop()
+
+
 def test_exact_dedup_plan_is_native(spark):
     plan = exact_dedup.op2_exact_dedup(spark, DATA)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
