@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
+from ..sources import lake
+
+MONEY, TOTAL = "decimal(18,2)", "decimal(28,2)"
 
 
 def money(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast(MONEY)
 
 
-def daily_sales(facts: DataFrame, products: DataFrame) -> DataFrame:
-    """Per day and category: revenue, units, distinct orders, lines, and revenue per order (not per line)."""
-    joined = facts.select("order_date", "product_key", "order_id", "quantity", "line_amount").join(products.select("product_key", "category"), "product_key", "left")
-    out = joined.groupBy(F.col("order_date").alias("sale_date"), "category").agg(
-        F.sum(money("line_amount")).alias("revenue"), F.sum("quantity").cast("bigint").alias("units"), F.count_distinct("order_id").alias("orders"), F.count("*").alias("lines")
+def daily_sales(facts: DataFrame, products: DataFrame, parts: int | None = None) -> DataFrame:
+    """Per day and category: revenue, units, distinct orders, lines, and revenue per order (not per line).
+
+    Orders are summed first, so that distinct ones are counted as rows. ``parts`` are the partitions by which lines are dealt
+    (see ``lake.task_parts``): what a task joins or groups is then bounded, however many lines there are."""
+    sold = lake.dealt(facts.select("order_date", "product_key", "order_id", "quantity", "line_amount"), parts, "product_key")
+    joined = sold.join(products.select("product_key", "category"), "product_key", "left")
+    per_order = lake.dealt(joined, parts, "order_id").groupBy("order_date", "category", "order_id").agg(F.sum(money("line_amount")).alias("revenue"), F.sum("quantity").alias("units"), F.count("*").alias("lines"))
+    out = per_order.groupBy(F.col("order_date").alias("sale_date"), "category").agg(
+        F.sum("revenue").cast(TOTAL).alias("revenue"), F.sum("units").cast("bigint").alias("units"), F.count("order_id").alias("orders"), F.sum("lines").alias("lines")
     )
     return out.withColumn("avg_ticket", F.round(F.try_divide("revenue", F.col("orders").cast("decimal(20,0)")), 2).cast("double")).withColumn("revenue", F.round("revenue", 2).cast("double"))
 

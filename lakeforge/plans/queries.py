@@ -49,8 +49,16 @@ def spec(name: str, **changes):
 RAW = {"customers": "customers_raw", "products": "products_raw", "orders": "orders_raw", "order_items": "items_raw", "web_events": "events_raw"}
 
 
+GIVEN = {"customers": "customer", "products": "part", "orders": "orders", "order_items": "lineitem", "web_events": "events"}
+
+
+def parts_of(spark: SparkSession, d: str, name: str) -> int | None:
+    """Partitions for the rows of a table, from the given one that it is derived from."""
+    return lake.task_parts(view(spark, d, GIVEN[name]))
+
+
 def clean(spark: SparkSession, d: str, name: str, raw: str) -> DataFrame:
-    return deduplicate(normalize(view(spark, d, raw), REGISTRY[name]), REGISTRY[name])
+    return deduplicate(normalize(view(spark, d, raw), REGISTRY[name]), REGISTRY[name], parts=parts_of(spark, d, name))
 
 
 def parents(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -470,7 +478,7 @@ def agg_daily_sales(spark, d):
     orders = view(spark, d, "orders_raw").filter("order_date is not null").select("order_id", "order_date")
     products = normalize(view(spark, d, "products_raw"), REGISTRY["products"]).select(F.col("product_id").alias("product_key"), "category")
     rows = items.select("order_id", F.col("product_id").alias("product_key"), "quantity", "line_amount").join(orders, "order_id")
-    return aggregates.daily_sales(rows, products).withColumn("sale_date", day("sale_date"))
+    return aggregates.daily_sales(rows, products, parts_of(spark, d, "order_items")).withColumn("sale_date", day("sale_date"))
 
 
 @query(f"WITH {FACTS} SELECT segment, CAST(sum(CAST(line_amount AS DECIMAL(18, 2))) AS DOUBLE) AS revenue, count(*) AS lines FROM (SELECT CASE WHEN no_customer THEN '(desconocido)' ELSE segment END AS segment, line_amount FROM fct) GROUP BY 1")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 ONE_FILE_ROWS, FILES = 500_000, 8
 #: Bytes of a file, and rows of the sample on which the size of a row is measured.
 FILE_BYTES, SAMPLE_ROWS = 256 << 20, 20_000
+#: Rows of a partition that a task puts in order, joins or groups, where rows are dealt by key.
+TASK_ROWS = 500_000
 TRANSFORMS = {"years": "year", "months": "month", "days": "day", "hours": "hour"}
 
 
@@ -75,6 +77,18 @@ def write_quarantine(refused: DataFrame, path: str, batch_id: str, at: datetime)
     replace_batch(stamped, path, ["_batch_id", "_quarantine_date"])
 
 
+def task_parts(table: DataFrame, rows: int = TASK_ROWS) -> int | None:
+    """Partitions by which the rows of a table are dealt so that none has many more than ``rows``, or None where the session's
+    number is enough, which adaptive execution then lowers or splits. A Parquet table is counted from its footers."""
+    n = -(-table.count() // rows)
+    return n if n > int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``df`` in ``parts`` partitions by its keys; as it is where ``parts`` is None."""
+    return df.repartition(parts, *keys) if parts else df
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """One file up to half a million rows, eight beyond; for sizes in bytes see ``write_sized``."""
     return df.coalesce(1) if rows <= ONE_FILE_ROWS else df.repartition(FILES)

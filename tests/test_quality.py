@@ -108,3 +108,32 @@ def test_registry_refuses_contradictions(change):
 
 def test_registry_by_source():
     assert [s.name for s in REGISTRY.files()] == ["settlements"] and "web_events" in {s.name for s in REGISTRY.jdbc()}
+
+
+def test_lines_are_dealt_by_their_number(spark):
+    """A task holds a bounded share of the lines, and orders are counted as before."""
+    from lakeforge.operators import aggregates
+    from lakeforge.sources import lake
+
+    rows = spark.range(1200).selectExpr("date_add(date'2024-01-01', CAST(id % 3 AS INT)) AS order_date", "id % 7 AS product_key", "IF(id % 50 = 0, NULL, id % 90) AS order_id", "2.0D AS quantity", "0.335D + id AS line_amount")
+    goods = spark.range(6).selectExpr("id AS product_key", "concat('c', id % 2) AS category")
+    assert lake.task_parts(rows) is None and lake.task_parts(rows, 100) == 12
+    whole, dealt = aggregates.daily_sales(rows, goods), aggregates.daily_sales(rows, goods, 12)
+    assert "hashpartitioning(order_id" in dealt._jdf.queryExecution().toString() and ", 12)" in dealt._jdf.queryExecution().toString()
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, whole.collect()))
+    exact = {(str(r[0]), r[1]): r[2] for r in rows.join(goods, "product_key", "left").selectExpr("order_date", "category", "order_id").distinct().filter("order_id is not null").groupBy("order_date", "category").count().collect()}
+    assert {(str(r["sale_date"]), r["category"]): r["orders"] for r in dealt.collect()} == exact
+
+
+@pytest.mark.parametrize("name", ["agg_daily_sales"])
+def test_sales_of_many_lines(spark, duck, monkeypatch, name):
+    from lakeforge.plans import queries
+    from lakeforge.sources import lake
+
+    from .conftest import DATA, rows_of
+
+    few = lake.task_parts
+    monkeypatch.setattr(lake, "task_parts", lambda table: few(table, 4_000))
+    out = queries.QUERIES[name](spark, DATA)
+    assert ", 15)" in out._jdf.queryExecution().toString()  # 60,000 lines
+    assert rows_of(out.toPandas()) == rows_of(duck.sql(queries.ORACLES[name]).df())
