@@ -501,8 +501,9 @@ def chk_layer_balance(spark, d):
     GROUP BY CAST(o_orderdate AS DATE), p_type HAVING CAST(sum(l_quantity) AS BIGINT) % 7 = 3""")
 def chk_avg_ticket(spark, d):
     """Average tickets that are twice too high on some days are found, and no others."""
-    rows = view(spark, d, "lineitem").join(view(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderdate").cast("date").alias("order_date"), F.col("l_partkey").alias("product_key"), F.col("l_orderkey").alias("order_id"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("line_amount"))
-    sales = aggregates.daily_sales(rows, view(spark, d, "part").select(F.col("p_partkey").alias("product_key"), F.col("p_type").alias("category")))
+    parts = parts_of(spark, d, "order_items")
+    rows = lake.dealt(view(spark, d, "lineitem"), parts, "l_orderkey").join(view(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderdate").cast("date").alias("order_date"), F.col("l_partkey").alias("product_key"), F.col("l_orderkey").alias("order_id"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("line_amount"))
+    sales = aggregates.daily_sales(rows, view(spark, d, "part").select(F.col("p_partkey").alias("product_key"), F.col("p_type").alias("category")), parts)
     hurt = sales.withColumn("avg_ticket", F.when(F.col("units") % 7 == 3, 2 * F.col("avg_ticket")).otherwise(F.col("avg_ticket")))
     return aggregates.ticket_faults(hurt).select(day("sale_date"), "category")
 

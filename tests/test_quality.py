@@ -125,7 +125,7 @@ def test_lines_are_dealt_by_their_number(spark):
     assert {(str(r["sale_date"]), r["category"]): r["orders"] for r in dealt.collect()} == exact
 
 
-@pytest.mark.parametrize("name", ["agg_daily_sales"])
+@pytest.mark.parametrize("name", ["agg_daily_sales", "chk_avg_ticket"])
 def test_sales_of_many_lines(spark, duck, monkeypatch, name):
     from lakeforge.plans import queries
     from lakeforge.sources import lake
