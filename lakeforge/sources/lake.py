@@ -63,12 +63,13 @@ def partition_column(transform: str) -> tuple[str, Column]:
 
 
 def replace_table(df: DataFrame, path: str, transform: str | None = None) -> None:
-    """The whole derived table anew; rows of a partition are brought together so that each has few files."""
+    """The whole derived table anew; rows of a partition are brought together so that each has few files;
+    adaptive execution splits a large one among tasks."""
     if transform is None:
         df.write.mode("overwrite").parquet(path)
         return
     name, values = partition_column(transform)
-    df.withColumn(name, values).repartition(name).write.mode("overwrite").partitionBy(name).parquet(path)
+    df.withColumn(name, values).hint("rebalance", name).write.mode("overwrite").partitionBy(name).parquet(path)
 
 
 def write_quarantine(refused: DataFrame, path: str, batch_id: str, at: datetime) -> None:

@@ -65,3 +65,15 @@ def test_no_files(spark, tmp_path):
     none = spark.createDataFrame([], "name string, content binary, content_hash string")
     assert flows.ingest_files(none, REGISTRY["settlements"], str(tmp_path), "b1", AT) == {}
     assert flows.missing_files(spark, REGISTRY["settlements"], str(tmp_path)).count() == 0
+
+
+def test_first_version_is_not_made_unique_twice(spark, tmp_path, monkeypatch):
+    """The first version of a table is the valid rows, one a key already; they meet no upsert."""
+    from lakeforge.sources import lake
+
+    monkeypatch.setattr(flows, "upsert", None)
+    raw = view(spark, DATA, "orders_raw")
+    lake.append_raw(lake.add_lineage(raw.unionByName(raw), "b1", AT, "shop"), f"{tmp_path}/raw/orders")
+    flows.refine(spark, REGISTRY, str(tmp_path), "b1", AT, ["orders"])
+    kept, refused = flows.clean_table(spark, str(tmp_path), "orders"), spark.read.parquet(f"{tmp_path}/quarantine/orders")
+    assert kept.count() == kept.select("order_id").distinct().count() and kept.count() + refused.count() == 15000
