@@ -106,11 +106,10 @@ def inc_canonical_text(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice, CAST(epoch(o_orderdate) AS BIGINT) AS o_orderdate FROM orders WHERE o_orderdate > TIMESTAMP '1996-01-01'")
 def src_jdbc_incremental(spark, d):
-    """Orders loaded into an embedded database, whose counts are verified, and read beyond a mark. The database lives in
-    the driver's process, so this query needs a local session."""
-    options = {"url": f"jdbc:derby:memory:{lake.work_folder(spark).rsplit('-', 1)[-1]};create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    """Orders loaded into an embedded database, whose counts are verified, and read beyond a mark, by whichever process a
+    task runs in."""
     orders = view(spark, d, "orders").select(F.col("o_orderkey").alias("O_ORDERKEY"), F.col("o_totalprice").alias("O_TOTALPRICE"), F.col("o_orderdate").cast("timestamp").alias("O_ORDERDATE"))
-    jdbc.load(orders.coalesce(4), options, "ORDERS")
+    options = jdbc.embedded(orders, "ORDERS", lake.work_folder(spark))
     jdbc.verify(spark, options, orders.agg(F.count("*").alias("rows")).select(F.lit("ORDERS").alias("table"), "rows"), ["ORDERS"])
     whole = jdbc.reader(spark, options).option("dbtable", "ORDERS").load()
     mark = datetime(1996, 1, 1, tzinfo=timezone.utc)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import DataFrame, DataFrameReader, Row, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +89,43 @@ def load(df: DataFrame, options: dict[str, str], table: str, batch_size: int = 5
     df.write.format("jdbc").options(**options).option("dbtable", table).option("batchsize", batch_size).mode(mode).save()
 
 
+DERBY = "org.apache.derby.jdbc.EmbeddedDriver"
+DERBY_TYPES = {T.LongType(): "BIGINT", T.IntegerType(): "INTEGER", T.DoubleType(): "DOUBLE", T.TimestampType(): "TIMESTAMP", T.DateType(): "DATE"}
+
+
+def embedded(df: DataFrame, table: str, path: str) -> dict[str, str]:
+    """A table of numbers and times as an embedded database that the driver and all executors can open; its options.
+
+    Such a database is written by one process and may then be read by many, if it is a closed archive. So tasks stage the
+    rows as files below ``path``, a folder that all share and that has a plain path, the database in the driver's process
+    imports one file after the other, and what it stored is packed. No row becomes one of the driver's.
+    """
+    spark = df.sparkSession
+    folder = Path(spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath())
+    zone = spark._jvm.java.util.TimeZone.getDefault().getID()  # in which times are read from a database
+    df.write.options(timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS", timeZone=zone, compression="none").csv(f"{path}/staged")
+    columns = ", ".join(f"{f.name} {DERBY_TYPES[f.dataType]}" for f in df.schema)
+    driver, nothing = spark._jvm.org.apache.derby.jdbc.EmbeddedDriver(), spark._jvm.java.util.Properties()
+    with tempfile.TemporaryDirectory(prefix="lakeforge-derby-") as local:
+        url = f"jdbc:derby:{local}/db"
+        connection = driver.connect(f"{url};create=true", nothing)
+        statement = connection.createStatement()
+        statement.execute(f"CREATE TABLE {table} ({columns})")
+        for part in sorted((folder / "staged").glob("part-*")):
+            statement.execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, '{table}', '{part}', NULL, NULL, 'UTF-8', 0)")
+        connection.close()
+        try:
+            driver.connect(f"{url};shutdown=true", nothing)
+        except Exception as closed:  # a database that closes says so by an error
+            if "shutdown" not in str(closed):
+                raise
+        with zipfile.ZipFile(folder / "db.jar", "w", zipfile.ZIP_STORED) as archive:
+            for f in sorted(Path(local, "db").rglob("*")):
+                if f.is_file() and f.suffix != ".lck":
+                    archive.write(f, f.relative_to(local))
+    return {"url": f"jdbc:derby:jar:({folder}/db.jar)db", "driver": DERBY}
+
+
 def mismatches(written: DataFrame, found: DataFrame) -> DataFrame:
     """Tables whose row counts (``table, rows``) differ between what was written and what is found."""
     joined = written.withColumnRenamed("rows", "written").join(found.withColumnRenamed("rows", "found"), "table", "full_outer")

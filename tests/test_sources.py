@@ -260,3 +260,23 @@ def test_reprocessing(spark):
     assert [s.name for s in history.subset(REGISTRY, ["orders", "customers"])] == ["customers", "orders"]
     with pytest.raises(ValueError):
         history.subset(REGISTRY, ["nothing"])
+
+
+def test_embedded_database_opens_in_another_process(spark, tmp_path):
+    """What the driver's process has loaded is there for a process of its own, while the session reads it too."""
+    import subprocess
+    from pathlib import Path
+
+    import pyspark
+
+    from lakeforge.sources import jdbc
+
+    rows = spark.range(2500).selectExpr("id AS K", "id / 7 AS X", "timestamp'2024-03-01 10:00:00.25' + id * INTERVAL 1 SECOND AS T").repartition(3)
+    options = jdbc.embedded(rows, "T1", f"file:{tmp_path}/base")
+    read = jdbc.reader(spark, options).option("dbtable", "T1").load()
+    assert sorted(read.collect()) == sorted(rows.collect())
+    script = tmp_path / "count.sql"
+    script.write_text(f"connect '{options['url']}'; SELECT 'found ' || CAST(count(*) AS CHAR(6)) FROM T1;")
+    java = spark._jvm.java.lang.System.getProperty("java.home") + "/bin/java"
+    out = subprocess.run([java, "-cp", f"{Path(pyspark.__file__).parent}/jars/*", "org.apache.derby.tools.ij", str(script)], capture_output=True, text=True, timeout=60, cwd=tmp_path)
+    assert "found 2500" in out.stdout, out.stdout + out.stderr
