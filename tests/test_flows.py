@@ -77,3 +77,15 @@ def test_first_version_is_not_made_unique_twice(spark, tmp_path, monkeypatch):
     flows.refine(spark, REGISTRY, str(tmp_path), "b1", AT, ["orders"])
     kept, refused = flows.clean_table(spark, str(tmp_path), "orders"), spark.read.parquet(f"{tmp_path}/quarantine/orders")
     assert kept.count() == kept.select("order_id").distinct().count() and kept.count() + refused.count() == 15000
+
+
+def test_published_from_written_tables(spark, monkeypatch):
+    """Neither run of the publication makes its inputs again."""
+    from lakeforge.plans import stored
+
+    def only_written(*given):
+        assert all("/given/" in f for df in given[:6] for f in df.inputFiles())
+        return flows.publish(*given)
+
+    monkeypatch.setattr(stored, "publish", only_written)
+    assert queries.QUERIES["flw_publish"](spark, DATA).count() == 9
